@@ -16,16 +16,19 @@ DROP_MULTIPLIER = 0.5
 SPIKE_MULTIPLIER = 3.0
 FLOOR_PERCENTILE = 5
 
-CELL_DAY = Window.partitionBy("grid_id", "date")
+
+def cell_day():
+    """All hours of one cell on one date."""
+    return Window.partitionBy("grid_id", "date")
 
 
 def with_baseline(hourly, expected_hours=HOURS_PER_DAY):
     """Add baseline_activity: median of the other hours of the cell's day, NULL on partial days."""
     require_columns(hourly, ("date", "grid_id", "hour", "total_activity"))
     # Distinct hours by flagging the first row of each hour: the group is sorted by hour only once.
-    by_hour = CELL_DAY.orderBy("hour")
+    by_hour = cell_day().orderBy("hour")
     is_new = F.coalesce(F.lag("hour").over(by_hour) != F.col("hour"), F.lit(True)).cast("int")
-    counted = hourly.withColumn("__new", is_new).withColumn("__hours", F.sum("__new").over(CELL_DAY))
+    counted = hourly.withColumn("__new", is_new).withColumn("__hours", F.sum("__new").over(cell_day()))
     scored = leave_one_out_median(counted, "total_activity", ("grid_id", "date"), out="__median")
     baseline = F.when(F.col("__hours") == expected_hours, F.col("__median"))
     return scored.withColumn("baseline_activity", baseline).drop("__new", "__hours", "__median")
@@ -46,7 +49,7 @@ def with_floor(df, floor):
     values = floor.select(F.struct("floor_value", "hourly_floor_value").alias("f")).scalar()
     return df.withColumns(
         {
-            "grid_day_total_activity": F.sum("total_activity").over(CELL_DAY),
+            "grid_day_total_activity": F.sum("total_activity").over(cell_day()),
             "floor_value": values["floor_value"],
             "hourly_floor_value": values["hourly_floor_value"],
         }
@@ -58,7 +61,7 @@ def with_previous_hour(df, strict_hours=False):
 
     With `strict_hours` a gap in the hours gives NULL instead of the last row before the gap.
     """
-    ordered = CELL_DAY.orderBy("hour")
+    ordered = cell_day().orderBy("hour")
     previous = F.lag("total_activity").over(ordered)
     if strict_hours:
         previous = F.when(F.lag("hour").over(ordered) == F.col("hour") - 1, previous)

@@ -27,7 +27,10 @@ from gridtide.schemas import (
 # A drop is a next hour below this share of the trailing mean.
 DROP_SHARE = 0.4
 
-SERIES = series("grid_id")
+
+def cell_series():
+    """Rows of one cell in time order."""
+    return series("grid_id")
 
 
 def _internet(df):
@@ -39,11 +42,11 @@ def trailing_features(hourly):
 
     One window specification for all of them, hence one shuffle and one sort by cell and time.
     """
-    activity = F.col("total_activity")
-    day = trailing(SERIES, 24, gap=1)
-    recent, before = trailing(SERIES, 12, gap=1), trailing(SERIES, 12, gap=13)
+    activity, own = F.col("total_activity"), cell_series()
+    day = trailing(own, 24, gap=1)
+    recent, before = trailing(own, 12, gap=1), trailing(own, 12, gap=13)
     share = F.coalesce(ratio_or_null(_internet(hourly), activity), F.lit(0.0))
-    has_past = F.lag("timestamp").over(SERIES).isNotNull()
+    has_past = F.lag("timestamp").over(own).isNotNull()
     return hourly.withColumns(
         {
             "avg_activity": F.avg(activity).over(day),
@@ -51,9 +54,9 @@ def trailing_features(hourly):
             "peak_ratio": peak_over_mean(activity, day),
             "variability": spread_over_mean(activity, day),
             "activity_growth": ratio_or_null(F.avg(activity).over(recent), F.avg(activity).over(before)),
-            "internet_share_at_t": F.lag(share).over(SERIES),
-            "activity_lag_24": F.lag(activity, 24).over(SERIES),
-            "next_activity": F.lead(activity).over(SERIES),
+            "internet_share_at_t": F.lag(share).over(own),
+            "activity_lag_24": F.lag(activity, 24).over(own),
+            "next_activity": F.lead(activity).over(own),
         }
     )
 
@@ -115,22 +118,24 @@ def with_hour_index(hourly, days=None):
 
 def lag_features(hourly):
     """Lags, full-window rolling statistics and the next-hour target of the forecast."""
+    own = cell_series()
+
     def rolled(function, rows):
-        return full_frame(function, "internet", SERIES, rows)
+        return full_frame(function, "internet", own, rows)
 
     return hourly.withColumns(
         {
             "internet_lag1": F.col("internet"),
-            "internet_lag2": F.lag("internet", 1).over(SERIES),
-            "internet_lag3": F.lag("internet", 2).over(SERIES),
-            "internet_lag24": F.lag("internet", 23).over(SERIES),
+            "internet_lag2": F.lag("internet", 1).over(own),
+            "internet_lag3": F.lag("internet", 2).over(own),
+            "internet_lag24": F.lag("internet", 23).over(own),
             "internet_roll_mean_3": rolled(F.avg, 3),
             "internet_roll_std_3": rolled(F.stddev_samp, 3),
             "internet_roll_mean_24": rolled(F.avg, 24),
             "internet_roll_std_24": rolled(F.stddev_samp, 24),
             "calls_lag1": F.col("total_calls"),
             "sms_lag1": F.col("total_sms"),
-            "internet_target": F.lead("internet").over(SERIES),
+            "internet_target": F.lead("internet").over(own),
         }
     )
 

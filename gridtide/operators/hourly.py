@@ -68,9 +68,12 @@ def hourly_by_slot(usage, scale=None):
     return summed.withColumn("total_activity", total)
 
 
-def hourly_batch(usage, scale=None):
-    """Hourly aggregate of the batch cleaner: internet keeps its name, weekdays count from Monday = 0."""
-    summed = usage.groupBy("grid_id", "timestamp").agg(
+def hourly_batch(usage, scale=None, by=()):
+    """Hourly aggregate of the batch cleaner: internet keeps its name, weekdays count from Monday = 0.
+
+    With `by`, for example the source file, every group is aggregated on its own.
+    """
+    summed = usage.groupBy(*by, "grid_id", "timestamp").agg(
         *[exact_sum(name, scale).alias(name) for name in MEASURES]
     )
     return with_totals(summed).withColumns(

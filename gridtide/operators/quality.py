@@ -201,27 +201,27 @@ def enrichment_coverage(hourly, enriched):
     )
 
 
+def content_counts():
+    """Aggregates behind the verdict of a source; the raw columns hold text."""
+    counts = [
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(F.try_to_timestamp("datetime").isNull()).alias("bad_time"),
+        F.count_if(F.col("CellID").isNull()).alias("no_cell"),
+    ]
+    for name in RAW_MEASURES:
+        number = F.col(name).try_cast("double")
+        counts.append(F.count_if(number.isNull() & F.col(name).isNotNull()).alias(f"{name}_text"))
+        counts.append(F.count_if(number < 0).alias(f"{name}_negative"))
+    return counts
+
+
 def content_gate(rows, by="source"):
     """Verdict of every source from its cells as text; the first failing check gives the reason.
 
     Order of the checks: no rows, malformed time, missing cell, then per measure non-numeric and
     negative values. `rows` holds the raw columns as strings.
     """
-    numbers = {name: F.col(name).try_cast("double") for name in RAW_MEASURES}
-    counts = [
-        F.count("datetime_or_row").alias("row_count"),
-        F.count_if(F.col("datetime_or_row").isNotNull() & F.try_to_timestamp("datetime").isNull()).alias(
-            "bad_time"
-        ),
-        F.count_if(F.col("datetime_or_row").isNotNull() & F.col("CellID").isNull()).alias("no_cell"),
-    ]
-    for name, number in numbers.items():
-        counts.append(F.count_if(number.isNull() & F.col(name).isNotNull()).alias(f"{name}_text"))
-        counts.append(F.count_if(number < 0).alias(f"{name}_negative"))
-    # A source without data rows arrives as one all-NULL row, which must not count as a record.
-    present = F.coalesce(*[F.col(name) for name in ("datetime", "CellID", "countrycode", *RAW_MEASURES)])
-    counted = rows.withColumn("datetime_or_row", present).groupBy(by).agg(*counts)
-    return verdicts(counted).select(by, "status", "row_count", "reason")
+    return verdicts(rows.groupBy(by).agg(*content_counts())).select(by, "status", "row_count", "reason")
 
 
 def verdicts(counted):

@@ -37,8 +37,8 @@ _RATIOS = ("avg_activity", "peak_ratio", "variability", "activity_growth", "inte
 
 
 @query(
-    f"{_HOURLY}, {_TRAILING} SELECT grid_id, timestamp, active_hours, activity_lag_24, next_activity, "
-    + ", ".join(f"ROUND({name}, 6) AS {name}" for name in _RATIOS)
+    f"{_HOURLY}, {_TRAILING} SELECT grid_id, timestamp, active_hours, "
+    + ", ".join(f"ROUND({name}, 6) AS {name}" for name in (*_RATIOS, "activity_lag_24", "next_activity"))
     + " FROM past_day"
 )
 def trailing_features(t):
@@ -85,9 +85,9 @@ def drop_training_rows(t):
 
 
 @query(
-    f"{DROP_ROWS_SQL}, per_hour AS (SELECT timestamp, count(*) AS n FROM rows GROUP BY 1), placed AS (SELECT timestamp, "
+    f"{DROP_ROWS_SQL}, per_hour AS (SELECT timestamp, count(*) AS n FROM rows GROUP BY 1), ahead AS (SELECT timestamp, "
     "coalesce(sum(n) OVER (ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) "
-    "OVER () AS total FROM per_hour), cut AS (SELECT min(timestamp) AS c FROM placed WHERE before >= total * 0.8) "
+    "OVER () AS total FROM per_hour), cut AS (SELECT min(timestamp) AS c FROM ahead WHERE before >= total * 0.8) "
     "SELECT count(*) FILTER (WHERE timestamp < c) AS train_rows, count(*) FILTER (WHERE timestamp >= c) AS test_rows, "
     "min(c) AS cut FROM rows, cut"
 )
@@ -261,23 +261,23 @@ _POINTS = (
 )
 
 
-@query(f"WITH {_POINTS} SELECT grid_id, ROUND(distance, 6) AS distance FROM nearest")
+@query(f"WITH {_POINTS} SELECT grid_id, ROUND(distance, 8) AS distance FROM nearest")
 def nearest_distances(t):
-    return rounded(spatial.nearest_distances(t.points()), 6)
+    return rounded(spatial.nearest_distances(t.points()), 8)
 
 
-@query(f"WITH {_POINTS} SELECT ROUND(median(distance), 6) AS value FROM nearest")
+@query(f"WITH {_POINTS} SELECT ROUND(median(distance), 8) AS value FROM nearest")
 def grid_step(t):
-    return rounded(spatial.grid_step(t.points()), 6)
+    return rounded(spatial.grid_step(t.points()), 8)
 
 
 @query(
     f"WITH {_POINTS}, ranked AS (SELECT grid_id, neighbor_id, distance, row_number() OVER (PARTITION BY grid_id ORDER BY "
     "distance, neighbor_id) AS r FROM pairs WHERE distance <= (SELECT median(distance) * 1.5::DOUBLE FROM nearest)) "
-    "SELECT grid_id, neighbor_id, ROUND(distance, 6) AS distance FROM ranked WHERE r <= 8"
+    "SELECT grid_id, neighbor_id, ROUND(distance, 8) AS distance FROM ranked WHERE r <= 8"
 )
 def distance_edges(t):
-    return rounded(spatial.distance_edges(t.points()), 6)
+    return rounded(spatial.distance_edges(t.points()), 8)
 
 
 @query("SELECT ROUND(quantile_cont(l_extendedprice, 0.05), 6) AS value FROM lineitem")

@@ -57,7 +57,7 @@ def traffic_mix(t):
 
 _ALL_CELLS = (
     f"{_HOURLY}, {CELLS_SQL}, {_DAILY}, activity AS (SELECT grid_id, sum(total_activity) AS activity FROM grid_daily "
-    "GROUP BY grid_id), located AS (SELECT c.grid_id, centroid_latitude, centroid_longitude, coalesce(activity, 0) AS "
+    "GROUP BY grid_id), located AS (SELECT c.grid_id, centroid_latitude, centroid_longitude, ROUND(coalesce(activity, 0), 4) AS "
     "activity FROM cells c LEFT JOIN activity USING (grid_id))"
 )
 
@@ -85,7 +85,7 @@ def all_cells_of_date(t):
     "WHEN r >= 0.22 THEN 'mid' ELSE 'low' END AS heat FROM relative"
 )
 def heat_map(t):
-    heated = serving.heat_map(serving.all_cells(t.cells(), _daily(t)))
+    heated = serving.heat_map(rounded(serving.all_cells(t.cells(), _daily(t))))
     return rounded(heated.select("grid_id", "relative", "heat"), 6)
 
 
@@ -209,8 +209,10 @@ def feature_freshness(t):
 
 @query(
     f"{_FEATURES} SELECT grid_id, timestamp, ROUND(activity_lag_24, 6) AS activity_lag_24, ROUND(neighbor_avg_activity, "
-    "6) AS neighbor_avg_activity, CAST(0 AS DOUBLE) AS age_hours, 'FRESH' AS freshness_status FROM features WHERE "
-    "grid_id = 2 AND timestamp = (SELECT max(timestamp) FROM hourly WHERE grid_id = 2)"
+    "6) AS neighbor_avg_activity, age AS age_hours, CASE WHEN age <= 2 THEN 'FRESH' WHEN age <= 6 THEN 'STALE' ELSE "
+    "'OUTDATED' END AS freshness_status FROM (SELECT *, CAST(date_diff('hour', timestamp, (SELECT max(timestamp) FROM "
+    "hourly)) AS DOUBLE) AS age FROM features) WHERE grid_id = 2 AND timestamp = (SELECT max(timestamp) FROM hourly WHERE "
+    "grid_id = 2)"
 )
 def cell_features_latest(t):
     row = serving.cell_features(zone_features(t), 2)

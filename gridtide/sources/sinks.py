@@ -5,43 +5,50 @@ import json
 from pyspark.sql import functions as F
 
 from gridtide import texts
+from gridtide.functions.sizes import BROADCAST_BYTES, fits_broadcast
 from gridtide.operators.alerts import alerted_share, alerts_by_type, cells_by_alerts
+from gridtide.operators.hourly import cell_kpis, daily_kpis
 from gridtide.schemas import forbid_columns
 
 
-def write_table(df, path, by=None, per_date=False):
-    """Overwrite a Parquet table, partitioned by `by` when given.
+def rebalanced(df, *columns):
+    """Bring equal values of the columns together before a write.
 
-    With `per_date` rows are first brought together by partition value, split by the number of shuffle
-    partitions, so that each date gets few files and a heavy date is still written by several tasks.
+    Adaptive execution then splits values that are too large for one file and merges small ones to the
+    advisory partition size, so a heavy date or cell is still written by many tasks.
     """
-    if per_date and by:
-        df = df.repartition(*_spread(df, by))
+    return df.hint("rebalance", *columns)
+
+
+def write_table(df, path, by=None):
+    """Overwrite a Parquet table, partitioned by `by` when given."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def _spread(df, by, files=4):
-    """Repartitioning columns: the partition value and a small salt taken from the row."""
-    rest = [name for name in df.columns if name != by]
-    return by, F.pmod(F.xxhash64(*rest), F.lit(files))
+def overwrite_partitions(df, path, by="date", gather=True):
+    """Replace only the partitions present in `df`; the others stay as they are.
 
-
-def overwrite_partitions(df, path, by="date"):
-    """Replace only the partitions present in `df`; the others stay as they are."""
-    spread = df.repartition(*_spread(df, by))
-    writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(by).parquet(path)
+    Without `gather` every task writes its own rows, which suits frames that hold one partition value.
+    """
+    writer = (rebalanced(df, by) if gather else df).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def write_by_cell(df, path, files=8):
-    """Overwrite a Parquet table as about `files` files, each cell inside one file unless it is heavy."""
-    df.repartition(files, "grid_id").write.mode("overwrite").parquet(path)
+    """Overwrite a Parquet table as `files` files of similar size, cells in order.
+
+    Range partitioning by cell and time keeps a cell in neighbouring files and still splits a heavy one.
+    """
+    ranged = df.repartitionByRange(files, "grid_id", "timestamp").sortWithinPartitions("grid_id", "timestamp")
+    ranged.write.mode("overwrite").parquet(path)
 
 
-def write_single_csv(df, path):
-    """One CSV file with header; only for marts of a few rows, such as a top-n report."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_single_csv(df, path, max_bytes=BROADCAST_BYTES):
+    """One CSV file with header; raises when the frame is not the small mart this is meant for."""
+    if not fits_broadcast(df, max_bytes):
+        raise ValueError(f"{path}: too large for a single file")
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_jdbc(df, url, table, properties=None):
@@ -128,8 +135,6 @@ def write_text(spark, text, path):
 
 def write_combined_summaries(hourly, profiles, path):
     """Daily, cell and per-file summaries over all files."""
-    from gridtide.operators.hourly import cell_kpis, daily_kpis
-
     write_table(daily_kpis(hourly), f"{path}/daily_summary")
     write_table(cell_kpis(hourly), f"{path}/grid_summary")
     if profiles is not None:
@@ -165,18 +170,11 @@ def storage_footprint(spark, datasets):
     return sizes
 
 
-def append_status(spark, path, stage, status, reason=None, **counts):
-    """Append one run-status row: stage, status, reason, counts and time."""
-    row = spark.range(1).select(
-        F.lit(stage).alias("stage"),
-        F.lit(status).alias("status"),
-        F.lit(reason).cast("string").alias("reason"),
-        F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(n))]).alias("counts")
-        if counts
-        else F.lit(None).cast("map<string,int>").alias("counts"),
-        F.current_timestamp().alias("processed_at"),
-    )
-    row.withColumn("counts", F.col("counts").cast("map<string,bigint>")).coalesce(1).write.mode("append").parquet(path)
+def append_status(spark, path, stage, status, reason=None, run_id=None, **counts):
+    """Append one run-status row: stage, run, status, reason, counts and time."""
+    schema = "stage string, run_id string, status string, reason string, counts map<string,bigint>"
+    row = spark.createDataFrame([(stage, run_id, status, reason, {k: int(v) for k, v in counts.items()})], schema)
+    row.withColumn("processed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
 
 
 def latest_status(spark, path, stage):

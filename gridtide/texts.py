@@ -8,6 +8,11 @@ NOT_NUMERIC = "Non-numeric values found in activity column '{name}': "
 NEGATIVE = "Negative activity values found in '{name}': "
 CHECKS_PASSED = "Minimum quality checks passed"
 
+# Outcome of the header check.
+SCHEMA_MISMATCH = "Schema mismatch. Expected columns: {expected}; Found: "
+UNREADABLE = "Unable to read CSV schema: file is empty"
+RAGGED = "Quality validation failed: rows with more fields than the header: "
+
 # Wording of an alert reason.
 ALERT_START = "current activity "
 AGAINST_BASELINE = "the grid's within-day median baseline"
