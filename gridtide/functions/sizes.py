@@ -1,6 +1,8 @@
 """Size checks in front of every broadcast, and lineage cuts."""
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,19 +37,27 @@ def broadcast_within(df, max_bytes=BROADCAST_BYTES):
     return F.broadcast(df) if fits_broadcast(df, max_bytes) else df
 
 
+@lru_cache
+def _local_folder(app_id):
+    return tempfile.mkdtemp(prefix=f"gridtide-{app_id}-")
+
+
 def checkpoint_dir(spark):
     """The shared folder named by spark.checkpoint.dir; a fresh local one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="gridtide-checkpoint-")
+        return _local_folder(spark.sparkContext.applicationId)
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
 def cut_lineage(df):
-    """Write `df` to the checkpoint folder so that lost executors never replay earlier rounds."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Store `df` below the checkpoint folder and read it back.
+
+    Later rounds then start from files: a lost executor replays nothing, the plan does not grow from
+    round to round, and the file sizes let the planner choose the joins.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/gridtide-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
