@@ -1,5 +1,7 @@
 """Order statistics and running counts that never sort a whole table in one task."""
 
+from math import ceil, floor
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -7,59 +9,43 @@ from pyspark.sql import functions as F
 def exact_percentile(df, column, fraction, accuracy=10_000):
     """One row (value): percentile with linear interpolation between the two nearest ranks.
 
-    A mergeable sketch first brackets the wanted ranks, then one counting pass keeps only the values
-    inside the bracket. The sketch is off by at most n/accuracy ranks, so with a margin of 4/accuracy
-    the bracket always holds both ranks and about 10 n/accuracy values; up to `accuracy` rows the
-    bracket is the whole range. A violated bracket raises instead of returning a wrong value.
+    A mergeable sketch, run right away as a one-row job, brackets the wanted ranks; one counting pass
+    then keeps only the values inside the bracket. The sketch is off by at most n/accuracy ranks, so with
+    a margin of 4/accuracy the bracket holds both ranks and about 10 n/accuracy values; up to `accuracy`
+    rows the bracket is the whole range. A violated bracket raises instead of returning a wrong value.
     """
     margin = 4.0 / accuracy
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    around = F.array(F.lit(max(fraction - margin, 0.0)), F.lit(min(fraction + margin, 1.0)))
     sketch = values.agg(
         F.count("v").alias("n"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),
-        F.percentile_approx(
-            "v", F.array(F.lit(max(fraction - margin, 0.0)), F.lit(min(fraction + margin, 1.0))), accuracy
-        ).alias("around"),
-    ).select(
-        F.struct(
-            "n",
-            F.when(F.col("n") <= accuracy, F.col("least")).otherwise(F.col("around")[0]).alias("low"),
-            F.when(F.col("n") <= accuracy, F.col("most")).otherwise(F.col("around")[1]).alias("high"),
-        ).alias("s")
-    )
-    bounds = sketch.scalar()
+        F.percentile_approx("v", around, accuracy).alias("around"),
+    ).first()
+    if sketch.n == 0:
+        return values.agg(F.max("v").alias("value"))
+    low, high = (sketch.least, sketch.most) if sketch.n <= accuracy else sketch.around
+    position = fraction * (sketch.n - 1)
+    first, second = floor(position), ceil(position)
     counted = (
-        values.where(F.col("v") <= bounds["high"])
-        .select(F.when(F.col("v") >= bounds["low"], F.col("v")).alias("v"))
+        values.where(F.col("v") <= high)
+        .select(F.when(F.col("v") >= low, F.col("v")).alias("v"))
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
+    # Values below the bracket arrive as one NULL row that only shifts the ranks of the others.
     upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    position = F.lit(float(fraction)) * (F.col("n") - 1)
-    picked = (
-        counted.withColumn("upto", F.sum("copies").over(upto))
-        .withColumn("n", bounds["n"])
-        .withColumn("position", position)
-        .agg(
-            F.first("n").alias("n"),
-            F.first("position").alias("position"),
-            F.max("upto").alias("covered"),
-            F.max(F.when(F.col("v").isNull(), F.col("copies"))).alias("skipped"),
-            F.min(F.when(F.col("upto") > F.floor("position"), F.col("v"))).alias("low"),
-            F.min(F.when(F.col("upto") > F.ceil("position"), F.col("v"))).alias("high"),
-        )
-    )
-    outside = (F.coalesce(F.col("skipped"), F.lit(0)) > F.floor("position")) | (
-        F.col("covered") <= F.ceil("position")
-    )
-    part = F.col("position") - F.floor("position")
-    return picked.select(
-        F.when(F.col("n").isNull(), F.lit(None).cast("double"))
-        .when(outside, F.raise_error(F.lit("percentile bracket misses the wanted rank")).cast("double"))
-        .otherwise(F.col("low") + (F.col("high") - F.col("low")) * part)
-        .alias("value")
+    picked = counted.withColumn("upto", F.sum("copies").over(upto)).agg(
+        F.max("upto").alias("covered"),
+        F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("copies"))), F.lit(0)).alias("skipped"),
+        F.min(F.when(F.col("upto") > first, F.col("v"))).alias("low"),
+        F.min(F.when(F.col("upto") > second, F.col("v"))).alias("high"),
     )
+    inside = (F.col("skipped") <= first) & (F.col("covered") > second)
+    missed = F.raise_error(F.lit("percentile bracket misses the wanted rank")).cast("double")
+    value = F.col("low") + (F.col("high") - F.col("low")) * F.lit(position - first)
+    return picked.select(F.when(inside, value).otherwise(missed).alias("value"))
 
 
 def exact_median(df, column):

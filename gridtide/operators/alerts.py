@@ -8,6 +8,7 @@ from gridtide.functions.columns import day_and_hour, ratio_or_null
 from gridtide.functions.ranks import exact_percentile
 from gridtide.functions.windows import leave_one_out_median
 from gridtide.operators.hourly import grid_daily_totals
+from gridtide.operators.quality import with_hours_in_day
 from gridtide.schemas import ALERT_COLUMNS, HOURS_PER_DAY, require_columns
 
 # Rule multipliers and the floor percentile.
@@ -25,13 +26,10 @@ def cell_day():
 def with_baseline(hourly, expected_hours=HOURS_PER_DAY):
     """Add baseline_activity: median of the other hours of the cell's day, NULL on partial days."""
     require_columns(hourly, ("date", "grid_id", "hour", "total_activity"))
-    # Distinct hours by flagging the first row of each hour: the group is sorted by hour only once.
-    by_hour = cell_day().orderBy("hour")
-    is_new = F.coalesce(F.lag("hour").over(by_hour) != F.col("hour"), F.lit(True)).cast("int")
-    counted = hourly.withColumn("__new", is_new).withColumn("__hours", F.sum("__new").over(cell_day()))
+    counted = with_hours_in_day(hourly)
     scored = leave_one_out_median(counted, "total_activity", ("grid_id", "date"), out="__median")
-    baseline = F.when(F.col("__hours") == expected_hours, F.col("__median"))
-    return scored.withColumn("baseline_activity", baseline).drop("__new", "__hours", "__median")
+    baseline = F.when(F.col("hours_in_day") == expected_hours, F.col("__median"))
+    return scored.withColumn("baseline_activity", baseline).drop("hours_in_day", "__median")
 
 
 def activity_floor(hourly, percentile=FLOOR_PERCENTILE, scale=None):
@@ -47,13 +45,18 @@ def activity_floor(hourly, percentile=FLOOR_PERCENTILE, scale=None):
 def with_floor(df, floor):
     """Add the day total of the cell, the floor values and whether the day lies below the floor."""
     values = floor.select(F.struct("floor_value", "hourly_floor_value").alias("f")).scalar()
-    return df.withColumns(
-        {
-            "grid_day_total_activity": F.sum("total_activity").over(cell_day()),
-            "floor_value": values["floor_value"],
-            "hourly_floor_value": values["hourly_floor_value"],
-        }
-    ).withColumn("below_floor", F.col("grid_day_total_activity") < F.col("floor_value"))
+    day_total = F.sum("total_activity").over(cell_day())
+    return (
+        df.withColumns({"grid_day_total_activity": day_total, "__floor": values})
+        .withColumns(
+            {
+                "floor_value": F.col("__floor.floor_value"),
+                "hourly_floor_value": F.col("__floor.hourly_floor_value"),
+                "below_floor": F.col("grid_day_total_activity") < F.col("__floor.floor_value"),
+            }
+        )
+        .drop("__floor")
+    )
 
 
 def with_previous_hour(df, strict_hours=False):

@@ -199,9 +199,18 @@ def leakage_check(features):
     )
 
 
+def with_part(features, train, validation, test):
+    """Add `part` (train, validation or test) by the date of the target hour, NULL outside all three."""
+    part = F
+    for name, dates in (("train", train), ("validation", validation), ("test", test)):
+        part = part.when(F.col("target_date").isin([F.lit(day).cast("date") for day in dates]), name)
+    return features.withColumn("part", part)
+
+
 def split_by_target_date(features, train, validation, test):
     """Three frames, by the date of the target hour."""
-    return tuple(on_dates(features, dates, "target_date") for dates in (train, validation, test))
+    labelled = with_part(features, train, validation, test)
+    return tuple(labelled.where(F.col("part") == name).drop("part") for name in ("train", "validation", "test"))
 
 
 def chronological_cut(df, share=0.8):

@@ -176,11 +176,11 @@ def classification_report(df, label, predicted):
     return counts.select(F.inline(rows))
 
 
-def regression_metrics(df, actual, predicted):
-    """One row: MAE, RMSE, MAPE over actuals above 1e-6, and the number of rows."""
+def regression_metrics(df, actual, predicted, by=()):
+    """MAE, RMSE, MAPE over actuals above 1e-6 and the number of rows; one row, or one per group."""
     error = F.abs(F.col(actual) - F.col(predicted))
     share = F.when(F.col(actual) > 1e-6, error / F.col(actual))
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.avg(error).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         (F.avg(share) * 100).alias("mape"),

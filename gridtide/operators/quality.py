@@ -1,5 +1,6 @@
 """Profiles, checks and gates. Each one reads its input once."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide import texts
@@ -101,34 +102,67 @@ def grain(df, by=()):
 def kpi_profile(raw, clean, by="source"):
     """Profile of every source file: identity, cadence, grain, busiest hour and cell, raw NULL counts.
 
-    Every part is pre-aggregated to one row per source before the joins, so the joined tables are as
-    small as the list of files.
+    Cleaned rows are first reduced to one row per source, time and cell; hours, cells and times are then
+    totalled together as grouping sets, so everything but the countries comes from one pass.
     """
-    identity = clean.groupBy(by).agg(
-        F.count_distinct("grid_id").alias("unique_grids"),
-        F.min("timestamp").alias("time_range_start"),
-        F.max("timestamp").alias("time_range_end"),
-        F.count_distinct("country_code").alias("country_code_categories"),
-        F.count(F.lit(1)).alias("rows_cleaned"),
-    )
     activity = sum((F.col(name) for name in MEASURES[1:]), F.col(MEASURES[0]))
+    slots = clean.groupBy(by, "timestamp", "grid_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("country_code").alias("countries"), F.sum(activity).alias("a")
+    )
+    slots = slots.withColumn("hour", F.hour("timestamp"))
+    keys = ("hour", "grid_id", "timestamp")
+    sets = slots.groupingSets([[F.col(by), F.col(key)] for key in keys], by, *keys).agg(
+        F.sum("a").alias("a"),
+        F.sum("rows").alias("rows"),
+        F.count(F.lit(1)).alias("slots"),
+        F.sum("countries").alias("countries"),
+        F.max("countries").alias("most"),
+        *[F.grouping(key).alias(f"no_{key}") for key in keys],
+    )
+    is_hour, is_cell, is_time = [F.col(f"no_{key}") == 0 for key in keys]
 
-    def arg_max(key, name):
-        totals = clean.groupBy(by, key.alias("k")).agg(F.sum(activity).alias("t"))
-        best = F.max(F.struct(F.col("t"), (-F.col("k")).alias("k")))
-        return totals.groupBy(by).agg(best.alias("b")).select(
-            by, (-F.col("b.k")).alias(name), F.col("b.t").alias(f"{name}_total_activity")
-        )
+    def best(kind, key):
+        return F.max(F.when(kind, F.struct(F.col("a"), (-F.col(key)).alias("k"))))
 
+    hour = 3_600_000_000
+    micros = F.when(is_time, F.unix_micros("timestamp"))
+    offset = F.pmod(micros, F.lit(hour))
+    per_source = sets.groupBy(by).agg(
+        F.count_if(is_cell).alias("unique_grids"),
+        F.min("timestamp").alias("time_range_start"),
+        F.max("timestamp").alias("time_range_end"),
+        F.sum(F.when(is_hour, F.col("rows"))).alias("rows_cleaned"),
+        F.count_if(is_time).alias("unique_timestamps"),
+        ((F.min(offset) == F.max(offset)) & (F.max(micros) - F.min(micros) == 23 * hour)).alias("full_span"),
+        F.sum(F.when(is_hour, F.col("countries"))).alias("countries"),
+        F.sum(F.when(is_hour, F.col("slots"))).alias("slots"),
+        F.max("most").alias("max_country_rows_per_grid_hour"),
+        best(is_hour, "hour").alias("h"),
+        best(is_cell, "grid_id").alias("g"),
+    )
+    profile = per_source.select(
+        by,
+        "unique_grids",
+        "time_range_start",
+        "time_range_end",
+        "rows_cleaned",
+        "unique_timestamps",
+        ((F.col("unique_timestamps") == HOURS_PER_DAY) & F.col("full_span")).alias("cadence_ok"),
+        ratio_or_null("countries", "slots").alias("avg_country_rows_per_grid_hour"),
+        "max_country_rows_per_grid_hour",
+        (F.col("max_country_rows_per_grid_hour") > 1).alias("raw_grain_confirmed"),
+        (-F.col("h.k")).alias("busiest_hour"),
+        F.col("h.a").alias("busiest_hour_total_activity"),
+        (-F.col("g.k")).alias("busiest_grid_id"),
+        F.col("g.a").alias("busiest_grid_total_activity"),
+    )
+    countries = clean.groupBy(by).agg(F.count_distinct("country_code").alias("country_code_categories"))
     nulls = raw.groupBy(by).agg(
         F.count(F.lit(1)).alias("rows_loaded"),
         *[F.count_if(F.col(name).isNull()).alias(f"{name}_nulls") for name in raw.columns if name != by],
     )
-    profile = identity.join(cadence(clean, (by,)).drop("is_24_points", "is_hourly_spacing"), by)
-    profile = profile.join(grain(clean, (by,)), by)
-    profile = profile.join(arg_max(F.hour("timestamp"), "busiest_hour"), by)
-    profile = profile.join(arg_max(F.col("grid_id"), "busiest_grid_id"), by)
-    return profile.join(nulls, by)
+    # All three are as long as the list of sources.
+    return profile.join(countries, by).join(nulls, by)
 
 
 def duplicate_keys(df, keys=("grid_id", "timestamp")):
@@ -326,10 +360,21 @@ def partial_days(hourly, expected=HOURS_PER_DAY):
     return hours.where(F.col("distinct_hours") != expected)
 
 
+def with_hours_in_day(hourly):
+    """Add the number of distinct hours of the cell's day.
+
+    Distinct hours are counted by flagging the first row of each hour, in the (cell, date) partitioning
+    that the other day windows use as well.
+    """
+    day = Window.partitionBy("grid_id", "date")
+    is_new = F.coalesce(F.lag("hour").over(day.orderBy("hour")) != F.col("hour"), F.lit(True)).cast("int")
+    return hourly.withColumn("__new", is_new).withColumn("hours_in_day", F.sum("__new").over(day)).drop("__new")
+
+
 def rows_in_partial_days(hourly, expected=HOURS_PER_DAY):
-    """Rows that belong to a partial cell day (semi-join on the short list of such days)."""
-    return hourly.join(partial_days(hourly, expected).select("grid_id", "date"), ["grid_id", "date"], "left_semi")
+    """Rows that belong to a partial cell day."""
+    return with_hours_in_day(hourly).where(F.col("hours_in_day") != expected).drop("hours_in_day")
 
 
 def rows_in_full_days(hourly, expected=HOURS_PER_DAY):
-    return hourly.join(partial_days(hourly, expected).select("grid_id", "date"), ["grid_id", "date"], "left_anti")
+    return with_hours_in_day(hourly).where(F.col("hours_in_day") == expected).drop("hours_in_day")

@@ -161,14 +161,11 @@ def leakage_check(t):
     "target_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-23' GROUP BY 1"
 )
 def split_by_target_date(t):
-    parts = features.split_by_target_date(
+    """Size of every part."""
+    labelled = features.with_part(
         zone_forecast_rows(t), ("2024-01-20", "2024-01-21"), ("2024-01-22",), ("2024-01-23",)
     )
-    named = [
-        part.groupBy(F.lit(name).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
-        for name, part in zip(("train", "validation", "test"), parts)
-    ]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    return labelled.where(F.col("part").isNotNull()).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(

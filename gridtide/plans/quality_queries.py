@@ -108,8 +108,8 @@ def _arg_max_sql(key, name):
         for name in ("timestamp", "grid_id", "country_code", *MEASURES)
     )
     + " FROM usage GROUP BY 1) SELECT i.*, unique_timestamps, is_hourly_spacing AND is_24_points AS cadence_ok, "
-    "avg_country_rows_per_grid_hour, max_country_rows_per_grid_hour, grain_confirmed, busiest_hour, "
-    "busiest_hour_total_activity, busiest_grid_id, busiest_grid_id_total_activity, n.* EXCLUDE (date) FROM identity i "
+    "avg_country_rows_per_grid_hour, max_country_rows_per_grid_hour, grain_confirmed AS raw_grain_confirmed, busiest_hour, "
+    "busiest_hour_total_activity, busiest_grid_id, busiest_grid_id_total_activity AS busiest_grid_total_activity, n.* EXCLUDE (date) FROM identity i "
     "JOIN cadence USING (date) JOIN grain USING (date) JOIN busiest_hour USING (date) JOIN busiest_grid_id USING (date) "
     "JOIN nulls n USING (date)"
 )

@@ -44,16 +44,10 @@ def train_forecast(spark, hourly, out, train_dates, validation_dates, test_dates
         raise ValueError(f"{check['misaligned_rows']} targets are not exactly one hour ahead")
     parts = feats.split_by_target_date(rows, train_dates, validation_dates, test_dates)
     model = models.train_forecaster(parts[0], parts[1], **options)
-    named = [p.withColumn("part", F.lit(n)) for n, p in zip(("train", "validation", "test"), parts)]
-    everything = named[0].unionByName(named[1]).unionByName(named[2])
-    write_table(models.forecast(model, everything), f"{out}/forecasts")
+    labelled = feats.with_part(rows, train_dates, validation_dates, test_dates).where(F.col("part").isNotNull())
+    write_table(models.forecast(model, labelled), f"{out}/forecasts")
     predicted = spark.read.parquet(f"{out}/forecasts")
-    evaluation = None
-    for name in ("train", "validation", "test"):
-        one = metrics.regression_metrics(predicted.where(F.col("part") == name), "internet_target", "y_pred")
-        one = one.withColumn("part", F.lit(name))
-        evaluation = one if evaluation is None else evaluation.unionByName(one)
-    write_table(evaluation, f"{out}/evaluation")
+    write_table(metrics.regression_metrics(predicted, "internet_target", "y_pred", by=("part",)), f"{out}/evaluation")
     write_table(feats.with_residual_scores(predicted), f"{out}/anomaly_scores")
     scored = spark.read.parquet(f"{out}/anomaly_scores")
     write_table(feats.top_anomalies(scored), f"{out}/top_anomalies")
