@@ -5,29 +5,57 @@ from math import ceil, floor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridtide.functions.sizes import cut_lineage
 
-def exact_percentile(df, column, fraction, accuracy=10_000):
+
+def _around(low_share, high_share, accuracy):
+    """Sketch of two quantiles, widened by more than its own error of 1/accuracy of the rows."""
+    margin = 4.0 / accuracy
+    shares = (max(low_share - margin, 0.0), min(high_share + margin, 1.0))
+    return F.percentile_approx("v", F.array(*[F.lit(share) for share in shares]), accuracy)
+
+
+def _narrowed(values, ranks, low, high, accuracy, keep):
+    """Shrink the bracket (low, high) around two 0-based ranks to about `keep` values.
+
+    Each round counts the values inside and sketches only those, two one-row jobs.
+    """
+    inside = None
+    while True:
+        within = (F.col("v") > low) & (F.col("v") < high)
+        counts = values.agg(
+            F.count_if(F.col("v") <= low).alias("below"), F.count_if(within).alias("inside")
+        ).first()
+        on_the_rim = ranks[0] < counts.below or ranks[1] >= counts.below + counts.inside
+        if counts.inside <= keep or on_the_rim or inside == counts.inside:
+            return low, high
+        inside = counts.inside
+        shares = (ranks[0] - counts.below) / inside, (ranks[1] + 1 - counts.below) / inside
+        low, high = values.where(within).agg(_around(*shares, accuracy).alias("a")).first()["a"]
+
+
+def exact_percentile(df, column, fraction, accuracy=10_000, keep=1_000_000):
     """One row (value): percentile with linear interpolation between the two nearest ranks.
 
-    A mergeable sketch, run right away as a one-row job, brackets the wanted ranks; one counting pass
-    then keeps only the values inside the bracket. The sketch is off by at most n/accuracy ranks, so with
-    a margin of 4/accuracy the bracket holds both ranks and about 10 n/accuracy values; up to `accuracy`
-    rows the bracket is the whole range. A violated bracket raises instead of returning a wrong value.
+    A one-row job, run right away, counts the values and brackets the wanted ranks with a mergeable
+    sketch; a counting pass then ranks only the values inside the bracket. It holds about 10 n/accuracy
+    values and is narrowed further beyond `keep`; up to `accuracy` rows it is the whole range. A violated
+    bracket raises instead of returning a wrong value.
     """
-    margin = 4.0 / accuracy
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    around = F.array(F.lit(max(fraction - margin, 0.0)), F.lit(min(fraction + margin, 1.0)))
-    sketch = values.agg(
+    size = values.agg(
         F.count("v").alias("n"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),
-        F.percentile_approx("v", around, accuracy).alias("around"),
+        _around(fraction, fraction, accuracy).alias("around"),
     ).first()
-    if sketch.n == 0:
+    if size.n == 0:
         return values.agg(F.max("v").alias("value"))
-    low, high = (sketch.least, sketch.most) if sketch.n <= accuracy else sketch.around
-    position = fraction * (sketch.n - 1)
+    position = fraction * (size.n - 1)
     first, second = floor(position), ceil(position)
+    low, high = (size.least, size.most) if size.n <= accuracy else size.around
+    if size.n > accuracy and 10 * size.n / accuracy > keep:
+        low, high = _narrowed(values, (first, second), low, high, accuracy, keep)
     counted = (
         values.where(F.col("v") <= high)
         .select(F.when(F.col("v") >= low, F.col("v")).alias("v"))
@@ -52,11 +80,12 @@ def exact_median(df, column):
     return exact_percentile(df, column, 0.5)
 
 
-def counts_from_top(df, score, label, bins=100_000):
-    """Per distinct score in [0, 1]: positives and negatives at or above it.
+def counts_from_top(df, score, label):
+    """Per distinct score: positives and negatives at or above it.
 
-    Scores are grouped first, then cut into at most bins+1 bins; only the bin totals pass through one
-    ordered partition, the running counts inside a bin are computed per bin.
+    Scores are counted first, then range-partitioned into pieces of similar size and stored, so that the
+    pieces stay the same for both uses. Only the totals of the pieces pass through one ordered window;
+    the running counts inside a piece are computed piece by piece.
     """
     per_score = (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -65,23 +94,24 @@ def counts_from_top(df, score, label, bins=100_000):
             F.count_if(F.col(label) == 1).alias("positives"),
             F.count_if(F.col(label) == 0).alias("negatives"),
         )
-        .withColumn("bin", F.floor(F.col("score") * bins))
     )
-    above = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = per_score.repartitionByRange(F.col("score").desc()).withColumn("piece", F.spark_partition_id())
+    pieces = cut_lineage(ranged)
+    above = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        per_score.groupBy("bin")
+        pieces.groupBy("piece")
         .agg(F.sum("positives").alias("p"), F.sum("negatives").alias("q"))
         .select(
-            "bin",
+            "piece",
             F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p_above"),
             F.coalesce(F.sum("q").over(above), F.lit(0)).alias("q_above"),
         )
     )
     inside = (
-        Window.partitionBy("bin").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("piece").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     )
-    # offsets has at most bins+1 rows of three longs, which bounds the broadcast.
-    return per_score.join(F.broadcast(offsets), "bin").select(
+    # offsets has one row per shuffle partition, which bounds the broadcast.
+    return pieces.join(F.broadcast(offsets), "piece").select(
         "score",
         "positives",
         "negatives",

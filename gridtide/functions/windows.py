@@ -7,7 +7,7 @@ per hour of history and one partitioned by cell and date at most one row per hou
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridtide.functions.columns import col, ratio_or_null
+from gridtide.functions.columns import col
 
 
 def series(*keys, order="timestamp"):
@@ -25,7 +25,7 @@ def full_frame(function, value, window, rows):
     return F.when(F.count(col(value)).over(frame) == rows, function(col(value)).over(frame))
 
 
-def leave_one_out_median(df, value, keys, order=None, out="loo_median"):
+def leave_one_out_median(df, value, keys, out="loo_median"):
     """Attach the median of the other rows of the group to every row.
 
     Removing one row from a sorted group of n leaves a median that depends only on the middle order
@@ -33,37 +33,20 @@ def leave_one_out_median(df, value, keys, order=None, out="loo_median"):
     NULL for groups of one row.
     """
     group = Window.partitionBy(*keys)
-    ranked = group.orderBy(value, *(order or []))
-    rank, size, low, high = "__rank", "__size", "__low", "__high"
-    df = df.withColumn(rank, F.row_number().over(ranked) - 1).withColumn(size, F.count(F.lit(1)).over(group))
-    others = F.col(size) - 1
+    rank, others, low = F.col("__rank"), F.col("__others"), F.col("__low")
     df = df.withColumns(
         {
-            low: F.floor((others - 1) / 2).cast("int"),
-            high: F.floor(others / 2).cast("int"),
+            "__rank": F.row_number().over(group.orderBy(value)) - 1,
+            "__others": F.count(F.lit(1)).over(group) - 1,
         }
-    )
+    ).withColumn("__low", F.floor((others - 1) / 2).cast("int"))
+    middle = {
+        f"__middle{step}": F.max(F.when(rank == low + step, F.col(value))).over(group) for step in range(3)
+    }
+    df = df.withColumns(middle)
+    # A row at or below a kept position is the one left out, which shifts that position up by one.
+    lower = F.when(rank <= low, F.col("__middle1")).otherwise(F.col("__middle0"))
+    upper = F.when(rank <= low + 1, F.col("__middle2")).otherwise(F.col("__middle1"))
+    median = F.when(others % 2 == 1, lower).when(others > 0, (lower + upper) / 2.0)
+    return df.withColumn(out, median).drop("__rank", "__others", "__low", *middle)
 
-    def at(position):
-        return F.max(F.when(F.col(rank) == position, F.col(value))).over(group)
-
-    # Rows at or below a kept position see it shifted by one, because they are the one left out.
-    low_here, low_next = at(F.col(low)), at(F.col(low) + 1)
-    high_here, high_next = at(F.col(high)), at(F.col(high) + 1)
-    df = df.withColumns({"__l0": low_here, "__l1": low_next, "__h0": high_here, "__h1": high_next})
-    picked_low = F.when(F.col(rank) <= F.col(low), F.col("__l1")).otherwise(F.col("__l0"))
-    picked_high = F.when(F.col(rank) <= F.col(high), F.col("__h1")).otherwise(F.col("__h0"))
-    median = F.when(
-        F.col(size) >= 2,
-        F.when(F.col(low) == F.col(high), picked_low).otherwise((picked_low + picked_high) / 2.0),
-    )
-    return df.withColumn(out, median).drop(rank, size, low, high, "__l0", "__l1", "__h0", "__h1")
-
-
-def peak_over_mean(value, frame):
-    return ratio_or_null(F.max(col(value)).over(frame), F.avg(col(value)).over(frame))
-
-
-def spread_over_mean(value, frame):
-    """Sample deviation over mean; NULL for a frame of one row."""
-    return ratio_or_null(F.stddev_samp(col(value)).over(frame), F.avg(col(value)).over(frame))

@@ -32,9 +32,12 @@ def with_baseline(hourly, expected_hours=HOURS_PER_DAY):
     return scored.withColumn("baseline_activity", baseline).drop("hours_in_day", "__median")
 
 
-def activity_floor(hourly, percentile=FLOOR_PERCENTILE, scale=None):
-    """One row: the percentile of cell-day totals and its hourly share."""
-    totals = grid_daily_totals(hourly)
+def activity_floor(hourly, percentile=FLOOR_PERCENTILE, scale=None, totals=None):
+    """One row: the percentile of cell-day totals and its hourly share.
+
+    Pass `totals` (grid_id, date, total_activity) where they are stored already, as in the daily mart.
+    """
+    totals = grid_daily_totals(hourly) if totals is None else totals
     if scale is not None:
         totals = totals.withColumn("total_activity", F.round("total_activity", scale))
     return exact_percentile(totals, "total_activity", percentile / 100.0).select(

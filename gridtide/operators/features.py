@@ -11,7 +11,7 @@ from gridtide.functions.columns import (
     ratio_or_null,
     ratio_or_zero,
 )
-from gridtide.functions.windows import full_frame, peak_over_mean, series, spread_over_mean, trailing
+from gridtide.functions.windows import full_frame, series, trailing
 from gridtide.operators.clean import drop_incomplete, on_dates
 from gridtide.operators.enrich import with_cluster
 from gridtide.operators.spatial import with_edge_neighbor_mean, with_lattice_neighbor_mean
@@ -44,20 +44,30 @@ def trailing_features(hourly):
     """
     activity, own = F.col("total_activity"), cell_series()
     day = trailing(own, 24, gap=1)
-    recent, before = trailing(own, 12, gap=1), trailing(own, 12, gap=13)
     share = F.coalesce(ratio_or_null(_internet(hourly), activity), F.lit(0.0))
-    has_past = F.lag("timestamp").over(own).isNotNull()
-    return hourly.withColumns(
-        {
-            "avg_activity": F.avg(activity).over(day),
-            "active_hours": F.when(has_past, F.count_if(activity > 0).over(day)),
-            "peak_ratio": peak_over_mean(activity, day),
-            "variability": spread_over_mean(activity, day),
-            "activity_growth": ratio_or_null(F.avg(activity).over(recent), F.avg(activity).over(before)),
-            "internet_share_at_t": F.lag(share).over(own),
-            "activity_lag_24": F.lag(activity, 24).over(own),
-            "next_activity": F.lead(activity).over(own),
-        }
+    windows = {
+        "avg_activity": F.avg(activity).over(day),
+        "active_hours": F.count_if(activity > 0).over(day),
+        "internet_share_at_t": F.lag(share).over(own),
+        "activity_lag_24": F.lag(activity, 24).over(own),
+        "next_activity": F.lead(activity).over(own),
+        "__peak": F.max(activity).over(day),
+        "__spread": F.stddev_samp(activity).over(day),
+        "__recent": F.avg(activity).over(trailing(own, 12, gap=1)),
+        "__before": F.avg(activity).over(trailing(own, 12, gap=13)),
+    }
+    # Ratios come in a second step, so that every frame is evaluated once.
+    return (
+        hourly.withColumns(windows)
+        .withColumns(
+            {
+                "active_hours": F.when(F.col("__peak").isNotNull(), F.col("active_hours")),
+                "peak_ratio": ratio_or_null("__peak", "avg_activity"),
+                "variability": ratio_or_null("__spread", "avg_activity"),
+                "activity_growth": ratio_or_null("__recent", "__before"),
+            }
+        )
+        .drop("__peak", "__spread", "__recent", "__before")
     )
 
 

@@ -169,10 +169,12 @@ def test_percentile_interpolates_like_numpy(spark, values, fraction):
 def test_percentile_of_many_rows_uses_the_bracket(spark):
     df = spark.range(100_001).select((F.pow(F.col("id"), 2)).alias("v"))
     for fraction in (0.05, 0.5, 0.98):
-        value = exact_percentile(df, "v", fraction, accuracy=1000).first().value
+        value = exact_percentile(df, "v", fraction, accuracy=1000, keep=500).first().value
         assert value == pytest.approx((fraction * 100_000) ** 2)
     hot = spark.range(50_000).select(F.when(F.col("id") < 20_000, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
-    assert exact_percentile(hot, "v", 0.3, accuracy=500).first().value == 7.0
+    assert exact_percentile(hot, "v", 0.3, accuracy=500, keep=100).first().value == 7.0
+    assert exact_percentile(hot, "v", 0.1, accuracy=500, keep=100).first().value == 7.0
+    assert exact_percentile(hot, "v", 0.9, accuracy=500, keep=100).first().value == pytest.approx(44999.1)
     assert exact_median(spark.createDataFrame([], "v double"), "v").first().value is None
 
 
