@@ -280,52 +280,59 @@ def verdicts(counted):
     )
 
 
-def _named_counts(counts, layer):
-    pairs = [F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in counts.columns]
-    return counts.select(F.lit(layer).alias("layer"), F.inline(F.array(*pairs)))
-
-
 def quality_gate(report, clean, hourly, enriched):
     """One row per rule of the daily run: layer, rule, violations and whether it passed.
 
-    The four inputs are read once each; schema rules are decided without a scan.
+    Each of the four inputs is reduced to one row by a subquery of its own, so it is read once; the
+    rules are then expressions over those rows. Schema rules are decided without a scan.
     """
     require_columns(clean, CLEAN_COLUMNS)
     require_columns(hourly, HOURLY_COLUMNS)
+    rows = F.count(F.lit(1)).alias("rows")
+    null_keys = F.count_if(F.col("grid_id").isNull() | F.col("timestamp").isNull()).alias("null_keys")
 
     def negatives(names):
         return [F.count_if(F.col(name) < 0).alias(f"negative_{name}") for name in names]
 
-    keys = F.col("grid_id").isNull() | F.col("timestamp").isNull()
-    flow = report.select(
-        (F.col("rows_out") == 0).cast("long").alias("no_output_rows"),
-        F.col("rows_rejected").alias("rejected_rows"),
-        F.abs(F.col("rows_in") - F.col("rows_out") - F.col("rows_rejected")).alias("row_count_mismatch"),
-    )
-    cleaned = clean.agg(F.count_if(keys).alias("null_keys"), *negatives(MEASURES))
-    rows_out = report.select("rows_out").scalar()
-    rows_hourly = hourly.agg(F.count(F.lit(1)).alias("n")).scalar()
-    n = F.count(F.lit(1))
-    grouped = hourly.agg(
-        n.alias("n"), F.count_if(keys).alias("null_keys"), *negatives((*HOURLY_MEASURES, *TOTALS))
-    )
-    grouped = grouped.select(
-        (F.col("n") == 0).cast("long").alias("empty"),
-        F.greatest(F.col("n") - rows_out, F.lit(0)).cast("long").alias("more_rows_than_input"),
-        *[name for name in grouped.columns if name != "n"],
-    )
-    placed = enriched.agg(n.alias("n"), F.count_if(F.col("geometry").isNull()).alias("missing_geometry"))
-    placed = placed.select(
-        (F.col("n") == 0).cast("long").alias("empty"),
-        F.abs(F.col("n") - rows_hourly).cast("long").alias("changed_row_count"),
-        "missing_geometry",
+    def one_row(df, aggregates):
+        counted = df.agg(*aggregates)
+        return counted.select(F.struct(*counted.columns).alias("s")).scalar(), counted.columns
+
+    parts = {
+        "flow": (report.select(F.struct(*report.columns).alias("s")).scalar(), report.columns),
+        "clean": one_row(clean, [null_keys, *negatives(MEASURES)]),
+        "hourly": one_row(hourly, [rows, null_keys, *negatives((*HOURLY_MEASURES, *TOTALS))]),
+        "enriched": one_row(enriched, [rows, F.count_if(F.col("geometry").isNull()).alias("missing_geometry")]),
+    }
+    base = clean.sparkSession.range(1).select(*[value.alias(layer) for layer, (value, _) in parts.items()])
+
+    def count(layer, name):
+        return F.col(f"{layer}.{name}")
+
+    rows_out, rows_hourly = count("flow", "rows_out"), count("hourly", "rows")
+    derived = {
+        ("flow", "no_output_rows"): (rows_out == 0).cast("long"),
+        ("flow", "rejected_rows"): count("flow", "rows_rejected"),
+        ("flow", "row_count_mismatch"): F.abs(count("flow", "rows_in") - rows_out - count("flow", "rows_rejected")),
+        ("hourly", "empty"): (rows_hourly == 0).cast("long"),
+        ("hourly", "more_rows_than_input"): F.greatest(rows_hourly - rows_out, F.lit(0).cast("long")),
+        ("enriched", "empty"): (count("enriched", "rows") == 0).cast("long"),
+        ("enriched", "changed_row_count"): F.abs(count("enriched", "rows") - rows_hourly),
+    }
+    for layer in ("clean", "hourly", "enriched"):
+        derived.update({(layer, name): count(layer, name) for name in parts[layer][1] if name != "rows"})
+    rules = F.array(
+        *[
+            F.struct(
+                F.lit(layer).alias("layer"),
+                F.lit(rule).alias("rule"),
+                violations.alias("violations"),
+                (violations == 0).alias("passed"),
+            )
+            for (layer, rule), violations in derived.items()
+        ]
     )
-    parts = {"flow": flow, "clean": cleaned, "hourly": grouped, "enriched": placed}
-    rules = None
-    for layer, counts in parts.items():
-        named = _named_counts(counts.select(*[F.col(c).cast("long") for c in counts.columns]), layer)
-        rules = named if rules is None else rules.unionByName(named)
-    return rules.withColumn("passed", F.col("violations") == 0)
+    return base.select(F.inline(rules))
 
 
 def require_passed(rules):

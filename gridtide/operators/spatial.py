@@ -94,8 +94,11 @@ def _in_bins(df, side, spread):
     )
 
 
-def _start_side(sites, limit):
-    """Largest bin side, halving from the mean spacing, at which no bin holds more than `limit` points."""
+def _start_side(sites, limit, radius):
+    """Largest bin side at which no bin holds more than `limit` points, and the extent of the points.
+
+    Halving starts from the search radius, or from the mean spacing where there is none.
+    """
     box = sites.agg(
         F.count(F.lit(1)).alias("n"),
         (F.max("x") - F.min("x")).alias("w"),
@@ -104,7 +107,7 @@ def _start_side(sites, limit):
     extent = max(box.w or 0.0, box.h or 0.0)
     if box.n == 0 or extent == 0.0:
         return 1.0, 1.0
-    side = max((box.w * box.h / box.n) ** 0.5, extent / box.n) * 1.25
+    side = radius or max((box.w * box.h / box.n) ** 0.5, extent / box.n) * 1.25
     while side > extent * 1e-12:
         crowd = _in_bins(sites, side, False).groupBy("bx", "by").count().agg(F.max("count")).first()[0]
         if crowd <= limit:
@@ -135,7 +138,7 @@ def nearest_cells(points, k, radius=None):
     found = found.select("grid_id", "neighbor_id", F.lit(0.0).alias("distance"))
 
     searching = points.join(full, ["x", "y"], "left_anti")
-    side, extent = _start_side(sites, max(64, 4 * (k + 1)))
+    side, extent = _start_side(sites, max(64, 4 * (k + 1)), radius)
     limit = inf if radius is None else float(radius)
     others = sites.select(F.col("grid_id").alias("neighbor_id"), F.col("x").alias("nx"), F.col("y").alias("ny"),
                           F.col("x"), F.col("y"))
@@ -156,7 +159,7 @@ def nearest_cells(points, k, radius=None):
         kept = cut_lineage(kept)
         done = kept.where(F.col("rank") == k).select("grid_id")
         found = found.unionByName(kept.join(done, "grid_id", "left_semi").drop("rank"))
-        searching = searching.join(done, "grid_id", "left_anti")
+        searching = cut_lineage(searching.join(done, "grid_id", "left_anti"))
         if searching.isEmpty():
             return found
         side *= 2

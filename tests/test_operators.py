@@ -387,3 +387,7 @@ def test_schema_guards(spark):
         require_columns(df, ("x",))
     with pytest.raises(ValueError):
         forbid_columns(df, ("id",))
+
+
+def test_partition_count(spark):
+    assert quality.partition_count(spark.range(100).repartition(5)).first().partitions == 5
