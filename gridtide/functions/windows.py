@@ -50,3 +50,41 @@ def leave_one_out_median(df, value, keys, out="loo_median"):
     median = F.when(others % 2 == 1, lower).when(others > 0, (lower + upper) / 2.0)
     return df.withColumn(out, median).drop("__rank", "__others", "__low", *middle)
 
+
+def with_merged_halves(df, value, window, half, gap=0, prefix="__w_"):
+    """Statistics over the last 2 * half rows that end `gap` rows before the current one.
+
+    Adds <prefix>n, mean, spread (sample deviation), top (maximum), active (rows above 0), recent_mean and
+    before_mean. Only the later half is aggregated row by row: the earlier half is the same aggregate
+    `half` rows before, and the two are merged. Columns nobody uses are pruned by the optimizer.
+    """
+    value = col(value)
+    frame = trailing(window, half, gap)
+    aggregates = {
+        "n": F.count(value),
+        "mean": F.avg(value),
+        "top": F.max(value),
+        "active": F.count_if(value > 0),
+        "variance": F.var_pop(value),
+    }
+    recent = {f"{prefix}r_{name}": aggregate.over(frame) for name, aggregate in aggregates.items()}
+    before = {f"{prefix}b_{name}": F.lag(f"{prefix}r_{name}", half).over(window) for name in aggregates}
+
+    def both(name):
+        zero = F.lit(0) if name in ("n", "active") else F.lit(0.0)
+        return [F.coalesce(F.col(f"{prefix}{part}_{name}"), zero) for part in ("r", "b")]
+
+    (n_r, n_b), (mean_r, mean_b), (var_r, var_b) = both("n"), both("mean"), both("variance")
+    n = n_r + n_b
+    between = F.try_divide((mean_r - mean_b) * (mean_r - mean_b) * n_r * n_b, n)
+    squares = var_r * n_r + var_b * n_b + F.coalesce(between, F.lit(0.0))
+    merged = {
+        f"{prefix}n": n,
+        f"{prefix}mean": F.try_divide(mean_r * n_r + mean_b * n_b, n),
+        f"{prefix}spread": F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1))),
+        f"{prefix}top": F.greatest(f"{prefix}r_top", f"{prefix}b_top"),
+        f"{prefix}active": F.when(n > 0, both("active")[0] + both("active")[1]),
+        f"{prefix}recent_mean": F.col(f"{prefix}r_mean"),
+        f"{prefix}before_mean": F.col(f"{prefix}b_mean"),
+    }
+    return df.withColumns(recent).withColumns(before).withColumns(merged).drop(*recent, *before)

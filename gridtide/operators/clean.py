@@ -176,28 +176,36 @@ def clean_batch(df, dedup=True, pattern=None):
     return filled.dropDuplicates() if dedup else filled
 
 
-def clean_batch_report(df, pattern=None):
-    """One row of counts for `clean_batch`: loaded, dropped, filled, clipped and duplicate rows."""
+def clean_batch_report(df, pattern=None, by=()):
+    """Counts behind `clean_batch`: loaded, dropped, filled, clipped and duplicate rows; per group with `by`.
+
+    Copies are counted by grouping on all cleaned columns, so a row repeated very often collapses before
+    the shuffle.
+    """
     canonical = typed(canonical_names(df), pattern)
     keyed = F.col("timestamp").isNotNull() & F.col("grid_id").isNotNull()
     blank = reduce(or_, [F.col(name).isNull() for name in MEASURES])
     negative_cells = sum(F.coalesce((F.col(name) < 0).cast("long"), F.lit(0)) for name in MEASURES)
-    filled = nulls_to_zero(clamp_negatives(canonical)).columns
+    marked = canonical.withColumns({"__blank": blank, "__negative": negative_cells})
     copies = (
-        nulls_to_zero(clamp_negatives(canonical.withColumns({"__blank": blank, "__negative": negative_cells})))
-        .groupBy(*filled)
+        nulls_to_zero(clamp_negatives(marked))
+        .groupBy(*canonical.columns)
         .agg(
             F.count(F.lit(1)).alias("copies"),
             F.count_if("__blank").alias("blank"),
             F.sum("__negative").alias("negative"),
         )
     )
-    return copies.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_loaded"),
-        F.coalesce(F.sum(F.when(~keyed, F.col("copies"))), F.lit(0)).alias("rows_dropped_missing_identity"),
-        F.coalesce(F.sum(F.when(keyed, F.col("blank"))), F.lit(0)).alias("rows_with_missing_activity_filled"),
-        F.coalesce(F.sum(F.when(keyed, F.col("negative"))), F.lit(0)).alias("negative_activity_cells_clipped"),
-        F.coalesce(F.sum(F.when(keyed, F.col("copies") - 1)), F.lit(0)).alias("rows_dropped_duplicates"),
+
+    def total(value):
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    return copies.groupBy(*by).agg(
+        total("copies").alias("rows_loaded"),
+        total(F.when(~keyed, F.col("copies"))).alias("rows_dropped_missing_identity"),
+        total(F.when(keyed, F.col("blank"))).alias("rows_with_missing_activity_filled"),
+        total(F.when(keyed, F.col("negative"))).alias("negative_activity_cells_clipped"),
+        total(F.when(keyed, F.col("copies") - 1)).alias("rows_dropped_duplicates"),
     )
 
 

@@ -11,7 +11,7 @@ from gridtide.functions.columns import (
     ratio_or_null,
     ratio_or_zero,
 )
-from gridtide.functions.windows import full_frame, series, trailing
+from gridtide.functions.windows import full_frame, series, with_merged_halves
 from gridtide.operators.clean import drop_incomplete, on_dates
 from gridtide.operators.enrich import with_cluster
 from gridtide.operators.spatial import with_edge_neighbor_mean, with_lattice_neighbor_mean
@@ -43,32 +43,24 @@ def trailing_features(hourly):
     One window specification for all of them, hence one shuffle and one sort by cell and time.
     """
     activity, own = F.col("total_activity"), cell_series()
-    day = trailing(own, 24, gap=1)
     share = F.coalesce(ratio_or_null(_internet(hourly), activity), F.lit(0.0))
-    windows = {
-        "avg_activity": F.avg(activity).over(day),
-        "active_hours": F.count_if(activity > 0).over(day),
-        "internet_share_at_t": F.lag(share).over(own),
-        "activity_lag_24": F.lag(activity, 24).over(own),
-        "next_activity": F.lead(activity).over(own),
-        "__peak": F.max(activity).over(day),
-        "__spread": F.stddev_samp(activity).over(day),
-        "__recent": F.avg(activity).over(trailing(own, 12, gap=1)),
-        "__before": F.avg(activity).over(trailing(own, 12, gap=13)),
-    }
-    # Ratios come in a second step, so that every frame is evaluated once.
-    return (
-        hourly.withColumns(windows)
-        .withColumns(
-            {
-                "active_hours": F.when(F.col("__peak").isNotNull(), F.col("active_hours")),
-                "peak_ratio": ratio_or_null("__peak", "avg_activity"),
-                "variability": ratio_or_null("__spread", "avg_activity"),
-                "activity_growth": ratio_or_null("__recent", "__before"),
-            }
-        )
-        .drop("__peak", "__spread", "__recent", "__before")
+    lagged = hourly.withColumns(
+        {
+            "internet_share_at_t": F.lag(share).over(own),
+            "activity_lag_24": F.lag(activity, 24).over(own),
+            "next_activity": F.lead(activity).over(own),
+        }
     )
+    day = with_merged_halves(lagged, activity, own, 12, gap=1, prefix="__")
+    return day.withColumns(
+        {
+            "avg_activity": F.col("__mean"),
+            "active_hours": F.col("__active"),
+            "peak_ratio": ratio_or_null("__top", "__mean"),
+            "variability": ratio_or_null("__spread", "__mean"),
+            "activity_growth": ratio_or_null("__recent_mean", "__before_mean"),
+        }
+    ).select(*lagged.columns, "avg_activity", "active_hours", "peak_ratio", "variability", "activity_growth")
 
 
 def with_drop_label(df):
@@ -129,25 +121,27 @@ def with_hour_index(hourly, days=None):
 def lag_features(hourly):
     """Lags, full-window rolling statistics and the next-hour target of the forecast."""
     own = cell_series()
-
-    def rolled(function, rows):
-        return full_frame(function, "internet", own, rows)
-
-    return hourly.withColumns(
+    lagged = hourly.withColumns(
         {
             "internet_lag1": F.col("internet"),
             "internet_lag2": F.lag("internet", 1).over(own),
             "internet_lag3": F.lag("internet", 2).over(own),
             "internet_lag24": F.lag("internet", 23).over(own),
-            "internet_roll_mean_3": rolled(F.avg, 3),
-            "internet_roll_std_3": rolled(F.stddev_samp, 3),
-            "internet_roll_mean_24": rolled(F.avg, 24),
-            "internet_roll_std_24": rolled(F.stddev_samp, 24),
+            "internet_roll_mean_3": full_frame(F.avg, "internet", own, 3),
+            "internet_roll_std_3": full_frame(F.stddev_samp, "internet", own, 3),
             "calls_lag1": F.col("total_calls"),
             "sms_lag1": F.col("total_sms"),
             "internet_target": F.lead("internet").over(own),
         }
     )
+    day = with_merged_halves(lagged, "internet", own, 12, prefix="__")
+    is_full = F.col("__n") == 24
+    return day.withColumns(
+        {
+            "internet_roll_mean_24": F.when(is_full, F.col("__mean")),
+            "internet_roll_std_24": F.when(is_full, F.col("__spread")),
+        }
+    ).select(*lagged.columns, "internet_roll_mean_24", "internet_roll_std_24")
 
 
 def target_clock(df, first_weekday):

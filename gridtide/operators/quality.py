@@ -161,8 +161,8 @@ def kpi_profile(raw, clean, by="source"):
         F.count(F.lit(1)).alias("rows_loaded"),
         *[F.count_if(F.col(name).isNull()).alias(f"{name}_nulls") for name in raw.columns if name != by],
     )
-    # All three are as long as the list of sources.
-    return profile.join(countries, by).join(nulls, by)
+    # All three are as long as the list of sources; one without any clean row keeps its raw counts.
+    return nulls.join(profile, by, "left").join(countries, by, "left")
 
 
 def duplicate_keys(df, keys=("grid_id", "timestamp")):

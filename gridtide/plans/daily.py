@@ -41,8 +41,7 @@ def run_processing(spark, usage, reference, out, run_id):
         write_table(rebalanced(hourly_by_calendar(clean), "date"), f"{base}/hourly", by="date")
         hourly = spark.read.parquet(f"{base}/hourly")
         enriched = with_geometry(hourly, reference)
-        counts = {f"rows_{name}": n for name, n in (("in", report.first().rows_in), ("rejected", report.first().rows_rejected))}
-        counts["nulls_handled"] = report.first().nulls_handled
+        counts = report.select("rows_in", "rows_rejected", "nulls_handled").first().asDict()
         require_passed(quality_gate(report, clean, hourly, enriched))
         write_table(rebalanced(enriched, "date"), f"{base}/analytics", by="date")
         counts["rows_published"] = spark.read.parquet(f"{base}/analytics").count()
@@ -105,7 +104,10 @@ def run_counts(spark, out, stage):
     return None if row is None else row["counts"]
 
 
-def pending_inputs(spark, folder, glob="*.csv"):
-    """One row: number of input files; only the listing is read."""
+def require_inputs(spark, folder, glob="*.csv"):
+    """Number of input files; raises when the folder holds none. Only the listing is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path")
-    return files.agg(F.count(F.lit(1)).alias("files"))
+    found = files.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if not found:
+        raise ValueError(f"no input files in {folder}")
+    return found

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridtide.operators import clean
 from gridtide.plans.batch import run_batch
-from gridtide.plans.daily import export_dashboard, pending_inputs, published_run, run_counts, run_daily, run_processing
+from gridtide.plans.daily import export_dashboard, require_inputs, published_run, run_counts, run_daily, run_processing
 from gridtide.plans.detection import run_detection
 from gridtide.schemas import HOURLY_COLUMNS
 from gridtide.sources import geojson, sinks, usage
@@ -156,7 +156,9 @@ def test_daily_run_publishes_tables_and_status(spark, tmp_path, usage_files, gri
     assert (summary.active_grids, summary.peak_hour, summary.top_grid) == (2, 12, 2)
     dashboard = usage.read_inferred(spark, export_dashboard(spark, out)).collect()
     assert [r.grid_id for r in dashboard] == [2, 1]
-    assert pending_inputs(spark, usage_files).first().files == 2
+    assert require_inputs(spark, usage_files) == 2
+    with pytest.raises(ValueError, match="no input files"):
+        require_inputs(spark, usage_files, glob="*.txt")
 
     dirty = rows.withColumn("grid_id", F.when(F.col("country_code") == 0, F.col("grid_id")))
     with pytest.raises(ValueError, match="rejected_rows"):
@@ -171,6 +173,7 @@ def test_batch_run_exports_per_file_and_combined(spark, tmp_path, usage_files):
     assert len(profile) == 2
     assert profile[0].cadence_ok and profile[0].max_country_rows_per_grid_hour == 2
     assert (profile[0].busiest_hour, profile[0].busiest_grid_id, profile[0].sms_out_nulls) == (12, 2, 96)
+    assert (profile[0].rows_with_missing_activity_filled, profile[0].rows_dropped_duplicates) == (96, 0)
     assert spark.read.parquet(f"{out}/daily_summary").count() == 2
     assert spark.read.parquet(f"{out}/grid_summary").count() == 2
     assert spark.read.parquet(f"{out}/grid_hour").count() == 96
