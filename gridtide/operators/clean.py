@@ -176,37 +176,30 @@ def clean_batch(df, dedup=True, pattern=None):
     return filled.dropDuplicates() if dedup else filled
 
 
-def clean_batch_report(df, pattern=None, by=()):
-    """Counts behind `clean_batch`: loaded, dropped, filled, clipped and duplicate rows; per group with `by`.
-
-    Copies are counted by grouping on all cleaned columns, so a row repeated very often collapses before
-    the shuffle.
-    """
-    canonical = typed(canonical_names(df), pattern)
+def batch_counts(df, pattern=None, by=()):
+    """Counts of raw rows from one scan, per group with `by`: loaded, dropped, filled, clipped, raw NULLs."""
+    named = canonical_names(df)
+    names = [name for name in named.columns if name not in by]
+    rows = typed(named.withColumns({f"__raw_{name}": F.col(name) for name in names}), pattern)
     keyed = F.col("timestamp").isNotNull() & F.col("grid_id").isNotNull()
     blank = reduce(or_, [F.col(name).isNull() for name in MEASURES])
     negative_cells = sum(F.coalesce((F.col(name) < 0).cast("long"), F.lit(0)) for name in MEASURES)
-    marked = canonical.withColumns({"__blank": blank, "__negative": negative_cells})
-    copies = (
-        nulls_to_zero(clamp_negatives(marked))
-        .groupBy(*canonical.columns)
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.count_if("__blank").alias("blank"),
-            F.sum("__negative").alias("negative"),
-        )
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows_loaded"),
+        F.count_if(~keyed).alias("rows_dropped_missing_identity"),
+        F.count_if(keyed & blank).alias("rows_with_missing_activity_filled"),
+        F.coalesce(F.sum(F.when(keyed, negative_cells)), F.lit(0)).alias("negative_activity_cells_clipped"),
+        *[F.count_if(F.col(f"__raw_{name}").isNull()).alias(f"{name}_nulls") for name in names],
     )
 
-    def total(value):
-        return F.coalesce(F.sum(value), F.lit(0))
 
-    return copies.groupBy(*by).agg(
-        total("copies").alias("rows_loaded"),
-        total(F.when(~keyed, F.col("copies"))).alias("rows_dropped_missing_identity"),
-        total(F.when(keyed, F.col("blank"))).alias("rows_with_missing_activity_filled"),
-        total(F.when(keyed, F.col("negative"))).alias("negative_activity_cells_clipped"),
-        total(F.when(keyed, F.col("copies") - 1)).alias("rows_dropped_duplicates"),
-    )
+def clean_batch_report(df, pattern=None):
+    """One row of counts for `clean_batch`; copies are what the distinct step removes."""
+    counts = batch_counts(df, pattern)
+    kept = clean_batch(df, pattern=pattern).agg(F.count(F.lit(1)).alias("n")).scalar()
+    names = [name for name in counts.columns if not name.endswith("_nulls")]
+    copies = F.col("rows_loaded") - F.col("rows_dropped_missing_identity") - kept
+    return counts.select(*names, copies.alias("rows_dropped_duplicates"))
 
 
 def between_times(df, start=None, end=None, column="timestamp"):

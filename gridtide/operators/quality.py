@@ -99,8 +99,11 @@ def grain(df, by=()):
     )
 
 
-def kpi_profile(raw, clean, by="source"):
-    """Profile of every source file: identity, cadence, grain, busiest hour and cell, raw NULL counts.
+def kpi_profile(clean, raw_counts, by="source"):
+    """Profile of every source file: identity, cadence, grain, busiest hour and cell, counts of raw rows.
+
+    `raw_counts` has one row per source, as `clean.batch_counts` gives it; copies are the loaded rows
+    that were neither dropped nor kept.
 
     Cleaned rows are first reduced to one row per source, time and cell; hours, cells and times are then
     totalled together as grouping sets, so everything but the countries comes from one pass.
@@ -157,12 +160,11 @@ def kpi_profile(raw, clean, by="source"):
         F.col("g.a").alias("busiest_grid_total_activity"),
     )
     countries = clean.groupBy(by).agg(F.count_distinct("country_code").alias("country_code_categories"))
-    nulls = raw.groupBy(by).agg(
-        F.count(F.lit(1)).alias("rows_loaded"),
-        *[F.count_if(F.col(name).isNull()).alias(f"{name}_nulls") for name in raw.columns if name != by],
-    )
     # All three are as long as the list of sources; one without any clean row keeps its raw counts.
-    return nulls.join(profile, by, "left").join(countries, by, "left")
+    joined = raw_counts.join(profile, by, "left").join(countries, by, "left")
+    kept = F.coalesce("rows_cleaned", F.lit(0))
+    copies = F.col("rows_loaded") - F.col("rows_dropped_missing_identity") - kept
+    return joined.withColumn("rows_dropped_duplicates", copies)
 
 
 def duplicate_keys(df, keys=("grid_id", "timestamp")):

@@ -1,6 +1,6 @@
 """Batch cleaning of daily files with per-file and combined exports."""
 
-from gridtide.operators.clean import canonical_names, clean_batch, clean_batch_report
+from gridtide.operators.clean import batch_counts, clean_batch
 from gridtide.operators.hourly import cell_kpis, daily_kpis, hourly_batch
 from gridtide.operators.quality import kpi_profile
 from gridtide.sources.sinks import rebalanced, write_table
@@ -17,9 +17,8 @@ def run_batch(spark, paths, out):
     clean = spark.read.parquet(f"{out}/cleaned")
     write_table(rebalanced(hourly_batch(clean, by=("source",)), "source"), f"{out}/grid_hour", by="source")
     hourly = spark.read.parquet(f"{out}/grid_hour")
-    # Both sides hold one row per file.
-    counts = clean_batch_report(raw, by=("source",)).drop("rows_loaded")
-    write_table(kpi_profile(canonical_names(raw), clean).join(counts, "source"), f"{out}/profiling_summary")
+    profile = kpi_profile(clean, batch_counts(raw, by=("source",)))
+    write_table(profile, f"{out}/profiling_summary")
     write_table(daily_kpis(hourly), f"{out}/daily_summary")
     write_table(cell_kpis(hourly), f"{out}/grid_summary")
     return out

@@ -102,23 +102,25 @@ def _arg_max_sql(key, name):
     f"{_arg_max_sql('grid_id', 'busiest_grid_id')}, identity AS (SELECT date, count(DISTINCT grid_id) AS unique_grids, "
     "min(timestamp) AS time_range_start, max(timestamp) AS time_range_end, count(DISTINCT country_code) AS "
     "country_code_categories, count(*) AS rows_cleaned FROM clean GROUP BY date), nulls AS (SELECT CAST(timestamp AS "
-    "DATE) AS date, count(*) AS rows_loaded, "
+    "DATE) AS date, count(*) AS rows_loaded, CAST(0 AS BIGINT) AS rows_dropped_missing_identity, count(*) FILTER (WHERE "
+    + " OR ".join(f"{name} IS NULL" for name in MEASURES)
+    + ") AS rows_with_missing_activity_filled, CAST(sum("
+    + " + ".join(f"CASE WHEN {name} < 0 THEN 1 ELSE 0 END" for name in MEASURES)
+    + ") AS BIGINT) AS negative_activity_cells_clipped, "
     + ", ".join(
         f"count(*) FILTER (WHERE {name} IS NULL) AS {name}_nulls"
         for name in ("timestamp", "grid_id", "country_code", *MEASURES)
     )
     + " FROM usage GROUP BY 1) SELECT i.*, unique_timestamps, is_hourly_spacing AND is_24_points AS cadence_ok, "
     "avg_country_rows_per_grid_hour, max_country_rows_per_grid_hour, grain_confirmed AS raw_grain_confirmed, busiest_hour, "
-    "busiest_hour_total_activity, busiest_grid_id, busiest_grid_id_total_activity AS busiest_grid_total_activity, n.* EXCLUDE (date) FROM identity i "
+    "busiest_hour_total_activity, busiest_grid_id, busiest_grid_id_total_activity AS busiest_grid_total_activity, n.* EXCLUDE (date), rows_loaded - rows_cleaned AS rows_dropped_duplicates FROM identity i "
     "JOIN cadence USING (date) JOIN grain USING (date) JOIN busiest_hour USING (date) JOIN busiest_grid_id USING (date) "
     "JOIN nulls n USING (date)"
 )
 def profile_per_date(t):
     """Profile of every source, a source being one date."""
     raw = t.usage().withColumn("date", F.to_date("timestamp"))
-    return rounded(quality.kpi_profile(raw, t.clean(), by="date").withColumns(
-        {"avg_country_rows_per_grid_hour": F.round("avg_country_rows_per_grid_hour", 6)}
-    ), 6)
+    return rounded(quality.kpi_profile(t.clean(), clean.batch_counts(raw, by=("date",)), by="date"), 6)
 
 
 @query(
