@@ -1,4 +1,4 @@
-"""Profiles, checks and gates. Each one reads its input once."""
+"""Profiles, checks and gates, each in as few scans as its counts allow."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
