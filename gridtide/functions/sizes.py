@@ -1,8 +1,6 @@
 """Size checks in front of every broadcast, and lineage cuts."""
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,27 +35,34 @@ def broadcast_within(df, max_bytes=BROADCAST_BYTES):
     return F.broadcast(df) if fits_broadcast(df, max_bytes) else df
 
 
-@lru_cache
-def _local_folder(app_id):
-    return tempfile.mkdtemp(prefix=f"gridtide-{app_id}-")
-
-
 def checkpoint_dir(spark):
-    """The shared folder named by spark.checkpoint.dir; a fresh local one only in local mode."""
+    """The shared folder named by spark.checkpoint.dir; below the session's warehouse where local mode leaves it unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder(spark.sparkContext.applicationId)
+    if spark.sparkContext.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def scratch_path(spark):
+    """A new path below the checkpoint folder; one application's paths share a parent folder."""
+    return f"{checkpoint_dir(spark)}/gridtide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Store `df` below the checkpoint folder and read it back.
 
-    Later rounds then start from files: a lost executor replays nothing, the plan does not grow from
-    round to round, and the file sizes let the planner choose the joins.
+    Later rounds then start from files in a shared folder: a lost executor replays nothing before them, the
+    plan does not grow from round to round, and the file sizes let the planner choose the joins.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/gridtide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark):
+    """Delete what this application has stored below the checkpoint folder."""
+    folder = f"{checkpoint_dir(spark)}/gridtide-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
