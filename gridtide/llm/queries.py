@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gridtide.llm import archive, extract, langid, packing, pii, rules
+from gridtide.llm import archive, extract, langid, neardup, packing, pii, rules
 
 QUERIES = {}
 ORACLES = {}
@@ -55,3 +55,8 @@ def op8_personal_data(spark, folder):
 @query()
 def op9_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(packing.VOCABULARY))
+
+
+@query()
+def op10_near_duplicates(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))
