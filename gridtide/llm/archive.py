@@ -255,7 +255,9 @@ def archive_round_trip(pages, folder=None, revisit_bytes=REVISIT_BYTES):
     kind = dict(pages.dtypes)["page_id"]
     folder = folder or scratch_path(spark)
     write_archives(pages, folder, revisit_bytes)
-    captures = assemble(read_archives(spark, folder)).select(
+    verified = F.when(F.col("type") == "response", F.sha1("payload"))
+    records = read_archives(spark, folder).withColumn("payload_verified", verified).drop("payload")  # no payload is shuffled
+    captures = assemble(records).select(
         "record_id",
         F.col("type").alias("record_type"),
         F.col("refers_to").alias("refers_id"),
@@ -263,7 +265,7 @@ def archive_round_trip(pages, folder=None, revisit_bytes=REVISIT_BYTES):
         F.get_json_object(F.element_at("metadata.fields", "url-json"), "$.url").alias("url"),
         "payload_bytes",
         F.regexp_extract("payload_digest", "([0-9a-f]{40})", 1).alias("payload_digest"),
-        F.when(F.col("type") == "response", F.sha1("payload")).alias("payload_verified"),
+        "payload_verified",
     )
     captures = cut_lineage(captures)
     # A capture id is a hash of page and payload, so equal ids belong to one page.
