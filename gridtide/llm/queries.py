@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gridtide.llm import archive, extract, langid, neardup, packing, pii, rules
+from gridtide.llm import archive, extract, langid, neardup, packing, perplexity, pii, rules
 
 QUERIES = {}
 ORACLES = {}
@@ -60,3 +60,8 @@ def op9_packing(spark, folder):
 @query()
 def op10_near_duplicates(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op4_perplexity(spark, folder):
+    return perplexity.perplexities(table(spark, folder, "documents"), table(spark, folder, "labels"))
