@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gridtide.llm import archive, extract, langid, neardup, packing, perplexity, pii, rules
+from gridtide.llm import archive, extract, langid, mixing, neardup, packing, perplexity, pii, rules
 
 QUERIES = {}
 ORACLES = {}
@@ -65,3 +65,9 @@ def op10_near_duplicates(spark, folder):
 @query()
 def op4_perplexity(spark, folder):
     return perplexity.perplexities(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op3_source_mixing(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
