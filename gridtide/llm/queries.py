@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gridtide.llm import archive, extract, langid, mixing, neardup, packing, perplexity, pii, rules
+from gridtide.llm import archive, extract, langid, mixing, neardup, packing, perplexity, pii, rules, syncmers
 
 QUERIES = {}
 ORACLES = {}
@@ -71,3 +71,8 @@ def op4_perplexity(spark, folder):
 def op3_source_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query()
+def op5_syncmer_fingerprints(spark, folder):
+    return syncmers.fingerprints(table(spark, folder, "documents"))
