@@ -243,6 +243,8 @@ def _choices(left, capacity):
 def pack_histogram(counts, capacity=CAPACITY, nodes=NODES):
     """Patterns (lengths, times) that place every piece of a {length: count} histogram in few sequences."""
     counts = {int(size): int(n) for size, n in counts.items() if n}
+    if not counts:
+        return []
     total = sum(size * n for size, n in counts.items())
     bound = -(-total // capacity)
     best = best_fit_decreasing(counts, capacity)

@@ -1,6 +1,6 @@
 """Quality filter by an interpolated modified Kneser-Ney model of characters.
 
-The model is trained on all trusted text (documents labelled good and not toxic, without a held-back eighth) and
+The model is trained on all trusted text (documents labelled good and not toxic, without a held-back fifth) and
 gives every document its perplexity. Thresholds are quantiles of the held-back trusted documents, per language.
 
 Text is moved as packets: documents of one block (a hash of doc_id) packed and compressed together, which keeps
@@ -26,10 +26,12 @@ from gridtide.functions.sizes import cut_lineage
 ORDER = 4
 BLOCK_BYTES = 48 << 20
 #: One in so many trusted documents sets thresholds instead of training.
-HELD_BACK = 8
+HELD_BACK = 5
 QUANTILE = 0.995
 #: Shorter texts say too little for a verdict: they set no threshold and are kept.
 LEAST_CHARS = 40
+#: Held-back documents that a threshold needs at least, and that show the top quantile itself.
+LEAST_HELD, ENOUGH_HELD = 5, 200
 SLICE = 1 << 19  # characters handled at once
 PAD = 2  # code point of the mark in front of a text; real ones are replaced
 HOLE = 0xFFFD
@@ -318,19 +320,33 @@ def with_perplexity(packed, block_scores, source, names):
     return packed.groupBy("block").cogroup(block_scores.groupBy("block")).applyInArrow(function, kind)
 
 
+def _limit(n, middle, upper, top):
+    """The threshold from quantiles of n held-back documents; None below `LEAST_HELD`.
+
+    From `ENOUGH_HELD` documents on it is the top quantile itself. Fewer cannot show that quantile, so it is
+    extrapolated from the spread between the median and the 84 % quantile, the wider the fewer documents there are.
+    """
+    if n < LEAST_HELD:
+        return None
+    return top if n >= ENOUGH_HELD else middle * max(1.6, (upper / middle) ** (3 + 12 / math.sqrt(n)))
+
+
 def thresholds(held, quantile=QUANTILE):
-    """(lang, threshold) of held-back trusted documents, and the threshold over all languages."""
+    """Language to threshold from held-back trusted documents, and the threshold over all languages."""
     usable = held.where(F.col("n_tokens") >= LEAST_CHARS)
-    value = F.percentile_approx("perplexity", quantile, 10_000)
-    return {row["lang"]: row["t"] for row in usable.groupBy("lang").agg(value.alias("t")).collect()}, usable.agg(value.alias("t")).first()["t"]
+    facts = [F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", [0.5, 0.84, quantile], 10_000).alias("q")]
+    rows = usable.groupBy("lang").agg(*facts).collect()  # one row per language
+    by_language = {row["lang"]: _limit(row["n"], *row["q"]) for row in rows}
+    total = usable.agg(*facts).first()
+    return {lang: t for lang, t in by_language.items() if lang is not None and t is not None}, _limit(total["n"], *(total["q"] or (None,) * 3))
 
 
 def judged(docs, labels, names, quantile=QUANTILE, block_bytes=BLOCK_BYTES):
     """Columns `names` of every document with n_tokens, perplexity, threshold and kept.
 
-    kept is false where the perplexity is above the threshold of the document's language. A language without
-    held-back trusted documents, null included, takes the threshold over all languages; without any trusted
-    document there is none and everything is kept. Texts without a character, null included, have no perplexity;
+    kept is false where the perplexity is above the threshold of the document's language. A language with too few
+    held-back trusted documents, null included, takes the threshold over all languages; where these are too few as
+    well there is none and everything is kept. Texts without a character, null included, have no perplexity;
     they and texts under `LEAST_CHARS` characters are kept. Repeated rows are judged each; an empty table gives no rows.
     """
     blocks = block_count(docs, block_bytes)
@@ -340,13 +356,14 @@ def judged(docs, labels, names, quantile=QUANTILE, block_bytes=BLOCK_BYTES):
     scores = cut_lineage(grams.select("block", "gram").join(probabilities(grams.select("gram", "n")), "gram"))
     held_packets = stored.where(F.col("payload").isNotNull()).select("block", "payload")
     by_language, overall = thresholds(with_perplexity(held_packets, scores, docs, ["doc_id", "lang"]), quantile)
-    found = with_perplexity(packed, scores, docs, names)
-    known = F.create_map(*[F.lit(x) for lang, t in by_language.items() if lang is not None for x in (lang, t)]) if set(by_language) - {None} else None
+    found = with_perplexity(packed, scores, docs, names if "lang" in names else [*names, "lang"])
     limit = F.lit(overall).cast("double")
-    if known is not None:
+    if by_language:
+        known = F.create_map(*[F.lit(x) for pair in by_language.items() for x in pair])
         limit = F.coalesce(F.try_element_at(known, "lang"), limit)
     kept = (F.col("n_tokens") < LEAST_CHARS) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return found.withColumn("threshold", limit).withColumn("kept", kept)
+    found = found.withColumn("threshold", limit).withColumn("kept", kept)
+    return found if "lang" in names else found.drop("lang")
 
 
 def perplexities(docs, labels, quantile=QUANTILE):
