@@ -5,11 +5,12 @@ shingles over a circle of 2^32 positions, the second is shifted along the circle
 and a coordinate is the smallest value the set meets. Coordinates are cut into bands; documents with an equal band
 share a bucket, and at a similarity of 0.75 a pair misses all 51 bands of 5 rows with a chance of one in a million.
 
-Work is done on classes of equal word sequences. Buckets are resolved in star rounds: all members are compared
-with one center, so a bucket of any size gives as many pairs as members; verified pairs join components, and the
-next round takes another center in buckets whose members are still in several components. Pairs that are left when
-a round joins nothing more are enumerated in full, so every pair that shares a bucket is either in one component
-or has been compared on its full sets. Nothing is capped.
+Work is done on classes of equal word sequences. First every document is compared with one candidate, the smallest
+center among its buckets, so a bucket of any size gives at most as many pairs as members. What is still open, the
+documents of buckets that hold several components, goes through an exact join: shingles are ordered from rare to
+common, two sets that reach the similarity share one of the first few shingles of both, and the places where they
+meet bound what they can have in common. A passage that very many documents share stands at the end of that order
+and pairs nobody by itself. Both steps confirm pairs on the full sets, and nothing is capped.
 """
 
 import numpy as np
@@ -22,9 +23,9 @@ from gridtide.functions.sizes import cut_lineage
 SHINGLE_WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 51, 5
-#: Star rounds before the rest is enumerated, at most.
-ROUNDS = 4
 BLOCK = 4096
+#: Counters behind the order of shingles, a power of two; their number bounds what is broadcast.
+COUNTERS = 1 << 20
 
 SKETCH = "doc_id long, class_key binary, n_shingles long, bands array<long>"
 
@@ -189,35 +190,103 @@ def components(edges):
     return labels.union(roots).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def _with_labels(members, labels):
-    return members.join(labels, F.col("id") == F.col("node"), "left").select(
-        "bucket", "id", "n", F.coalesce("label", "id").alias("label")
-    )
+def forest_labels(parents):
+    """(node, label) from (a, b) with one smaller b per a: label is the root, found by doubling the step each round."""
+    labels = cut_lineage(parents.select(F.col("a").alias("node"), F.col("b").alias("label"), F.lit(True).alias("moved")))
+    while not labels.where("moved").isEmpty():
+        up = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        step = labels.join(up, F.col("label") == F.col("via"), "left")
+        labels = cut_lineage(step.select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")))
+    return labels.select("node", "label")
 
 
-def _unresolved(members, labels):
-    """Members, with labels, of the buckets that still hold several components."""
-    labelled = _with_labels(members, labels)
-    open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return labelled.join(open_buckets, "bucket")
+def first_candidates(members, percent):
+    """(a, b): every member with the smallest center of its buckets whose size allows the similarity."""
+    centers = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"))
+    pairs = members.join(centers.select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("n_b")), "bucket").where("id <> b")
+    fits = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    return pairs.where(fits).groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b"))
 
 
-def _star(members, turn):
-    """Pairs of every member with the center of its bucket, in another component and of a size that can match."""
-    order = F.struct(F.xxhash64(F.col("id"), F.lit(turn)) if turn else F.lit(0), F.col("id"), F.col("n"), F.col("label"))
-    centers = members.groupBy("bucket").agg(F.min(order).alias("c"))
-    centers = centers.select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("n_b"), F.col("c.label").alias("label_b"))
-    pairs = members.join(centers, "bucket").where("label <> label_b")
-    return pairs.select(F.col("id").alias("a"), "b", "n", "n_b")
+def open_documents(members, labels):
+    """(doc_id, label) of the members of buckets that hold several components."""
+    labelled = members.join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return labelled.join(several, "bucket").select(F.col("id").alias("doc_id"), "label").distinct()
 
 
-def _fitting(pairs, percent):
-    """Distinct pairs whose sizes allow the similarity."""
-    fits = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    return pairs.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+_COUNT_SCHEMA = pa.schema([("counter", pa.int32()), ("n", pa.int64())])
+_PREFIX_SCHEMA = pa.schema(
+    [("shingle", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("leads", pa.bool_())]
+)
+
+
+def _counters(shingles):
+    return (shingles >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def _counted(batches):
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for text in batch.column("text"):
+            total += np.bincount(_counters(shingle_set(words_of(text.as_py()))), minlength=COUNTERS)
+    used = np.flatnonzero(total)
+    yield _batch((used, total[used]), _COUNT_SCHEMA)
+
+
+def shingle_order(texts):
+    """How often shingles of each counter occur: an array of fixed length that ranks shingles from rare to common."""
+    rows = texts.select("text").mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    order = np.zeros(COUNTERS, dtype=np.int64)
+    order[rows["counter"].to_numpy()] = rows["n"].to_numpy()
+    return order
+
 
+def prefixes(texts, order, percent):
+    """The first shingles of every set in the order: enough to meet any set that reaches the similarity.
 
-def near_duplicates(docs, percent=PERCENT, rounds=ROUNDS):
+    Of a set of n shingles, partners of any size meet the first n - ceil(p n) + 1, and partners of at least its own
+    size meet those that `leads` marks, the first n - ceil(2 p n / (1 + p)) + 1.
+    """
+
+    def emit(batches):
+        for batch in batches:
+            parts = []
+            for doc, label, text in zip(*(batch.column(name) for name in ("doc_id", "label", "text"))):
+                shingles = shingle_set(words_of(text.as_py()))
+                n = len(shingles)
+                if not n:
+                    continue
+                ranked = shingles[np.lexsort((shingles, order[_counters(shingles)]))]
+                size = n + (-percent * n) // 100 + 1
+                lead = n + (-2 * percent * n) // (100 + percent) + 1
+                rows = np.arange(size)
+                parts.append((ranked[:size].view(np.int64), np.full(size, doc.as_py()), np.full(size, label.as_py()), np.full(size, n), rows, rows < lead))
+            columns = [np.concatenate(column) for column in zip(*parts)] or [()] * len(_PREFIX_SCHEMA)
+            yield _batch(columns, _PREFIX_SCHEMA)
+
+    return texts.select("doc_id", "label", "text").mapInArrow(emit, "shingle long, id long, label long, n int, place int, leads boolean")
+
+
+def exact_candidates(texts, percent):
+    """(a, b): all pairs of documents of different labels that can reach the similarity, and few others."""
+    rows = cut_lineage(prefixes(texts, shingle_order(texts), percent))
+    several = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    rows = cut_lineage(rows.join(several, "shingle"))
+    small = rows.where("leads").drop("leads")
+    large = rows.select("shingle", *[F.col(name).alias(f"{name}_b") for name in ("id", "label", "n", "place")])
+    # With the first common shingle at these places, no more than this can be common.
+    most = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
+    pairs = small.join(large, "shingle").where(
+        (F.col("label") != F.col("label_b"))
+        & ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") < F.col("id_b"))))
+        & (100 * F.col("n") >= percent * F.col("n_b"))
+        & (most * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
+    )
+    return pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
+
+
+def near_duplicates(docs, percent=PERCENT):
     """Per document: doc_id, n_shingles, component_id, kept.
 
     Empty and null texts have no shingles and are their own component. A null doc_id cannot name a component: such
@@ -231,36 +300,23 @@ def near_duplicates(docs, percent=PERCENT, rounds=ROUNDS):
     spread = classes.select(F.explode("bands").alias("bucket"), "id", "n")
     shared = spread.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     members = cut_lineage(spread.join(shared, "bucket"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = cut_lineage(texts)
-
-    links = cut_lineage(confirmed(_fitting(_star(members.withColumn("label", F.col("id")), 0), percent), texts, percent))
-    labels = cut_lineage(components(links))
-    # Further stars while they join components, then every pair that is still open.
-    joined = True
-    for turn in range(1, rounds + 2):
-        rest = cut_lineage(_unresolved(members, labels))
-        if rest.isEmpty():
-            break
-        last = turn > rounds or not joined
-        new = cut_lineage(confirmed(_fitting(_all_pairs(rest) if last else _star(rest, turn), percent), texts, percent))
-        joined = not new.isEmpty()
-        if joined:
-            labels = cut_lineage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new)))
-        if last:
-            break
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = cut_lineage(own.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+
+    labels = forest_labels(confirmed(first_candidates(members, percent), texts, percent))
+    still = open_documents(members, labels).join(texts, "doc_id")
+    still = cut_lineage(still)
+    links = cut_lineage(confirmed(exact_candidates(still, percent), texts, percent))
+    if not links.isEmpty():
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = components(known.union(links))
+    labels = cut_lineage(labels)
     owners = classes.join(labels, F.col("id") == F.col("node"), "left").select("class_key", F.coalesce("label", "id").alias("component"))
     found = sketched.select("doc_id", "class_key", "n_shingles").join(owners, "class_key", "left")
     component = F.when(F.col("class_key").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _all_pairs(members):
-    """Every pair of one bucket in two components: the exact way for what the star rounds leave open."""
-    other = members.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    return members.join(other, "bucket").where("id > b and label <> label_b").select(F.col("id").alias("a"), "b", "n", "n_b")
-
-
 def one_of_each(docs, percent=PERCENT):
     """Documents without near-duplicates: of every component the document with the smallest doc_id stays.
 

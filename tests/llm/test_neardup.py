@@ -91,10 +91,24 @@ def test_chains_and_large_groups(spark):
     check(neardup.near_duplicates(docs).collect(), rows)
 
 
-def test_exact_way_alone_gives_the_same(spark):
-    rows = [(d, t) for d, t, *_ in llm_cases.awkward_rows()]
-    docs = llm_cases.frame(spark, llm_cases.awkward_rows())
-    check(neardup.near_duplicates(docs, rounds=0).collect(), rows)
+def test_exact_candidates_miss_no_linked_pair(spark):
+    """The join alone, every document with a label of its own."""
+    rows = [(d, t) for d, t in [(i, llm_cases.sentence(i // 3, 30 + i % 3, 60)) for i in range(40)]]
+    for i in range(40, 80):
+        words = llm_cases.sentence(7, 50, 60).split()
+        rows.append((i, " ".join(words[: 50 - i % 9] + [f"y{i}"] * (i % 5))))
+    sets = {doc: own[0] for doc, own in sets_of(rows).items()}
+    wanted = {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    texts = spark.createDataFrame([(d, d, t) for d, t in rows], "doc_id long, label long, text string")
+    pairs = {tuple(row) for row in neardup.exact_candidates(texts, 75).collect()}
+    assert wanted and wanted <= pairs and len(pairs) < 80 * 79 / 2
+    assert {tuple(row) for row in neardup.confirmed(spark.createDataFrame(sorted(pairs), "a long, b long"), texts, 75).collect()} == wanted
+
+
+def test_forest_labels_are_roots(spark):
+    parents = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(100, 50), (101, 100)], "a long, b long")
+    labels = {row.node: row.label for row in neardup.forest_labels(parents).collect()}
+    assert all(labels[i] == 0 for i in range(1, 40)) and labels[100] == labels[101] == 50
 
 
 def test_query_equals_brute_force(spark):
