@@ -25,7 +25,7 @@ PERCENT = 75
 BANDS, ROWS = 51, 5
 BLOCK = 4096
 #: Counters behind the order of shingles, a power of two; their number bounds what is broadcast.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 19
 
 SKETCH = "doc_id long, class_key binary, n_shingles long, bands array<long>"
 
@@ -234,11 +234,22 @@ def _counted(batches):
     yield _batch((used, total[used]), _COUNT_SCHEMA)
 
 
+def _packed(batches):
+    """All rows of a task as one row of two byte strings."""
+    table = pa.Table.from_batches(batches, _COUNT_SCHEMA)
+    columns = [[np.ascontiguousarray(table.column(name).to_numpy()).tobytes()] for name in ("counter", "n")]
+    yield pa.RecordBatch.from_arrays([pa.array(column, pa.binary()) for column in columns], ["counter", "n"])
+
+
 def shingle_order(texts):
-    """How often shingles of each counter occur: an array of fixed length that ranks shingles from rare to common."""
-    rows = texts.select("text").mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    """How often shingles of each counter occur: an array of fixed length that ranks shingles from rare to common.
+
+    The driver gets 12 bytes per counter at most, packed by the tasks that summed them.
+    """
+    counted = texts.select("text").mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     order = np.zeros(COUNTERS, dtype=np.int64)
-    order[rows["counter"].to_numpy()] = rows["n"].to_numpy()
+    for row in counted.mapInArrow(_packed, "counter binary, n binary").toLocalIterator():
+        order[np.frombuffer(row["counter"], dtype=np.int32)] = np.frombuffer(row["n"], dtype=np.int64)
     return order
 
 
