@@ -2,78 +2,71 @@
 
 from math import ceil, floor
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.sizes import cut_lineage
 
 
-def _around(low_share, high_share, accuracy):
+def _bracket(low_share, high_share, accuracy):
     """Sketch of two quantiles, widened by more than its own error of 1/accuracy of the rows."""
     margin = 4.0 / accuracy
     shares = (max(low_share - margin, 0.0), min(high_share + margin, 1.0))
     return F.percentile_approx("v", F.array(*[F.lit(share) for share in shares]), accuracy)
 
 
-def _narrowed(values, ranks, low, high, accuracy, keep):
-    """Shrink the bracket (low, high) around two 0-based ranks to about `keep` values.
+def _at_rank(values, rank, low, high, accuracy, keep):
+    """The value at a 0-based rank, which lies in [low, high].
 
-    Each round counts the values inside and sketches only those, two one-row jobs.
+    Each round counts the values below, on and between the rims. A rank on a rim is answered by the rim, however
+    many rows hold that value; a rank between them is answered by counting once at most `keep` values are left,
+    else the rims close in on it by a mergeable sketch of the values between.
     """
-    inside = None
     while True:
-        within = (F.col("v") > low) & (F.col("v") < high)
+        v, between = F.col("v"), (F.col("v") > low) & (F.col("v") < high)
         counts = values.agg(
-            F.count_if(F.col("v") <= low).alias("below"), F.count_if(within).alias("inside")
-        ).first()
-        on_the_rim = ranks[0] < counts.below or ranks[1] >= counts.below + counts.inside
-        if counts.inside <= keep or on_the_rim or inside == counts.inside:
-            return low, high
-        inside = counts.inside
-        shares = (ranks[0] - counts.below) / inside, (ranks[1] + 1 - counts.below) / inside
-        low, high = values.where(within).agg(_around(*shares, accuracy).alias("a")).first()["a"]
-
-
-def exact_percentile(df, column, fraction, accuracy=10_000, keep=1_000_000):
+            F.count_if(v < low).alias("below"), F.count_if(v == low).alias("low"),
+            F.count_if(between).alias("between"), F.count_if(v <= high).alias("upto"),
+        ).first()
+        if not counts["below"] <= rank < counts["upto"]:
+            raise ValueError("percentile bracket misses the wanted rank")
+        start = counts["below"] + counts["low"]
+        if rank < start:
+            return low
+        if rank >= start + counts["between"]:
+            return high
+        if counts["between"] <= keep:
+            upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most `keep` rows
+            counted = values.where(between).groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
+            ranked = counted.withColumn("upto", F.sum("copies").over(upto)).where(F.col("upto") > rank - start)
+            return ranked.agg(F.min("v").alias("v")).first()["v"]
+        shares = (rank - start) / counts["between"], (rank + 1 - start) / counts["between"]
+        low, high = values.where(between).agg(_bracket(*shares, accuracy).alias("a")).first()["a"]
+
+
+def exact_percentile(df, column, fraction, accuracy=10_000, keep=10_000):
     """One row (value): percentile with linear interpolation between the two nearest ranks.
 
-    A one-row job, run right away, counts the values and brackets the wanted ranks with a mergeable
-    sketch; a counting pass then ranks only the values inside the bracket. It holds about 10 n/accuracy
-    values and is narrowed further beyond `keep`; up to `accuracy` rows it is the whole range. A violated
-    bracket raises instead of returning a wrong value.
+    One way for every size, and right away: a few aggregates over the column, kept on the executors' disks
+    meanwhile, close in on the wanted rank; only one-row results reach the driver.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    size = values.agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        _around(fraction, fraction, accuracy).alias("around"),
-    ).first()
-    if size.n == 0:
-        return values.agg(F.max("v").alias("value"))
-    position = fraction * (size.n - 1)
-    first, second = floor(position), ceil(position)
-    low, high = (size.least, size.most) if size.n <= accuracy else size.around
-    if size.n > accuracy and 10 * size.n / accuracy > keep:
-        low, high = _narrowed(values, (first, second), low, high, accuracy, keep)
-    counted = (
-        values.where(F.col("v") <= high)
-        .select(F.when(F.col("v") >= low, F.col("v")).alias("v"))
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    # Values below the bracket arrive as one NULL row that only shifts the ranks of the others.
-    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    picked = counted.withColumn("upto", F.sum("copies").over(upto)).agg(
-        F.max("upto").alias("covered"),
-        F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("copies"))), F.lit(0)).alias("skipped"),
-        F.min(F.when(F.col("upto") > first, F.col("v"))).alias("low"),
-        F.min(F.when(F.col("upto") > second, F.col("v"))).alias("high"),
-    )
-    inside = (F.col("skipped") <= first) & (F.col("covered") > second)
-    missed = F.raise_error(F.lit("percentile bracket misses the wanted rank")).cast("double")
-    value = F.col("low") + (F.col("high") - F.col("low")) * F.lit(position - first)
-    return picked.select(F.when(inside, value).otherwise(missed).alias("value"))
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()).persist(StorageLevel.DISK_ONLY)
+    try:
+        size = values.agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).first()
+        value = None
+        if size["n"]:
+            position = fraction * (size["n"] - 1)
+            first, second = floor(position), ceil(position)
+            value = _at_rank(values, first, size["least"], size["most"], accuracy, keep)
+            if second > first:
+                after = values.agg(
+                    F.count_if(F.col("v") <= value).alias("upto"), F.min(F.when(F.col("v") > value, F.col("v"))).alias("next")
+                ).first()
+                value += ((value if after["upto"] > second else after["next"]) - value) * (position - first)
+    finally:
+        values.unpersist()
+    return df.sparkSession.createDataFrame([(value,)], "value double")
 
 
 def exact_median(df, column):

@@ -98,12 +98,13 @@ def with_rule_flags(
     )
 
 
-def score_rules(hourly, percentile=FLOOR_PERCENTILE, strict_hours=False, scale=None, **multipliers):
+def score_rules(hourly, percentile=FLOOR_PERCENTILE, strict_hours=False, scale=None, floor=None, **multipliers):
     """Baseline, floor, previous hour and flags for every hourly row.
 
-    All windows share the (cell, date) partitioning, so the table is shuffled once for them.
+    All windows share the (cell, date) partitioning, so the table is shuffled once for them. Pass the one-row
+    `floor` where it is known already.
     """
-    floor = activity_floor(hourly, percentile, scale)
+    floor = activity_floor(hourly, percentile, scale) if floor is None else floor
     based = with_baseline(with_previous_hour(hourly, strict_hours))
     return with_rule_flags(with_floor(based, floor), **multipliers)
 
@@ -153,9 +154,9 @@ def alert_rows(scored, high=HIGH_MULTIPLIER, drop=DROP_MULTIPLIER, spike=SPIKE_M
     )
 
 
-def detect_alerts(hourly, percentile=FLOOR_PERCENTILE, strict_hours=False, scale=None):
+def detect_alerts(hourly, percentile=FLOOR_PERCENTILE, strict_hours=False, scale=None, floor=None):
     """End-to-end detector: hourly table in, alert table out. Sort it only at the sink."""
-    return alert_rows(score_rules(hourly, percentile, strict_hours, scale))
+    return alert_rows(score_rules(hourly, percentile, strict_hours, scale, floor))
 
 
 def alerts_by_type(alerts):

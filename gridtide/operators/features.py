@@ -211,6 +211,13 @@ def with_part(features, train, validation, test):
     return features.withColumn("part", part)
 
 
+def date_parts(features, validation=0.2, test=0.2):
+    """Three lists of dates, in order, that together hold every date of the target hours; one driver row per date."""
+    days = sorted(str(row["target_date"]) for row in features.select("target_date").distinct().where("target_date IS NOT NULL").collect())
+    last, middle = max(1, round(len(days) * test)), max(1, round(len(days) * validation))
+    return days[: len(days) - middle - last], days[len(days) - middle - last : len(days) - last], days[len(days) - last :]
+
+
 def split_by_target_date(features, train, validation, test):
     """Three frames, by the date of the target hour."""
     labelled = with_part(features, train, validation, test)

@@ -1,5 +1,8 @@
 """Evaluation of labels, scores and forecasts."""
 
+from math import exp, lgamma, log, log1p, pi, sqrt
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.columns import ratio_or_null
@@ -38,38 +41,38 @@ def anova(df, label, features):
             F.max("v").alias("most"),
         )
     )
-    weight = F.col("n") * F.col("mean")
-    parts = rows.groupBy("feature").agg(
+    # One row per feature and class: the window sees a feature's classes, the sums are taken around its grand mean.
+    of_feature = Window.partitionBy("feature")
+    grand = F.sum(F.col("n") * F.col("mean")).over(of_feature) / F.sum("n").over(of_feature)
+    parts = rows.withColumn("grand", grand).groupBy("feature").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("classes"),
-        (F.sum(weight) / F.sum("n")).alias("grand"),
+        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("between"),
         F.sum(F.col("n") * F.col("variance")).alias("within"),
-        F.collect_list(F.struct("n", "mean")).alias("groups"),
         (F.min("least") == F.max("most")).alias("constant"),
     )
-    # One entry per class of the label.
-    between = F.aggregate(
-        "groups", F.lit(0.0), lambda acc, g: acc + g["n"] * F.pow(g["mean"] - F.col("grand"), 2)
-    )
     return (
         parts.where(~F.col("constant"))
         .withColumn("df_between", F.col("classes") - 1)
         .withColumn("df_within", F.col("total") - F.col("classes"))
         .withColumn(
             "f_score",
-            ratio_or_null(between / F.col("df_between"), F.col("within") / F.col("df_within")),
+            ratio_or_null(F.col("between") / F.col("df_between"), F.col("within") / F.col("df_within")),
         )
         .select("feature", "f_score", "df_between", "df_within")
     )
 
 
-def _beta_fraction(a, b, x, steps=300):
-    """Continued fraction of the incomplete beta function (modified Lentz evaluation)."""
-    tiny = 1e-300
+def _beta_fraction(a, b, x):
+    """Continued fraction of the incomplete beta function (modified Lentz evaluation).
+
+    It converges in about sqrt(max(a, b)) steps where it is used; far more raise.
+    """
+    tiny, most = 1e-300, 1000 + 20 * int(sqrt(max(a, b)))
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, steps):
+    for m in range(1, most):
         for top in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -80,24 +83,36 @@ def _beta_fraction(a, b, x, steps=300):
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1.0) < 1e-14:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"incomplete beta function does not converge for {a}, {b}, {x}")
+
+
+def _stirling_rest(z):
+    """log gamma(z) minus Stirling's formula."""
+    if z < 10:
+        return lgamma(z) - (0.5 * log(2 * pi / z) + z * log(z) - z)
+    return 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
 
 
 def f_tail(f_score, df_between, df_within):
-    """Upper tail probability of the F distribution."""
-    from math import exp, lgamma, log
+    """Upper tail probability of the F distribution, also for very many degrees of freedom.
 
+    The front factor x^a (1 - x)^b / B(a, b) is taken from Stirling's formula with its rest and from the relative
+    distances of x and 1 - x to a / (a + b) and b / (a + b): large logarithms, which would cancel, never appear.
+    """
     if f_score is None or f_score <= 0:
         return 1.0
     a, b = df_within / 2.0, df_between / 2.0
-    x = df_within / (df_within + df_between * f_score)
+    spread = df_within + df_between * f_score
+    x, rest = df_within / spread, df_between * f_score / spread
     if x <= 0.0:
         return 0.0
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1.0 - x))
+    distance = a * log1p(df_between * (1 - f_score) / spread) + b * log1p(df_within * (f_score - 1) / spread)
+    stirling = _stirling_rest(a + b) - _stirling_rest(a) - _stirling_rest(b)
+    front = sqrt(a * b / (2 * pi * (a + b))) * exp(distance + stirling)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, rest) / b
 
 
 def anova_report(df, label, features):

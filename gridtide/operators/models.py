@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from gridtide.functions.sizes import cut_lineage
 from gridtide.operators.features import hourly_profiles
 from gridtide.operators.metrics import imbalance
 from gridtide.operators.serving import with_freshness
@@ -23,15 +24,20 @@ def _assembler(columns):
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error")
 
 
-def cluster_cells(hourly, train_dates=None, k=CLUSTERS, seed=SEED):
-    """(grid_id, cell_cluster): k-means over the normalised daily shape of the cells."""
+def cluster_cells(hourly, train_dates=None, k=CLUSTERS, seed=SEED, starts=10):
+    """(grid_id, cell_cluster): k-means over the normalised daily shape of the cells.
+
+    Of `starts` runs from different seeds the one with the lowest cost counts. Shapes are stored once: one row of 24
+    numbers per cell.
+    """
     profiles = hourly_profiles(hourly, train_dates)
-    shapes = _assembler(profiles.columns[1:]).transform(profiles).select("grid_id", "features").persist()
-    try:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cell_cluster").fit(shapes)
-    finally:
-        shapes.unpersist()
-    return model.transform(shapes).select("grid_id", "cell_cluster")
+    shapes = cut_lineage(_assembler(profiles.columns[1:]).transform(profiles).select("grid_id", "features"))
+    best = None
+    for start in range(starts):
+        model = KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol="cell_cluster").fit(shapes)
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    return best.transform(shapes).select("grid_id", "cell_cluster")
 
 
 def with_class_weight(df, label, balanced=True):
@@ -57,7 +63,8 @@ def train_drop_classifier(train, kind="boosted", features=DROP_FEATURES, label="
     else:
         raise ValueError("kind must be 'forest' or 'boosted'")
     learner = learner.setFeaturesCol("features").setLabelCol(label).setWeightCol("row_weight")
-    weighted = with_class_weight(train, label, balanced=kind == "forest").select(*features, label, "row_weight")
+    train = cut_lineage(train.select(*features, label))  # class weights and every tree read the stored features
+    weighted = with_class_weight(train, label, balanced=kind == "forest")
     return Pipeline(stages=[_assembler(features), learner]).fit(weighted)
 
 

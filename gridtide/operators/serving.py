@@ -118,13 +118,13 @@ def top_cells_on(grid_daily, cells, date=None, n=10):
     )
 
 
-def cell_series(fact, times, grid_id, date=None, hour=None, as_of=None):
-    """Series of one cell over the 24 hours that end at `as_of`, by default the latest fact.
+def cell_series(fact, times, grid_id, date=None, hour=None, as_of=None, low=MIN_GRID, high=MAX_GRID):
+    """Series of one cell of the domain low..high over the 24 hours that end at `as_of`, by default the latest fact.
 
     Keys grow with time, so the latest fact is found by its key alone; the time filters reduce the
     time dimension before the join.
     """
-    cell = valid_grid(grid_id)
+    cell = valid_grid(grid_id, low, high)
     if as_of is None:
         last_key = fact.agg(F.max("time_key")).scalar()
         end = times.where(F.col("time_key") == last_key).agg(F.max("timestamp")).scalar()
@@ -144,9 +144,9 @@ def cell_series(fact, times, grid_id, date=None, hour=None, as_of=None):
     )
 
 
-def current_and_next(hourly, grid_id, as_of):
+def current_and_next(hourly, grid_id, as_of, low=MIN_GRID, high=MAX_GRID):
     """One row: activity of a cell at `as_of` and one hour later, each the latest point in its 24 h."""
-    cell = hourly.where(F.col("grid_id") == valid_grid(grid_id))
+    cell = hourly.where(F.col("grid_id") == valid_grid(grid_id, low, high))
     now = _time(as_of)
     later = now + F.expr("INTERVAL 1 HOUR")
     stamp = F.col("timestamp")
@@ -171,17 +171,20 @@ def day_over_day(day_summary, columns=("total_activity", "active_grids")):
     return changed.withColumns({f"{name}_trend": trend(f"{name}_pct") for name in columns})
 
 
+def _upto(table, as_of):
+    """Rows up to `as_of`; all rows without one, since none is later than the latest."""
+    return table if as_of is None else table.where(F.col("timestamp") <= _time(as_of))
+
+
 def latest_alerts(alerts, n=20, as_of=None):
-    """Newest n alerts up to `as_of`; ties by cell and type."""
-    upto = alerts.where(F.col("timestamp") <= _as_of(alerts, as_of))
-    return upto.orderBy(F.desc("timestamp"), "grid_id", "alert_type").limit(n)
+    """Newest n alerts up to `as_of`, n between 1 and 50; ties by cell and type."""
+    return _upto(alerts, as_of).orderBy(F.desc("timestamp"), "grid_id", "alert_type").limit(clamped_limit(n))
 
 
 def hotspots(alerts, n=20, as_of=None):
-    """High-activity alerts up to `as_of` with the largest activity."""
-    high = alerts.where(F.col("alert_type") == "HIGH_ACTIVITY")
-    upto = high.where(F.col("timestamp") <= _as_of(high, as_of))
-    return upto.orderBy(F.desc("current_activity"), F.desc("timestamp"), "grid_id").limit(n)
+    """High-activity alerts up to `as_of` with the largest activity, n between 1 and 50."""
+    upto = _upto(alerts.where(F.col("alert_type") == "HIGH_ACTIVITY"), as_of)
+    return upto.orderBy(F.desc("current_activity"), F.desc("timestamp"), "grid_id").limit(clamped_limit(n))
 
 
 def alert_timeline(alerts, days=7):
@@ -217,12 +220,12 @@ def with_freshness(features, now):
     return features.withColumn("age_hours", F.round(age, 2)).withColumn("freshness_status", freshness(age))
 
 
-def cell_features(features, grid_id, as_of=None, now=None):
+def cell_features(features, grid_id, as_of=None, now=None, low=MIN_GRID, high=MAX_GRID):
     """Feature row of a cell at `as_of` or its latest one, with quality and freshness.
 
     Without `now` the age is measured against the newest feature of the whole table.
     """
-    own = features.where(F.col("grid_id") == valid_grid(grid_id))
+    own = features.where(F.col("grid_id") == valid_grid(grid_id, low, high))
     row = own.where(F.col("timestamp") == _as_of(own, as_of)).limit(1)
     clock = _time(now) if now is not None else features.agg(F.max("timestamp")).scalar()
     return with_freshness(missing_features(row), clock)

@@ -111,18 +111,17 @@ class Tables:
         return hourly_by_cell(self.shipments(), SCALE)
 
     def cells(self):
-        """Cell dimension from the customers with a non-negative balance, placed on a lattice."""
-        known = self.read("customer").where(F.col("c_acctbal") >= 0)
+        """Cell dimension from all customers, placed on a lattice."""
         cell = F.col("c_custkey") + 1
         x, y = lattice_x(cell, WIDTH), lattice_y(cell, WIDTH)
-        return known.select(
+        return self.read("customer").select(
             cell.alias("grid_id"),
             (F.lit(45.0) + y * 0.002).alias("centroid_latitude"),
             (F.lit(9.0) + x * 0.003).alias("centroid_longitude"),
         )
 
     def geometry(self):
-        """Cell geometry as text, keyed by cell."""
+        """Cell geometry as text, keyed by cell; NULL where the balance is negative."""
         cell = F.col("c_custkey") + 1
         place = F.concat(
             F.lit('{"type":"Point","coordinates":['),
@@ -131,8 +130,8 @@ class Tables:
             lattice_y(cell, WIDTH).cast("string"),
             F.lit("]}"),
         )
-        known = self.read("customer").where(F.col("c_acctbal") >= 0)
-        return known.select(cell.alias("grid_id"), place.alias("geometry"))
+        shape = F.when(F.col("c_acctbal") >= 0, place)
+        return self.read("customer").select(cell.alias("grid_id"), shape.alias("geometry"))
 
     def points(self):
         """Customers as points of an almost regular lattice."""
@@ -218,12 +217,12 @@ def with_shipments_hourly():
 CELLS_SQL = (
     f"cells AS (SELECT c_custkey + 1 AS grid_id, 45.0::DOUBLE + CAST(c_custkey // {WIDTH} AS DOUBLE) * 0.002 "
     f"AS centroid_latitude, 9.0::DOUBLE + CAST(c_custkey % {WIDTH} AS DOUBLE) * 0.003 AS centroid_longitude "
-    "FROM customer WHERE c_acctbal >= 0)"
+    "FROM customer)"
 )
 GEOMETRY_SQL = (
-    "geometry AS (SELECT c_custkey + 1 AS grid_id, '{\"type\":\"Point\",\"coordinates\":[' || "
+    "geometry AS (SELECT c_custkey + 1 AS grid_id, CASE WHEN c_acctbal >= 0 THEN '{\"type\":\"Point\",\"coordinates\":[' || "
     f"CAST(c_custkey % {WIDTH} AS VARCHAR) || ',' || CAST(c_custkey // {WIDTH} AS VARCHAR) || ']}}' "
-    "AS geometry FROM customer WHERE c_acctbal >= 0)"
+    "END AS geometry FROM customer)"
 )
 TIMES_SQL = (
     "times AS (SELECT CAST(row_number() OVER (ORDER BY timestamp) AS INTEGER) AS time_key, timestamp, "

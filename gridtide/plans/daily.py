@@ -6,7 +6,7 @@ readers never see a half-written or failed run.
 
 from pyspark.sql import functions as F
 
-from gridtide.operators.clean import clean_usage
+from gridtide.operators.clean import canonical_names, clean_usage, parsed_time
 from gridtide.operators.enrich import with_geometry
 from gridtide.operators.hourly import hourly_by_calendar, top_cells
 from gridtide.operators.quality import quality_gate, require_passed, require_tables
@@ -19,8 +19,10 @@ from gridtide.operators.warehouse import (
     grid_daily_summary,
 )
 from gridtide.sources.geojson import centroids, grid_reference, read_features
-from gridtide.sources.sinks import append_status, latest_status, rebalanced, require_status, write_single_csv, write_table
-from gridtide.sources.usage import read_table
+from gridtide.schemas import RAW_COLUMNS
+from gridtide.sources.sinks import append_status, rebalanced, require_status, stored_table, write_single_csv, write_table
+from gridtide.sources.usage import TIME_PATTERN, read_table
+from gridtide.streaming.intake import run_intake
 
 PROCESSING, WAREHOUSE = "processing", "warehouse"
 
@@ -35,16 +37,14 @@ def run_processing(spark, usage, reference, out, run_id):
     counts = {}
     try:
         cleaned = clean_usage(usage)
-        write_table(rebalanced(cleaned.clean, "date"), f"{base}/clean", by="date")
-        write_table(cleaned.report, f"{base}/report")
-        clean, report = spark.read.parquet(f"{base}/clean"), spark.read.parquet(f"{base}/report")
-        write_table(rebalanced(hourly_by_calendar(clean), "date"), f"{base}/hourly", by="date")
-        hourly = spark.read.parquet(f"{base}/hourly")
-        enriched = with_geometry(hourly, reference)
+        clean = stored_table(rebalanced(cleaned.clean, "date"), f"{base}/clean", by="date")
+        report = stored_table(cleaned.report, f"{base}/report")
+        hourly = stored_table(rebalanced(hourly_by_calendar(clean), "date"), f"{base}/hourly", by="date")
         counts = report.select("rows_in", "rows_rejected", "nulls_handled").first().asDict()
+        # The enriched rows are joined once; the run is published by its status row, after the gate.
+        enriched = stored_table(rebalanced(with_geometry(hourly, reference), "date"), f"{base}/analytics", by="date")
         require_passed(quality_gate(report, clean, hourly, enriched))
-        write_table(rebalanced(enriched, "date"), f"{base}/analytics", by="date")
-        counts["rows_published"] = spark.read.parquet(f"{base}/analytics").count()
+        counts["rows_published"] = enriched.count()
     except Exception as error:
         append_status(spark, f"{out}/status", PROCESSING, "FAILURE", str(error), run_id=run_id, **counts)
         raise
@@ -83,27 +83,51 @@ def run_warehouse(spark, cells, out):
     return f"{base}/warehouse"
 
 
+def stored_reference(spark, geojson, out, run_id, id_offset=0):
+    """Cell geometry and centroids of a GeoJSON file, parsed once and stored with the run."""
+    shapes = stored_table(read_features(spark, geojson), f"{out}/{run_id}/features")
+    return grid_reference(shapes, id_offset), centroids(shapes, id_offset)
+
+
 def run_daily(spark, usage, geojson, out, run_id, id_offset=0):
     """Processing and warehouse of one run; geometry and centroids come from a GeoJSON file."""
-    shapes = read_features(spark, geojson)
-    run_processing(spark, usage, grid_reference(shapes, id_offset), out, run_id)
-    return run_warehouse(spark, centroids(shapes, id_offset), out)
+    geometry, places = stored_reference(spark, geojson, out, run_id, id_offset)
+    run_processing(spark, usage, geometry, out, run_id)
+    return run_warehouse(spark, places, out)
+
+
+def accepted_usage(spark, landing_out, batches=None):
+    """Rows of accepted files from the intake's raw table under canonical names, of some batches or of all."""
+    raw = read_table(spark, f"{landing_out}/raw")
+    if batches is not None:
+        raw = raw.where(F.col("batch_id").isin(list(batches)))
+    named = canonical_names(raw.select(*RAW_COLUMNS))
+    return named.withColumn("timestamp", parsed_time(named, "timestamp", TIME_PATTERN))
+
+
+def run_from_landing(spark, landing, geojson, out, run_id, id_offset=0):
+    """The whole chain: intake of new files, the gates, then processing and warehouse of the accepted new rows.
+
+    Raises when the landing folder is empty or the intake failed. Returns None when no new file was accepted;
+    what earlier runs published stays as it is.
+    """
+    require_inputs(spark, landing)
+    intake = f"{out}/intake"
+    totals = run_intake(spark, landing, intake)
+    require_status(spark, f"{intake}/status", "intake")
+    if not totals["valid_files"]:
+        return None
+    return run_daily(spark, accepted_usage(spark, intake, totals["batches"]), geojson, out, run_id, id_offset)
 
 
 def export_dashboard(spark, out, n=10):
     """Top cells of the published run as one CSV file."""
     run_id = published_run(spark, out)
     path = f"{out}/{run_id}/dashboard_summary"
-    write_single_csv(top_cells(spark.read.parquet(f"{out}/{run_id}/hourly"), n), path)
+    write_single_csv(top_cells(spark.read.parquet(f"{out}/{run_id}/hourly"), n), path, max_rows=n)
     return path
 
 
-def run_counts(spark, out, stage):
-    """Counts recorded by the newest run of a stage, None when it never ran."""
-    row = latest_status(spark, f"{out}/status", stage)
-    return None if row is None else row["counts"]
-
-
 def require_inputs(spark, folder, glob="*.csv"):
     """Number of input files; raises when the folder holds none. Only the listing is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path")

@@ -17,8 +17,12 @@ MULTIPLIERS = {
 }
 
 
-def run_detection(spark, hourly, out, generated_at, fmt="json", percentile=FLOOR_PERCENTILE):
-    """Detect, export and summarise alerts. Pass a stored hourly table: it is read three times."""
-    alerts = detect_alerts(hourly, percentile)
-    floor = activity_floor(hourly, percentile)
+def run_detection(spark, hourly, out, generated_at, fmt="json", percentile=FLOOR_PERCENTILE, totals=None):
+    """Detect, export and summarise alerts over a stored hourly table.
+
+    The floor is computed once, from `totals` (grid_id, date, total_activity) where the daily mart has them. Besides
+    it the table is read once for the alerts and once, without columns, for their share of all rows.
+    """
+    floor = activity_floor(hourly, percentile, totals=totals)
+    alerts = detect_alerts(hourly, percentile, floor=floor)
     return write_bundle(spark, alerts, hourly, floor, out, MULTIPLIERS, percentile, generated_at, fmt)

@@ -156,16 +156,15 @@ def leakage_check(t):
 
 
 @query(
-    f"{ZONE_ROWS_SQL} SELECT CASE WHEN target_date IN (DATE '2024-01-20', DATE '2024-01-21') THEN 'train' WHEN "
-    "target_date = DATE '2024-01-22' THEN 'validation' ELSE 'test' END AS part, count(*) AS rows FROM rows WHERE "
-    "target_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-23' GROUP BY 1"
+    f"{ZONE_ROWS_SQL}, target_days AS (SELECT target_date, row_number() OVER (ORDER BY target_date) AS i, count(*) OVER () AS n "
+    "FROM (SELECT DISTINCT target_date FROM rows)), parts AS (SELECT target_date, CASE WHEN i <= n - 2 * greatest(1, "
+    "round_even(n * 0.2, 0)) THEN 'train' WHEN i <= n - greatest(1, round_even(n * 0.2, 0)) THEN 'validation' ELSE 'test' "
+    "END AS part FROM target_days) SELECT part, count(*) AS rows FROM rows JOIN parts USING (target_date) GROUP BY 1"
 )
 def split_by_target_date(t):
     """Size of every part."""
-    labelled = features.with_part(
-        zone_forecast_rows(t), ("2024-01-20", "2024-01-21"), ("2024-01-22",), ("2024-01-23",)
-    )
-    return labelled.where(F.col("part").isNotNull()).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    rows = zone_forecast_rows(t)
+    return features.with_part(rows, *features.date_parts(rows)).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(

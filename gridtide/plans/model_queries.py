@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridtide.functions.sizes import cut_lineage
 from gridtide.operators import features, metrics, models
 from gridtide.plans.binding import WIDTH, rounded
 from gridtide.plans.catalog import query
@@ -97,12 +98,9 @@ def class_imbalance(t):
     return rounded(metrics.imbalance(drop_rows(t), "target_drop"), 6)
 
 
-_TESTED = DROP_FEATURES[:13]
-
-
 @query(
     f"{DROP_ROWS_SQL}, long AS ("
-    + " UNION ALL ".join(f"SELECT '{name}' AS feature, target_drop, CAST({name} AS DOUBLE) AS v FROM rows" for name in _TESTED)
+    + " UNION ALL ".join(f"SELECT '{name}' AS feature, target_drop, CAST({name} AS DOUBLE) AS v FROM rows" for name in DROP_FEATURES)
     + "), g AS (SELECT feature, target_drop, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS w FROM long GROUP BY "
     "1, 2), a AS (SELECT feature, avg(v) AS grand, count(*) AS n FROM long GROUP BY 1 HAVING min(v) <> max(v)), s AS "
     "(SELECT feature, max(a.n) AS total, count(*) AS k, sum(g.n * pow(m - grand, 2)) AS b, sum(w) AS w FROM g JOIN a "
@@ -110,7 +108,7 @@ _TESTED = DROP_FEATURES[:13]
     "AS df_between, total - k AS df_within FROM s"
 )
 def anova(t):
-    return rounded(metrics.anova(drop_rows(t), "target_drop", _TESTED), 4)
+    return rounded(metrics.anova(drop_rows(t), "target_drop", DROP_FEATURES), 4)
 
 
 def _predicted(t):
@@ -176,46 +174,40 @@ def cell_clusters(t):
     return models.cluster_cells(t.hourly())
 
 
-_SMALL_TREES = {"maxIter": 5, "maxDepth": 3}
-
-
-def _trained(t, kind="boosted", **options):
-    rows = features.drop_training_rows(features.drop_features(t.hourly("zone"), WIDTH))
+def _trained(t, kind="boosted"):
+    rows = cut_lineage(features.drop_training_rows(features.drop_features(t.hourly("zone"), WIDTH)))
     train, test = features.chronological_split(rows)
-    return models.train_drop_classifier(train, kind, **options), test
+    return models.train_drop_classifier(train, kind), test
 
 
 @query()
 def drop_scores_boosted(t):
-    """Out-of-time scores of a small boosted detector with its tuned threshold."""
-    model, test = _trained(t, **_SMALL_TREES)
+    """Out-of-time scores of the boosted detector with its tuned threshold."""
+    model, test = _trained(t)
     threshold = metrics.best_threshold(models.drop_scores(model, test), "drop_probability", "target_drop").first()[0]
     return models.predict_drops(model, test, threshold)
 
 
 @query()
 def drop_scores_forest(t):
-    """Out-of-time scores of a small balanced forest."""
-    model, test = _trained(t, "forest", numTrees=10, maxDepth=4)
+    """Out-of-time scores of the balanced forest."""
+    model, test = _trained(t, "forest")
     return models.predict_drops(model, test, 0.5)
 
 
 @query()
 def drop_feature_importance(t):
     """Importance of every feature of the boosted detector."""
-    model, _ = _trained(t, **_SMALL_TREES)
+    model, _ = _trained(t)
     return models.feature_importance(t.spark, model, DROP_FEATURES)
 
 
 @query()
 def next_hour_forecast(t):
-    """Forecast of the next hour on the test dates, with its residual anomaly score."""
-    rows = features.forecast_training_rows(features.forecast_features(t.hourly("zone"), width=WIDTH))
-    train_dates = [f"2024-01-{day:02d}" for day in range(1, 21)]
-    test_dates = [f"2024-01-{day:02d}" for day in range(24, 31)]
-    parts = features.split_by_target_date(rows, train_dates, ("2024-01-21", "2024-01-22", "2024-01-23"), test_dates)
-    train, validation, test = parts
-    model = models.train_forecaster(train, validation, FORECAST_FEATURES, **_SMALL_TREES)
+    """Forecast of the next hour on the last fifth of the days, with its residual anomaly score."""
+    rows = cut_lineage(features.forecast_training_rows(features.forecast_features(t.hourly("zone"), width=WIDTH)))
+    train, validation, test = features.split_by_target_date(rows, *features.date_parts(rows))
+    model = models.train_forecaster(train, validation, FORECAST_FEATURES)
     return features.with_residual_scores(models.forecast(model, test)).select(
         "grid_id", "target_date", "target_hour_index", "internet_target", "y_pred", "z_score", "is_anomaly"
     )

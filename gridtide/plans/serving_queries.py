@@ -196,15 +196,14 @@ def feature_quality(t):
 
 
 @query(
-    f"{with_hourly('zone')}, aged AS (SELECT grid_id, timestamp, date_diff('microsecond', timestamp, TIMESTAMP "
-    "'2024-01-15 06:00:00') / 3600000000.0 AS age FROM hourly WHERE timestamp <= TIMESTAMP '2024-01-15 06:00:00') SELECT "
+    f"{with_hourly('zone')}, aged AS (SELECT grid_id, timestamp, greatest(date_diff('microsecond', timestamp, TIMESTAMP "
+    "'2024-01-15 06:00:00') / 3600000000.0, 0) AS age FROM hourly) SELECT "
     "grid_id, timestamp, ROUND(age, 2) AS age_hours, CASE WHEN age <= 2 THEN 'FRESH' WHEN age <= 6 THEN 'STALE' ELSE "
     "'OUTDATED' END AS freshness_status FROM aged"
 )
 def feature_freshness(t):
     now = F.lit("2024-01-15 06:00:00").cast("timestamp")
-    seen = t.hourly("zone").select("grid_id", "timestamp").where(F.col("timestamp") <= now)
-    return serving.with_freshness(seen, now)
+    return serving.with_freshness(t.hourly("zone").select("grid_id", "timestamp"), now)
 
 
 @query(

@@ -133,12 +133,12 @@ def map_slice(t):
 
 
 @query(
-    f"{with_hourly()}, known AS (SELECT c_custkey + 1 AS grid_id, c_nationkey AS cell_cluster FROM customer "
-    "WHERE c_acctbal >= 0) SELECT h.grid_id, h.timestamp, coalesce(cell_cluster, -1) AS cell_cluster FROM hourly h "
+    f"{with_hourly()}, known AS (SELECT c_custkey + 1 AS grid_id, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS "
+    "cell_cluster FROM customer) SELECT h.grid_id, h.timestamp, coalesce(cell_cluster, -1) AS cell_cluster FROM hourly h "
     "LEFT JOIN known USING (grid_id)"
 )
 def cells_with_cluster(t):
     """Cluster label of every row, -1 for cells without one."""
-    known = t.read("customer").where(F.col("c_acctbal") >= 0)
-    labels = known.select((F.col("c_custkey") + 1).alias("grid_id"), F.col("c_nationkey").alias("cell_cluster"))
+    label = F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey"))
+    labels = t.read("customer").select((F.col("c_custkey") + 1).alias("grid_id"), label.alias("cell_cluster"))
     return enrich.with_cluster(t.hourly().select("grid_id", "timestamp"), labels)

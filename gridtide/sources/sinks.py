@@ -5,9 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from gridtide import texts
-from gridtide.functions.sizes import BROADCAST_BYTES, fits_broadcast
 from gridtide.operators.alerts import alerted_share, alerts_by_type, cells_by_alerts
-from gridtide.operators.hourly import cell_kpis, daily_kpis
 from gridtide.schemas import forbid_columns
 
 
@@ -26,6 +24,12 @@ def write_table(df, path, by=None):
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def stored_table(df, path, by=None):
+    """Overwrite a Parquet table and read it back with the schema it was written with, so that no rows are no error."""
+    write_table(df, path, by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def overwrite_partitions(df, path, by="date", gather=True):
     """Replace only the partitions present in `df`; the others stay as they are.
 
@@ -44,10 +48,10 @@ def write_by_cell(df, path, files=8):
     ranged.write.mode("overwrite").parquet(path)
 
 
-def write_single_csv(df, path, max_bytes=BROADCAST_BYTES):
-    """One CSV file with header; raises when the frame is not the small mart this is meant for."""
-    if not fits_broadcast(df, max_bytes):
-        raise ValueError(f"{path}: too large for a single file")
+def write_single_csv(df, path, max_rows):
+    """One CSV file with header; raises when the frame has more rows than its caller expects."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"{path}: more than {max_rows} rows for a single file")
     df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -133,14 +137,6 @@ def write_text(spark, text, path):
     lines.coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
 
 
-def write_combined_summaries(hourly, profiles, path):
-    """Daily, cell and per-file summaries over all files."""
-    write_table(daily_kpis(hourly), f"{path}/daily_summary")
-    write_table(cell_kpis(hourly), f"{path}/grid_summary")
-    if profiles is not None:
-        write_table(profiles, f"{path}/profiling_summary")
-
-
 def verify_written(df, path, forbidden=(), expected_rows=None):
     """Compare a stored Parquet table with the frame it was written from; raises on any difference."""
     stored = df.sparkSession.read.parquet(path)

@@ -30,8 +30,11 @@ def read_typed_usage(spark, paths, pattern=TIME_PATTERN):
 
 
 def read_text_usage(spark, paths):
-    """Raw usage files with every cell as text, for checks that must see malformed cells."""
-    return spark.read.schema(USAGE_TEXT).option("header", True).csv(paths)
+    """Raw usage files with every cell as text, for checks that must see malformed cells.
+
+    A file whose header differs from the schema in names or order fails instead of being read by position.
+    """
+    return spark.read.schema(USAGE_TEXT).option("header", True).option("enforceSchema", False).csv(paths)
 
 
 def read_inferred(spark, paths):

@@ -5,17 +5,19 @@ checkpoint takes the place of moving files away. Each micro-batch writes its own
 tables, raw, rejected and log, by dynamic overwrite, so a replayed batch replaces what it wrote before.
 """
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridtide import texts
 from gridtide.functions.columns import is_daily_file
-from gridtide.functions.sizes import broadcast_within
+from gridtide.functions.sizes import broadcast_within, cut_lineage
 from gridtide.operators.quality import content_counts, verdicts
 from gridtide.schemas import RAW_COLUMNS, RAW_MEASURES
 from gridtide.sources.sinks import append_status, overwrite_partitions
 
 GLOB = "*.csv"
+LOG = "source string, status string, row_count long, reason string, processed_at timestamp, batch_id long"
 _CELLS = ", ".join(f"{name} string" for name in (*RAW_COLUMNS, "extra"))
 
 
@@ -56,12 +58,19 @@ def file_verdicts(lines):
     mismatch = F.concat(F.lit(texts.SCHEMA_MISMATCH.format(expected=expected)), found)
     ragged = F.concat(F.lit(texts.RAGGED), F.col("ragged").cast("string"))
     unreadable = F.when(~F.col("header_ok"), mismatch).when(F.col("ragged") > 0, ragged)
-    return judged.select(
+    verdict = judged.select(
         "source",
         F.when(unreadable.isNull(), F.col("status")).otherwise("REJECTED").alias("status"),
         F.when(unreadable.isNull(), F.col("row_count")).otherwise(F.lit(0)).cast("long").alias("row_count"),
         F.coalesce(unreadable, F.col("reason")).alias("reason"),
     )
+    blank = lines.groupBy("source").agg(F.bool_or(F.trim("value") != "").alias("filled")).where(~F.col("filled"))
+    return verdict.unionByName(blank.select("source", *_unreadable()))
+
+
+def _unreadable():
+    values = {"status": F.lit("REJECTED"), "row_count": F.lit(0).cast("long"), "reason": F.lit(texts.UNREADABLE)}
+    return [value.alias(name) for name, value in values.items()]
 
 
 def read_lines(spark, path):
@@ -82,31 +91,30 @@ def placed(lines):
     return lines.withColumn("place", F.monotonically_increasing_id())
 
 
-def _stored(spark, path):
-    """A table that may not exist yet."""
+def _stored(spark, path, schema):
+    """A table that may not exist yet, or hold no row yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], schema)
 
 
-def _unreadable_files(spark, landing, log):
-    """Verdicts of files without any text, which never show up as lines.
+def zero_byte_files(spark, landing, log):
+    """Verdicts of landed files of zero bytes, which no file scan ever delivers.
 
-    The names come from the listing the driver makes for every file scan. Only files that no batch has
-    judged are opened again, so that a file which arrived meanwhile is left to the next batch.
+    The folder is listed file by file, nothing is opened, and only names of zero-byte files are kept. Files that a
+    run has judged are left out, and so are files with content: a stream has judged them or will.
     """
-    paths = spark.read.option("pathGlobFilter", GLOB).text(landing).inputFiles()
-    listed = spark.createDataFrame([(path, path.rsplit("/", 1)[-1]) for path in paths], "path string, source string")
-    known = spark.read.parquet(log).select("source")
-    unseen = listed.where(is_daily_file("source")).join(known, "source", "left_anti")
-    names = {row.source: row.path for row in unseen.collect()}
-    filled = set()
-    if names:
-        lines = _located(spark.read.text(list(names.values()))).where(F.trim("value") != "")
-        filled = {row.source for row in lines.select("source").distinct().collect()}
-    empty = [(name, "REJECTED", 0, texts.UNREADABLE) for name in names if name not in filled]
-    return spark.createDataFrame(empty, "source string, status string, row_count long, reason string")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(landing)
+    listing = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(path)
+    names = []
+    while listing.hasNext():
+        entry = listing.next()
+        if entry.isFile() and entry.getLen() == 0:
+            names.append((entry.getPath().getName(),))
+    named = spark.createDataFrame(names, "source string").where(is_daily_file("source"))
+    known = _stored(spark, log, LOG).select("source")
+    return named.join(known, "source", "left_anti").select("source", *_unreadable())
 
 
 def _typed(rows):
@@ -116,53 +124,65 @@ def _typed(rows):
     return rows.select("batch_id", "source", *[value.alias(name) for name, value in columns.items()])
 
 
-def process_batch(lines, batch_id, landing, out):
-    """Judge the files of one batch, log the verdicts and route their rows."""
+def process_batch(lines, batch_id, out):
+    """Judge the files of one batch, log the verdicts and route their rows.
+
+    The lines are kept on the executors' disks while they are judged and routed, so each file is read once; what an
+    executor loses is read again.
+    """
     spark = lines.sparkSession
-    lines = placed(lines)
+    lines = placed(lines).persist(StorageLevel.DISK_ONLY)
     log = f"{out}/log"
-    stamp = {"batch_id": F.lit(batch_id).cast("long"), "processed_at": F.current_timestamp()}
-    overwrite_partitions(file_verdicts(lines).withColumns(stamp), log, "batch_id", gather=False)
-    unreadable = _unreadable_files(spark, landing, log).withColumns(stamp)
-    unreadable.write.mode("append").partitionBy("batch_id").parquet(log)
-    verdicts = spark.read.parquet(log).where(F.col("batch_id") == batch_id)
-    known = broadcast_within(verdicts.select("source", "status"))
-    tagged = lines.withColumn("batch_id", F.lit(batch_id).cast("long")).join(known, "source")
-    valid = with_cells(tagged.where((F.col("status") == "VALID") & (F.trim("value") != "")))
-    overwrite_partitions(_typed(valid.where(~_is_header())), f"{out}/raw", "batch_id", gather=False)
-    rejected = tagged.where(F.col("status") == "REJECTED").select("batch_id", "source", "block", "place", "value")
-    overwrite_partitions(rejected, f"{out}/rejected", "batch_id", gather=False)
+    try:
+        stamp = {"batch_id": F.lit(batch_id).cast("long"), "processed_at": F.current_timestamp()}
+        overwrite_partitions(file_verdicts(lines).withColumns(stamp), log, "batch_id", gather=False)
+        verdicts = _stored(spark, log, LOG).where(F.col("batch_id") == batch_id)
+        known = broadcast_within(verdicts.select("source", "status"))
+        tagged = lines.withColumn("batch_id", F.lit(batch_id).cast("long")).join(known, "source")
+        valid = with_cells(tagged.where((F.col("status") == "VALID") & (F.trim("value") != "")))
+        overwrite_partitions(_typed(valid.where(~_is_header())), f"{out}/raw", "batch_id", gather=False)
+        rejected = tagged.where(F.col("status") == "REJECTED").select("batch_id", "source", "block", "place", "value")
+        overwrite_partitions(rejected, f"{out}/rejected", "batch_id", gather=False)
+    finally:
+        lines.unpersist()
 
 
 def run_intake(spark, landing, out, max_files=1000):
-    """Process every file that arrived since the last run and record the totals of this run."""
-    log = f"{out}/log"
-    before = _stored(spark, log)
-    last = None if before is None else before.agg(F.max("batch_id")).first()[0]
-    seen = -1 if last is None else last
+    """Process every file that arrived since the last run and record the totals of this run.
+
+    Returns the totals and the ids of the batches that were processed.
+    """
+    log, batches = f"{out}/log", []
     totals = dict.fromkeys(("total_files", "valid_files", "rejected_files", "rows_ingested"), 0)
+
+    def process(lines, batch_id):
+        process_batch(lines, batch_id, out)
+        batches.append(batch_id)
+
     try:
         stream = spark.readStream.option("pathGlobFilter", GLOB).option("maxFilesPerTrigger", max_files)
         query = (
             _located(stream.text(landing))
             .writeStream.option("checkpointLocation", f"{out}/checkpoint")
             .trigger(availableNow=True)
-            .foreachBatch(lambda lines, batch_id: process_batch(lines, batch_id, landing, out))
+            .foreachBatch(process)
             .start()
         )
         query.awaitTermination()
-        written = _stored(spark, log)
-        if written is not None:
-            valid = F.col("status") == "VALID"
-            row = written.where(F.col("batch_id") > seen).agg(
-                F.count(F.lit(1)).alias("total_files"),
-                F.count_if(valid).alias("valid_files"),
-                F.count_if(~valid).alias("rejected_files"),
-                F.coalesce(F.sum(F.when(valid, F.col("row_count"))), F.lit(0)).alias("rows_ingested"),
-            )
-            totals = row.first().asDict()
+        valid = F.col("status") == "VALID"
+        row = _stored(spark, log, LOG).where(F.col("batch_id").isin(batches)).agg(
+            F.count_if(valid).alias("valid_files"),
+            F.count_if(~valid).alias("rejected_files"),
+            F.coalesce(F.sum(F.when(valid, F.col("row_count"))), F.lit(0)).alias("rows_ingested"),
+        )
+        totals |= row.first().asDict()
+        empty = cut_lineage(zero_byte_files(spark, landing, log))  # stored first, because it reads the log it goes to
+        stamp = {"batch_id": F.lit(max(batches, default=-1)).cast("long"), "processed_at": F.current_timestamp()}
+        empty.withColumns(stamp).write.mode("append").partitionBy("batch_id").parquet(log)
+        totals["rejected_files"] += empty.count()
+        totals["total_files"] = totals["valid_files"] + totals["rejected_files"]
     except Exception as error:
         append_status(spark, f"{out}/status", "intake", "FAILURE", str(error), **totals)
         raise
     append_status(spark, f"{out}/status", "intake", "SUCCESS", None, **totals)
-    return totals
+    return {**totals, "batches": batches}

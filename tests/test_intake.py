@@ -68,7 +68,7 @@ def test_intake_routes_whole_files_and_processes_each_once(spark, tmp_path):
     first = [n for n in FILES if n != name_of("04")]
     land(landing, first)
     totals = run_intake(spark, str(landing), out)
-    assert totals == {"total_files": 9, "valid_files": 1, "rejected_files": 8, "rows_ingested": 2}
+    assert totals == {"total_files": 9, "valid_files": 1, "rejected_files": 8, "rows_ingested": 2, "batches": [0]}
     log = {r.source: (r.status, r.row_count, r.reason) for r in spark.read.parquet(f"{out}/log").collect()}
     assert log[name_of("10")] == REASONS["10"]
     raw = spark.read.parquet(f"{out}/raw")
@@ -81,7 +81,7 @@ def test_intake_routes_whole_files_and_processes_each_once(spark, tmp_path):
     assert run_intake(spark, str(landing), out)["total_files"] == 0
     land(landing, [name_of("04")])
     assert run_intake(spark, str(landing), out) == {
-        "total_files": 1, "valid_files": 0, "rejected_files": 1, "rows_ingested": 0,
+        "total_files": 1, "valid_files": 0, "rejected_files": 1, "rows_ingested": 0, "batches": [1],
     }
     assert spark.read.parquet(f"{out}/raw").count() == 2
     assert spark.read.parquet(f"{out}/log").count() == 10
@@ -94,3 +94,24 @@ def test_failed_intake_is_recorded(spark, tmp_path):
         run_intake(spark, str(tmp_path / "missing"), out)
     with pytest.raises(ValueError, match="FAILURE"):
         require_status(spark, f"{out}/status", "intake")
+
+
+def test_empty_landing_is_rejected_and_does_not_block_later_files(spark, tmp_path):
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    land(landing, [name_of("10")])
+    (landing / name_of("11")).write_text("\n \n")
+    first = run_intake(spark, str(landing), out)
+    assert (first["total_files"], first["rejected_files"]) == (2, 2)
+    land(landing, [name_of("01")])
+    assert run_intake(spark, str(landing), out)["valid_files"] == 1
+    log = {r.source: r.reason for r in spark.read.parquet(f"{out}/log").collect()}
+    assert log[name_of("10")] == log[name_of("11")] == texts.UNREADABLE and len(log) == 3
+
+
+def test_each_file_is_judged_in_its_own_batch(spark, tmp_path):
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    days = ["01", "02", "03", "05", "06", "07"]
+    land(landing, [name_of(day) for day in days])
+    assert run_intake(spark, str(landing), out, max_files=1)["batches"] == list(range(6))
+    log = spark.read.parquet(f"{out}/log")
+    assert log.count() == log.select("source").distinct().count() == log.select("batch_id").distinct().count() == 6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridtide.operators import clean
 from gridtide.plans.batch import run_batch
-from gridtide.plans.daily import export_dashboard, require_inputs, published_run, run_counts, run_daily, run_processing
+from gridtide.plans.daily import export_dashboard, require_inputs, published_run, run_daily, run_from_landing, run_processing
 from gridtide.plans.detection import run_detection
 from gridtide.schemas import HOURLY_COLUMNS
 from gridtide.sources import geojson, sinks, usage
@@ -135,10 +135,10 @@ def test_exports_verification_and_footprint(spark, tmp_path):
         sinks.verify_written(df, path, forbidden=("total",))
     size = sinks.storage_footprint(spark, {"t": path}).first()
     assert size.files >= 1 and size.size_mb > 0
-    sinks.write_single_csv(df, str(tmp_path / "csv"))
+    sinks.write_single_csv(df, str(tmp_path / "csv"), max_rows=1)
     assert usage.read_inferred(spark, str(tmp_path / "csv")).first().total == 2.0
-    with pytest.raises(ValueError, match="too large"):
-        sinks.write_single_csv(df, str(tmp_path / "csv2"), max_bytes=1)
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        sinks.write_single_csv(df.union(df), str(tmp_path / "csv2"), max_rows=1)
 
 
 def test_daily_run_publishes_tables_and_status(spark, tmp_path, usage_files, grid_file):
@@ -146,7 +146,7 @@ def test_daily_run_publishes_tables_and_status(spark, tmp_path, usage_files, gri
     rows = usage.read_typed_usage(spark, usage_files)
     warehouse = run_daily(spark, rows, grid_file, out, "run1")
     assert published_run(spark, out) == "run1"
-    assert run_counts(spark, out, "processing")["rows_published"] == 96
+    assert sinks.latest_status(spark, f"{out}/status", "processing")["counts"]["rows_published"] == 96
     analytics = spark.read.parquet(f"{out}/run1/analytics")
     assert set(analytics.columns) == {*HOURLY_COLUMNS, "geometry"} and analytics.count() == 96
     facts = spark.read.parquet(f"{warehouse}/fact_network_activity")
@@ -167,6 +167,37 @@ def test_daily_run_publishes_tables_and_status(spark, tmp_path, usage_files, gri
         published_run(spark, out)
 
 
+def test_a_day_without_accepted_rows_fails_the_gate(spark, tmp_path, usage_files, grid_file):
+    rows = usage.read_typed_usage(spark, usage_files).withColumn("grid_id", F.lit(None).cast("long"))
+    with pytest.raises(ValueError, match="no_output_rows"):
+        run_daily(spark, rows, grid_file, str(tmp_path / "out"), "run1")
+
+
+def test_landed_files_reach_the_warehouse(spark, tmp_path, usage_files, grid_file):
+    landing, out = tmp_path / "raw", str(tmp_path / "out")
+    (landing / "sms-call-internet-mi-2013-11-09.csv").write_text("datetime,wrong\n1,2\n")
+    run_from_landing(spark, str(landing), grid_file, out, "run1")
+    assert spark.read.parquet(f"{out}/run1/warehouse/day_summary").count() == 2
+    assert run_from_landing(spark, str(landing), grid_file, out, "run2") is None
+    day = (landing / "sms-call-internet-mi-2013-11-01.csv").read_text().replace("2013-11-01", "2013-11-03")
+    (landing / "sms-call-internet-mi-2013-11-03.csv").write_text(day)
+    warehouse = run_from_landing(spark, str(landing), grid_file, out, "run3")
+    assert [str(r.summary_date) for r in spark.read.parquet(f"{warehouse}/day_summary").collect()] == ["2013-11-03"]
+    stages = spark.read.parquet(f"{out}/status").select("stage", "run_id", "status").collect()
+    assert {tuple(r) for r in stages} == {(s, r, "SUCCESS") for s in ("processing", "warehouse") for r in ("run1", "run3")}
+
+
+def test_batch_refuses_reordered_headers_and_survives_without_rows(spark, tmp_path, usage_files):
+    folder = tmp_path / "odd"
+    folder.mkdir()
+    (folder / "sms-call-internet-mi-2013-11-01.csv").write_text(HEADER.replace("smsin,smsout", "smsout,smsin") + "\n2013-11-01 00:00:00,1,39,100,,1,,1\n")
+    with pytest.raises(Exception, match="header does not conform"):
+        run_batch(spark, str(folder), str(tmp_path / "bad"))
+    (folder / "sms-call-internet-mi-2013-11-01.csv").write_text(HEADER + "\n,1,39,100,,1,,1\n")
+    out = run_batch(spark, str(folder), str(tmp_path / "none"))
+    assert spark.read.parquet(f"{out}/daily_summary").count() == 0
+
+
 def test_batch_run_exports_per_file_and_combined(spark, tmp_path, usage_files):
     out = run_batch(spark, usage_files, str(tmp_path / "batch"))
     profile = spark.read.parquet(f"{out}/profiling_summary").orderBy("source").collect()
