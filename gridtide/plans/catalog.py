@@ -25,6 +25,7 @@ def load():
     """Import the modules that register queries."""
     from gridtide.plans import (  # noqa: F401
         alert_queries,
+        check_queries,
         cleaning_queries,
         feature_queries,
         hourly_queries,

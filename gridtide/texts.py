@@ -33,4 +33,10 @@ BASELINE_LIMITATIONS = """# Limits of the within-day baseline
 - ACTIVITY_SPIKE compares with the previous row of the same day, which is the previous hour only when no
   hour is missing; the first row of a day has nothing to compare with.
 - A day that is unusual as a whole raises no alert, because its own hours are the yardstick.
+- An alert says that activity differs, not why: events, outages, holidays and faulty records look alike.
+- False alerts are uneven: quiet cells and cells with a strong daily rhythm raise more than steady ones.
+- A baseline rests on 23 values of one day, so a few odd hours can move it.
+- Neighbouring cells share causes; their alerts are not independent and must not be counted as such.
+- One hour can carry alerts of several rules; the number of alerts is not the number of odd hours.
+- Missing or repeated source records change totals and can raise alerts of their own.
 """
