@@ -174,7 +174,7 @@ def mix(docs, weights=WEIGHTS, most=MOST_COPIES, weight=None, seed=SEED):
 def mixed_documents(docs, weights=WEIGHTS, most=MOST_COPIES, seed=SEED):
     """The documents the mix takes, each as often as it takes them, with their columns."""
     names = docs.columns
-    rows = keyed(docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), None, seed)
-    plan = sampling_plan(cut_lineage(rows.drop("row", "text")), weights, most)
+    rows = keyed(docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), None, seed).drop("text")
+    plan = sampling_plan(cut_lineage(rows.drop("row")), weights, most)
     taken = with_copies(rows, plan, most).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
