@@ -24,7 +24,12 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query()
+@query(
+    "WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), g AS (SELECT html, max(page_id) AS holder FROM p WHERE "
+    "strlen(html) >= 1000 GROUP BY 1), r AS (SELECT p.*, CASE WHEN holder <> page_id THEN holder END AS refers_to FROM p LEFT JOIN g "
+    "USING (html)) SELECT page_id, url, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN refers_to IS NULL THEN "
+    "'response' ELSE 'revisit' END AS record_type, refers_to, CASE WHEN refers_to IS NULL THEN sha1(html) END AS payload_verified FROM r"
+)
 def op1_warc_transactions(spark, folder):
     pages = table(spark, folder, "pages")
     return archive.archive_round_trip(pages)
@@ -57,7 +62,17 @@ def op9_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(packing.VOCABULARY))
 
 
-@query()
+@query(
+    "WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS text FROM documents), w AS (SELECT doc_id, "
+    "string_split_regex(text, '[\\x20\\x09-\\x0D]+') AS words FROM t WHERE text <> ''), s AS (SELECT DISTINCT doc_id, "
+    "array_to_string(words[i:i + 4], ' ') || CASE WHEN len(words) < 5 THEN ' ' || len(words) ELSE '' END AS shingle FROM (SELECT doc_id, words, "
+    "unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), "
+    "c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY "
+    "1, 2), e AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)), "
+    "r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x) SELECT r.doc_id, "
+    "coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY 1"
+)
 def op10_near_duplicates(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
