@@ -11,8 +11,6 @@ capture together, one join attaches them, and one nested row per capture comes o
 through WARC-Refers-To.
 """
 
-import hashlib
-import json
 import re
 import zlib
 
@@ -233,14 +231,19 @@ def assemble(records):
     order of reading. A capture without satellites has null structs, satellites without a capture are left out,
     captures with one identifier all come out. Rows of other types are ignored.
     """
-    fields = [F.struct("file", "position", "record_id", "target_uri", "http_head", "fields")]
+    record = F.struct("file", "position", "record_id", "target_uri", "http_head", "fields").alias("record")
     captures = records.where(F.col("type").isin("response", "revisit", "resource"))
-    others = records.where(F.col("type").isin("request", "metadata")).select("type", "record_id", "concurrent_to", fields[0].alias("record"))
+    others = records.where(F.col("type").isin("request", "metadata")).select("type", "record_id", "concurrent_to", record)
     naming = others.select(F.explode("concurrent_to").alias("capture_id"), "type", "record")
     named = captures.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("other_id"))
     named = named.join(others, F.col("other_id") == F.col("record_id")).select("capture_id", "type", "record")
-    first = {kind: F.min_by(F.when(F.col("type") == kind, F.col("record")), F.when(F.col("type") == kind, F.struct("record.file", "record.position"))) for kind in ("request", "metadata")}
-    satellites = naming.union(named).groupBy("capture_id").agg(*[value.alias(kind) for kind, value in first.items()])
+
+    def first(kind):
+        own = F.col("type") == kind
+        place = F.struct("record.file", "record.position")
+        return F.min_by(F.when(own, F.col("record")), F.when(own, place)).alias(kind)
+
+    satellites = naming.union(named).groupBy("capture_id").agg(first("request"), first("metadata"))
     return captures.join(satellites, F.col("record_id") == F.col("capture_id"), "left").drop("capture_id")
 
 
