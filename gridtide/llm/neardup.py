@@ -34,7 +34,7 @@ _WEIGHTS = np.random.default_rng(2024).integers(0, 1 << 63, size=SHINGLE_WORDS,
 _HASHES = {}
 
 
-def _word_hash(word, most=1_000_000):
+def _word_hash(word, most=200_000):
     value = _HASHES.get(word)
     if value is None:
         if len(_HASHES) >= most:

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gridtide.functions.sizes import cut_lineage
 
 ORDER = 4
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 24 << 20
 #: One in so many trusted documents sets thresholds instead of training.
 HELD_BACK = 5
 QUANTILE = 0.995
