@@ -1,7 +1,8 @@
 """Quality filter by an interpolated modified Kneser-Ney model of characters.
 
 The model is trained on all trusted text (documents labelled good and not toxic, without a held-back fifth) and
-gives every document its perplexity. Thresholds are quantiles of the held-back trusted documents, per language.
+gives every document its perplexity. Thresholds are quantiles of the held-back trusted documents, per language,
+drawn towards the quantile over all languages as far as a language has few of them.
 
 Text is moved as packets: documents of one block (a hash of doc_id) packed and compressed together, which keeps
 all their columns and makes a shuffle a fraction of the text. One pass brings packets and labels of a block
@@ -30,8 +31,8 @@ HELD_BACK = 5
 QUANTILE = 0.995
 #: Shorter texts say too little for a verdict: they set no threshold and are kept.
 LEAST_CHARS = 40
-#: Held-back documents that a threshold needs at least, and that show the top quantile itself.
-LEAST_HELD, ENOUGH_HELD = 5, 200
+#: Held-back documents that a median needs at least, and as how many the quantile over all languages counts.
+LEAST_HELD, PRIOR = 5, 200
 SLICE = 1 << 19  # characters handled at once
 PAD = 2  # code point of the mark in front of a text; real ones are replaced
 HOLE = 0xFFFD
@@ -320,25 +321,39 @@ def with_perplexity(packed, block_scores, source, names):
     return packed.groupBy("block").cogroup(block_scores.groupBy("block")).applyInArrow(function, kind)
 
 
-def _limit(n, middle, upper, top):
-    """The threshold from quantiles of n held-back documents; None below `LEAST_HELD`.
+def _looked_up(values, column):
+    """The value that a dictionary has for a column; null without one."""
+    if not values:
+        return F.lit(None).cast("double")
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(column))
 
-    From `ENOUGH_HELD` documents on it is the top quantile itself. Fewer cannot show that quantile, so it is
-    extrapolated from the spread between the median and the 84 % quantile, the wider the fewer documents there are.
-    """
-    if n < LEAST_HELD:
-        return None
-    return top if n >= ENOUGH_HELD else middle * max(1.6, (upper / middle) ** (3 + 12 / math.sqrt(n)))
+
+def _drawn(n, own, pooled, prior=PRIOR):
+    """The quantile of n documents of a group, drawn towards the one over all groups, which counts as `prior` documents."""
+    return (n * own + prior * pooled) / (n + prior)
 
 
 def thresholds(held, quantile=QUANTILE):
-    """Language to threshold from held-back trusted documents, and the threshold over all languages."""
-    usable = held.where(F.col("n_tokens") >= LEAST_CHARS)
-    facts = [F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", [0.5, 0.84, quantile], 10_000).alias("q")]
-    rows = usable.groupBy("lang").agg(*facts).collect()  # one row per language
-    by_language = {row["lang"]: _limit(row["n"], *row["q"]) for row in rows}
-    total = usable.agg(*facts).first()
-    return {lang: t for lang, t in by_language.items() if lang is not None and t is not None}, _limit(total["n"], *(total["q"] or (None,) * 3))
+    """Language to threshold from held-back trusted documents, and the threshold over all languages.
+
+    One rule for every number of documents: what a document's log perplexity exceeds the median of its language by
+    has a quantile in the language and one over all languages, and the threshold lies above the median by their
+    mean, weighted with the documents of the language and `PRIOR`. Without `LEAST_HELD` documents there is none.
+    """
+    usable = held.where(F.col("n_tokens") >= LEAST_CHARS).select("lang", F.log("perplexity").alias("x"))
+    facts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", 0.5, 10_000).alias("middle")).collect()
+    middles = {row["lang"]: row["middle"] for row in facts if row["lang"] is not None and row["n"] >= LEAST_HELD}  # one row per language
+    sizes = {row["lang"]: row["n"] for row in facts}
+    by_language = {}
+    if middles:
+        over = usable.withColumn("over", F.col("x") - _looked_up(middles, "lang")).where(F.col("over").isNotNull())
+        top = F.percentile_approx("over", quantile, 10_000).alias("top")
+        pooled = over.agg(top).first()["top"]
+        for row in over.groupBy("lang").agg(top).collect():
+            lang = row["lang"]
+            by_language[lang] = math.exp(middles[lang] + _drawn(sizes[lang], row["top"], pooled))
+    total = usable.agg(F.percentile_approx("x", quantile, 10_000).alias("top")).first()["top"]
+    return by_language, math.exp(total) if sum(sizes.values()) >= LEAST_HELD else None
 
 
 def judged(docs, labels, names, quantile=QUANTILE, block_bytes=BLOCK_BYTES):
@@ -355,12 +370,10 @@ def judged(docs, labels, names, quantile=QUANTILE, block_bytes=BLOCK_BYTES):
     grams = stored.where(F.col("gram").isNotNull())
     scores = cut_lineage(grams.select("block", "gram").join(probabilities(grams.select("gram", "n")), "gram"))
     held_packets = stored.where(F.col("payload").isNotNull()).select("block", "payload")
-    by_language, overall = thresholds(with_perplexity(held_packets, scores, docs, ["doc_id", "lang"]), quantile)
+    held = cut_lineage(with_perplexity(held_packets, scores, docs, ["doc_id", "lang"]))
+    by_language, overall = thresholds(held, quantile)
     found = with_perplexity(packed, scores, docs, names if "lang" in names else [*names, "lang"])
-    limit = F.lit(overall).cast("double")
-    if by_language:
-        known = F.create_map(*[F.lit(x) for pair in by_language.items() for x in pair])
-        limit = F.coalesce(F.try_element_at(known, "lang"), limit)
+    limit = F.coalesce(_looked_up(by_language, "lang"), F.lit(overall).cast("double"))
     kept = (F.col("n_tokens") < LEAST_CHARS) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     found = found.withColumn("threshold", limit).withColumn("kept", kept)
     return found if "lang" in names else found.drop("lang")

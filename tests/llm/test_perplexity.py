@@ -82,3 +82,14 @@ def test_query_rejects_junk_and_keeps_good_documents(spark):
     good = [row.kept for row in rows if labels.get(row.doc_id) == (1, 0)]
     junk = [row.kept for row in rows if labels.get(row.doc_id, (1, 0))[0] == 0]
     assert sum(good) >= 0.97 * len(good) and sum(junk) <= 0.6 * len(junk)
+
+
+def test_one_threshold_rule_for_every_number_of_documents(spark):
+    def limit(n, top):
+        # n documents of one language, and 400 of another with the same spread around another median.
+        rows = [("de", 100, 6.0 * math.exp(top * i / n)) for i in range(-n, n + 1)] + [("en", 100, 5.0 * math.exp(0.1 * i / 200)) for i in range(-200, 201)]
+        return perplexity.thresholds(spark.createDataFrame(rows, "lang string, n_tokens long, perplexity double"))[0]["de"]
+
+    # About 1.1 times the median, with few documents as with many; no jump at 200 documents.
+    assert all(6.0 * 1.08 < limit(n, 0.1) < 6.0 * 1.11 for n in (5, 50, 99, 100, 300))
+    assert abs(limit(99, 0.3) / limit(100, 0.3) - 1) < 0.01 and limit(2000, 0.3) > 6.0 * 1.3
