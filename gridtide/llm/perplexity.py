@@ -4,6 +4,10 @@ The model is trained on all trusted text (documents labelled good and not toxic,
 gives every document its perplexity. Thresholds are quantiles of the held-back trusted documents, per language,
 drawn towards the quantile over all languages as far as a language has few of them.
 
+To a window of four characters a repeated word or line looks like clean text. Therefore a document's novelty, the
+share of its longer n-grams that it has not shown before, has thresholds too: from all trusted documents, for they
+do not depend on the model.
+
 Text is moved as packets: documents of one block (a hash of doc_id) packed and compressed together, which keeps
 all their columns and makes a shuffle a fraction of the text. One pass brings packets and labels of a block
 together and counts distinct n-grams; a second brings packets and the scores of the block's n-grams together. In
@@ -33,6 +37,8 @@ QUANTILE = 0.995
 LEAST_CHARS = 40
 #: Held-back documents that a median needs at least, and as how many the quantile over all languages counts.
 LEAST_HELD, PRIOR = 5, 200
+#: Novelty is the share of distinct n-grams of so many characters in stretches of so many, then of 16 times as many.
+NOVEL, STRETCH, WIDER = 8, 1 << 12, 16
 SLICE = 1 << 19  # characters handled at once
 PAD = 2  # code point of the mark in front of a text; real ones are replaced
 HOLE = 0xFFFD
@@ -160,23 +166,50 @@ def _strings(grams):
     return np.ascontiguousarray(grams, dtype=np.uint32).view(f"<U{ORDER}").ravel().tolist()
 
 
+def novelties(text):
+    """Shares of distinct n-grams of `NOVEL` characters, for stretches of growing length up to the whole text.
+
+    The first share counts an n-gram once in a stretch of `STRETCH` characters, the second once in one `WIDER` times
+    as long, and so on until one stretch holds the text. Texts of fewer than `NOVEL` characters have none.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    count = len(codes) - NOVEL + 1
+    if count < 1:
+        return []
+    own = np.zeros(count, dtype=np.uint64)
+    for i in range(NOVEL):
+        own = (own + codes[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
+        own ^= own >> np.uint64(29)
+    shares, size = [], STRETCH
+    while True:
+        distinct = 0
+        for start in range(0, count, size):
+            part = np.sort(own[start : start + size])
+            distinct += 1 + int(np.count_nonzero(part[1:] != part[:-1]))
+        shares.append(distinct / count)
+        if size >= count:
+            return shares
+        size *= WIDER
+
+
 def _texts(table):
     return [text or "" for text in table.column("text").to_pylist()]
 
 
-_COUNTS = pa.schema([("block", pa.int32()), ("gram", pa.string()), ("n", pa.int64()), ("payload", pa.binary())])
+_COUNTS = pa.schema([("block", pa.int32()), ("gram", pa.string()), ("n", pa.int64()), ("payload", pa.binary()), ("novelty", pa.list_(pa.float64()))])
 
 
 def _count(packets_, trusted):
-    """Distinct n-grams of a block with their trusted counts, and packets of its held-back trusted documents."""
+    """Distinct n-grams of a block with their trusted counts, packets of its held-back and novelties of all trusted documents."""
     number = packets_.column("block")[0].as_py() if packets_.num_rows else None
     learned = {doc: held for doc, held in zip(*(trusted.column(c).to_pylist() for c in ("doc_id", "held")))}
-    tables, kept = [], []
+    tables, kept, shares = [], [], []
     for payload in packets_.column("payload"):
         rows = unpacked(payload.as_py())
         ids, texts = rows.column("doc_id").to_pylist(), _texts(rows)
         train = [text for doc, text in zip(ids, texts) if learned.get(doc) is False]
         other = [text for doc, text in zip(ids, texts) if learned.get(doc) is not False]
+        shares += [novelties(text) for doc, text in zip(ids, texts) if doc in learned]
         tables.append(gram_table(train))
         distinct, grams, counts = gram_table(other)
         tables.append((distinct, grams, np.zeros_like(counts)))
@@ -190,18 +223,19 @@ def _count(packets_, trusted):
                 writer.write_table(part)
             kept.append(zstandard.compress(sink.getvalue(), 6))
     _, grams, counts = _merged(tables)
-    rows = len(grams)
+    rows, rest = len(grams), len(kept) + len(shares)
     columns = (
-        [number] * (rows + len(kept)),
-        _strings(grams) + [None] * len(kept),
-        counts.tolist() + [None] * len(kept),
-        [None] * rows + kept,
+        [number] * (rows + rest),
+        _strings(grams) + [None] * rest,
+        counts.tolist() + [None] * rest,
+        [None] * rows + kept + [None] * len(shares),
+        [None] * (rows + len(kept)) + shares,
     )
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _COUNTS.types)], schema=_COUNTS)
 
 
 def block_grams(packed, labels, blocks, held_back=HELD_BACK):
-    """(block, gram, n, payload): n-grams with trusted counts, and held-back documents, per block."""
+    """(block, gram, n, payload, novelty): n-grams with trusted counts, held-back documents, and novelties, per block."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     good = good.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and coalesce(toxic, 0) = 0")
     trusted = good.select(
@@ -209,7 +243,7 @@ def block_grams(packed, labels, blocks, held_back=HELD_BACK):
         "doc_id",
         (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(held_back)) == 0).alias("held"),
     )
-    return packed.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(_count, "block int, gram string, n long, payload binary")
+    return packed.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(_count, "block int, gram string, n long, payload binary, novelty array<double>")
 
 
 # ---- model --------------------------------------------------------------------------------------------------
@@ -308,15 +342,17 @@ def _scored(names, schema):
             sizes = [len(text) for text in texts]
             perplexity = [math.exp(-s / n) if n else None for s, n in zip(sums, sizes)]
             rows = rows.select(names).append_column("n_tokens", pa.array(sizes, pa.int64()))
-            tables.append(rows.append_column("perplexity", pa.array(perplexity, pa.float64())))
+            rows = rows.append_column("perplexity", pa.array(perplexity, pa.float64()))
+            tables.append(rows.append_column(schema.names[-1], pa.array([novelties(text) for text in texts], pa.list_(pa.float64()))))
         return pa.concat_tables(tables).cast(schema) if tables else schema.empty_table()
 
     return score
 
 
 def with_perplexity(packed, block_scores, source, names):
-    """Columns `names` of the packed rows with n_tokens and perplexity (null for texts without a character)."""
+    """Columns `names` of the packed rows with n_tokens, perplexity (null for texts without a character) and, last, novelties."""
     kind = T.StructType([source.schema[name] for name in names]).add("n_tokens", T.LongType()).add("perplexity", T.DoubleType())
+    kind = kind.add(_own_name(names, "novelty"), T.ArrayType(T.DoubleType()))
     function = _scored(names, to_arrow_schema(kind))
     return packed.groupBy("block").cogroup(block_scores.groupBy("block")).applyInArrow(function, kind)
 
@@ -356,10 +392,23 @@ def thresholds(held, quantile=QUANTILE):
     return by_language, math.exp(total) if sum(sizes.values()) >= LEAST_HELD else None
 
 
+def novelty_thresholds(trusted, quantile=QUANTILE):
+    """The least novelty that is not repetition, one for each length of stretch, from trusted documents.
+
+    It is the (1 - quantile) quantile over all languages; None where fewer than `LEAST_HELD` documents have that length.
+    """
+    places = trusted.select(F.posexplode("novelty").alias("place", "share")).groupBy("place")
+    found = places.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("share", 1 - quantile, 10_000).alias("least")).collect()
+    least = {row["place"]: row["least"] for row in found if row["n"] >= LEAST_HELD}  # one row per length of stretch
+    return [least.get(place) for place in range(max(least, default=-1) + 1)]
+
+
 def judged(docs, labels, names, quantile=QUANTILE, block_bytes=BLOCK_BYTES):
     """Columns `names` of every document with n_tokens, perplexity, threshold and kept.
 
-    kept is false where the perplexity is above the threshold of the document's language. A language with too few
+    kept is false where the perplexity is above the threshold of the document's language, or where the document
+    repeats itself: one of its novelties is under that of nearly all trusted documents. Both tests share the allowed
+    share of false rejections, 1 - quantile. A language with too few
     held-back trusted documents, null included, takes the threshold over all languages; where these are too few as
     well there is none and everything is kept. Texts without a character, null included, have no perplexity;
     they and texts under `LEAST_CHARS` characters are kept. Repeated rows are judged each; an empty table gives no rows.
@@ -371,11 +420,15 @@ def judged(docs, labels, names, quantile=QUANTILE, block_bytes=BLOCK_BYTES):
     scores = cut_lineage(grams.select("block", "gram").join(probabilities(grams.select("gram", "n")), "gram"))
     held_packets = stored.where(F.col("payload").isNotNull()).select("block", "payload")
     held = cut_lineage(with_perplexity(held_packets, scores, docs, ["doc_id", "lang"]))
-    by_language, overall = thresholds(held, quantile)
+    each = (1 + quantile) / 2
+    by_language, overall = thresholds(held, each)
+    least = F.array(*[F.lit(x).cast("double") for x in novelty_thresholds(stored.where(F.col("novelty").isNotNull()), each)]).cast("array<double>")
     found = with_perplexity(packed, scores, docs, names if "lang" in names else [*names, "lang"])
     limit = F.coalesce(_looked_up(by_language, "lang"), F.lit(overall).cast("double"))
     kept = (F.col("n_tokens") < LEAST_CHARS) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    found = found.withColumn("threshold", limit).withColumn("kept", kept)
+    novelty = found.columns[-1]
+    repeats = F.coalesce(F.exists(F.zip_with(novelty, least, lambda share, bound: F.coalesce(share < bound, F.lit(False))), lambda x: x), F.lit(False))
+    found = found.withColumn("threshold", limit).withColumn("kept", kept & ~repeats).drop(novelty)
     return found if "lang" in names else found.drop("lang")
 
 

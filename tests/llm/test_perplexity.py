@@ -93,3 +93,22 @@ def test_one_threshold_rule_for_every_number_of_documents(spark):
     # About 1.1 times the median, with few documents as with many; no jump at 200 documents.
     assert all(6.0 * 1.08 < limit(n, 0.1) < 6.0 * 1.11 for n in (5, 50, 99, 100, 300))
     assert abs(limit(99, 0.3) / limit(100, 0.3) - 1) < 0.01 and limit(2000, 0.3) > 6.0 * 1.3
+
+
+def test_novelty_equals_brute_force():
+    for text in ("", "short", "abcdefgh", "abcdefgh" * 3, llm_cases.sentence(1, 3000), "The " * 20_000):
+        grams = [text[i : i + perplexity.NOVEL] for i in range(len(text) - perplexity.NOVEL + 1)]
+        expected, size = [], perplexity.STRETCH
+        while grams and (not expected or size < len(grams) * perplexity.WIDER):
+            expected.append(sum(len(set(grams[i : i + size])) for i in range(0, len(grams), size)) / len(grams))
+            size *= perplexity.WIDER
+        assert perplexity.novelties(text) == expected
+
+
+def test_query_rejects_repeated_words_and_lines(spark):
+    sql = "SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND length(text) >= 100"
+    texts = {d: text for d, text in llm_cases.read(SF, sql)}
+    repeating = {d for d, text in texts.items() if len(set(text.split())) < 0.3 * len(text.split())}
+    rows = queries.QUERIES["op4_perplexity"](spark, SF).where("kept").select("doc_id").collect()
+    assert repeating and not repeating & {row.doc_id for row in rows}
+    assert len(set(texts) & {row.doc_id for row in rows}) <= 0.02 * len(texts)
