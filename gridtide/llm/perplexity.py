@@ -2,7 +2,7 @@
 
 The model is trained on all trusted text (documents labelled good and not toxic, without a held-back fifth) and
 gives every document its perplexity. Thresholds are quantiles of the held-back trusted documents, per language,
-drawn towards the quantile over all languages as far as a language has few of them.
+drawn towards the quantile over all languages as far as a language has few of them, and wider for shorter texts.
 
 To a window of four characters a repeated word or line looks like clean text. Therefore a document's novelty, the
 share of its longer n-grams that it has not shown before, has thresholds too: from all trusted documents, for they
@@ -33,8 +33,6 @@ BLOCK_BYTES = 24 << 20
 #: One in so many trusted documents sets thresholds instead of training.
 HELD_BACK = 5
 QUANTILE = 0.995
-#: Shorter texts say too little for a verdict: they set no threshold and are kept.
-LEAST_CHARS = 40
 #: Held-back documents that a median needs at least, and as how many the quantile over all languages counts.
 LEAST_HELD, PRIOR = 5, 200
 #: Novelty is the share of distinct n-grams of so many characters in stretches of so many, then of 16 times as many.
@@ -316,7 +314,7 @@ class GramScores:
         self.more, self.more_values = own[rest][order], logps[rest][order]
 
     def sums(self, texts):
-        """Sum of log probabilities per text."""
+        """Sums of log probabilities and of their squares per text."""
         codes, ends, sizes = code_points(texts)
         own = keys(codes)
         places = (own >> np.uint64(64 - self.BITS)).astype(np.int64)
@@ -327,8 +325,9 @@ class GramScores:
             found[missed] = np.where(self.more[at] == own[missed], self.more_values[at], 0.0)
         else:
             found[missed] = 0.0
-        running = np.concatenate([[0.0], np.cumsum(found, dtype=np.float64)])
-        return running[np.maximum(ends - ORDER + 1, 0)] - running[np.maximum(ends - sizes - ORDER + 1, 0)]
+        first, last = np.maximum(ends - sizes - ORDER + 1, 0), np.maximum(ends - ORDER + 1, 0)
+        running = [np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)]) for values in (found, found * found)]
+        return [(total[last] - total[first]).tolist() for total in running]
 
 
 def _scored(names, schema):
@@ -338,11 +337,16 @@ def _scored(names, schema):
         for payload in packets_.column("payload"):
             rows = unpacked(payload.as_py())
             texts = _texts(rows)
-            sums = [value for part in _slices(texts) for value in scores.sums(part)]
+            sums, squares = [], []
+            for part in _slices(texts):
+                for found, values in zip((sums, squares), scores.sums(part)):
+                    found += values
             sizes = [len(text) for text in texts]
             perplexity = [math.exp(-s / n) if n else None for s, n in zip(sums, sizes)]
             rows = rows.select(names).append_column("n_tokens", pa.array(sizes, pa.int64()))
             rows = rows.append_column("perplexity", pa.array(perplexity, pa.float64()))
+            variance = [max(0.0, q / n - (s / n) ** 2) if n else None for s, q, n in zip(sums, squares, sizes)]
+            rows = rows.append_column(schema.names[-2], pa.array(variance, pa.float64()))
             tables.append(rows.append_column(schema.names[-1], pa.array([novelties(text) for text in texts], pa.list_(pa.float64()))))
         return pa.concat_tables(tables).cast(schema) if tables else schema.empty_table()
 
@@ -350,9 +354,12 @@ def _scored(names, schema):
 
 
 def with_perplexity(packed, block_scores, source, names):
-    """Columns `names` of the packed rows with n_tokens, perplexity (null for texts without a character) and, last, novelties."""
+    """Columns `names` of the packed rows with n_tokens, perplexity, variance of log probabilities, and novelties.
+
+    Perplexity and variance are null for texts without a character.
+    """
     kind = T.StructType([source.schema[name] for name in names]).add("n_tokens", T.LongType()).add("perplexity", T.DoubleType())
-    kind = kind.add(_own_name(names, "novelty"), T.ArrayType(T.DoubleType()))
+    kind = kind.add(_own_name(names, "variance"), T.DoubleType()).add(_own_name(names, "novelty"), T.ArrayType(T.DoubleType()))
     function = _scored(names, to_arrow_schema(kind))
     return packed.groupBy("block").cogroup(block_scores.groupBy("block")).applyInArrow(function, kind)
 
@@ -369,27 +376,39 @@ def _drawn(n, own, pooled, prior=PRIOR):
     return (n * own + prior * pooled) / (n + prior)
 
 
+def _widening(short, size="n_tokens"):
+    """How much wider than for a long text the margin of a text of so many characters is."""
+    return F.sqrt(1 + F.lit(float(short)) / F.greatest(F.col(size), F.lit(1)))
+
+
 def thresholds(held, quantile=QUANTILE):
-    """Language to threshold from held-back trusted documents, and the threshold over all languages.
+    """(language to (middle, width), the same over all languages or None, short) from held-back trusted documents.
 
-    One rule for every number of documents: what a document's log perplexity exceeds the median of its language by
-    has a quantile in the language and one over all languages, and the threshold lies above the median by their
-    mean, weighted with the documents of the language and `PRIOR`. Without `LEAST_HELD` documents there is none.
+    The log perplexity of n characters may reach middle + width * sqrt(1 + short / n). `middle` is a median. `short`
+    is the variance of a character's log probability over the variance between documents, so that the margin grows
+    with the standard deviation of a mean over n characters. One rule for every number of documents: what documents
+    exceed the median by, over the root, has a quantile in the language and one over all languages, and the width is
+    their mean, weighted with the documents of the language and `PRIOR`. Without `LEAST_HELD` documents there is none.
     """
-    usable = held.where(F.col("n_tokens") >= LEAST_CHARS).select("lang", F.log("perplexity").alias("x"))
-    facts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", 0.5, 10_000).alias("middle")).collect()
-    middles = {row["lang"]: row["middle"] for row in facts if row["lang"] is not None and row["n"] >= LEAST_HELD}  # one row per language
+    usable = held.where("n_tokens > 0").select("lang", "n_tokens", "variance", F.log("perplexity").alias("x"))
+    half = F.percentile_approx("x", 0.5, 10_000).alias("middle")
+    facts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), half).collect()  # one row per language
     sizes = {row["lang"]: row["n"] for row in facts}
-    by_language = {}
-    if middles:
-        over = usable.withColumn("over", F.col("x") - _looked_up(middles, "lang")).where(F.col("over").isNotNull())
-        top = F.percentile_approx("over", quantile, 10_000).alias("top")
-        pooled = over.agg(top).first()["top"]
-        for row in over.groupBy("lang").agg(top).collect():
-            lang = row["lang"]
-            by_language[lang] = math.exp(middles[lang] + _drawn(sizes[lang], row["top"], pooled))
-    total = usable.agg(F.percentile_approx("x", quantile, 10_000).alias("top")).first()["top"]
-    return by_language, math.exp(total) if sum(sizes.values()) >= LEAST_HELD else None
+    if sum(sizes.values()) < LEAST_HELD:
+        return {}, None, 0.0
+    middles = {row["lang"]: row["middle"] for row in facts if row["lang"] is not None and row["n"] >= LEAST_HELD}
+    total = usable.agg(half).first()["middle"]
+    over = usable.withColumn("over", F.col("x") - F.coalesce(_looked_up(middles, "lang"), F.lit(total)))
+    each = F.sum(F.col("variance") * F.col("n_tokens")) / F.sum("n_tokens")
+    spread = over.agg(each.alias("each"), F.percentile_approx(F.abs("over"), 0.5, 10_000).alias("between")).first()
+    between = (1.4826 * spread["between"]) ** 2  # from the median deviation, as for a normal distribution
+    short = spread["each"] / between if between > 0 else 0.0
+    over = over.withColumn("over", F.col("over") / _widening(short)).withColumn("all", (F.col("x") - total) / _widening(short))
+    top = F.percentile_approx("over", quantile, 10_000).alias("top")
+    pooled = over.agg(top, F.percentile_approx("all", quantile, 10_000).alias("all")).first()
+    rows = over.where(F.col("lang").isin(list(middles))).groupBy("lang").agg(top).collect()
+    by_language = {row["lang"]: (middles[row["lang"]], _drawn(sizes[row["lang"]], row["top"], pooled["top"])) for row in rows}
+    return by_language, (total, pooled["all"]), short
 
 
 def novelty_thresholds(trusted, quantile=QUANTILE):
@@ -410,8 +429,8 @@ def judged(docs, labels, names, quantile=QUANTILE, block_bytes=BLOCK_BYTES):
     repeats itself: one of its novelties is under that of nearly all trusted documents. Both tests share the allowed
     share of false rejections, 1 - quantile. A language with too few
     held-back trusted documents, null included, takes the threshold over all languages; where these are too few as
-    well there is none and everything is kept. Texts without a character, null included, have no perplexity;
-    they and texts under `LEAST_CHARS` characters are kept. Repeated rows are judged each; an empty table gives no rows.
+    well there is none and everything is kept. Texts without a character, null included, have no perplexity
+    and are kept; of others, the threshold is wider the shorter they are. Repeated rows are judged each; an empty table gives no rows.
     """
     blocks = block_count(docs, block_bytes)
     packed = packets(docs, blocks)
@@ -421,14 +440,17 @@ def judged(docs, labels, names, quantile=QUANTILE, block_bytes=BLOCK_BYTES):
     held_packets = stored.where(F.col("payload").isNotNull()).select("block", "payload")
     held = cut_lineage(with_perplexity(held_packets, scores, docs, ["doc_id", "lang"]))
     each = (1 + quantile) / 2
-    by_language, overall = thresholds(held, each)
+    by_language, overall, short = thresholds(held, each)
     least = F.array(*[F.lit(x).cast("double") for x in novelty_thresholds(stored.where(F.col("novelty").isNotNull()), each)]).cast("array<double>")
     found = with_perplexity(packed, scores, docs, names if "lang" in names else [*names, "lang"])
-    limit = F.coalesce(_looked_up(by_language, "lang"), F.lit(overall).cast("double"))
-    kept = (F.col("n_tokens") < LEAST_CHARS) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    novelty = found.columns[-1]
+    middle, width = (
+        F.coalesce(_looked_up({lang: pair[i] for lang, pair in by_language.items()}, "lang"), F.lit(overall and overall[i]).cast("double")) for i in (0, 1)
+    )
+    limit = F.exp(middle + width * _widening(short))
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    variance, novelty = found.columns[-2:]
     repeats = F.coalesce(F.exists(F.zip_with(novelty, least, lambda share, bound: F.coalesce(share < bound, F.lit(False))), lambda x: x), F.lit(False))
-    found = found.withColumn("threshold", limit).withColumn("kept", kept & ~repeats).drop(novelty)
+    found = found.withColumn("threshold", limit).withColumn("kept", kept & ~repeats).drop(variance, novelty)
     return found if "lang" in names else found.drop("lang")
 
 

@@ -88,7 +88,8 @@ def test_one_threshold_rule_for_every_number_of_documents(spark):
     def limit(n, top):
         # n documents of one language, and 400 of another with the same spread around another median.
         rows = [("de", 100, 6.0 * math.exp(top * i / n)) for i in range(-n, n + 1)] + [("en", 100, 5.0 * math.exp(0.1 * i / 200)) for i in range(-200, 201)]
-        return perplexity.thresholds(spark.createDataFrame(rows, "lang string, n_tokens long, perplexity double"))[0]["de"]
+        frame = spark.createDataFrame([(*row, 0.0) for row in rows], "lang string, n_tokens long, perplexity double, variance double")
+        return math.exp(sum(perplexity.thresholds(frame)[0]["de"]))
 
     # About 1.1 times the median, with few documents as with many; no jump at 200 documents.
     assert all(6.0 * 1.08 < limit(n, 0.1) < 6.0 * 1.11 for n in (5, 50, 99, 100, 300))
@@ -112,3 +113,12 @@ def test_query_rejects_repeated_words_and_lines(spark):
     rows = queries.QUERIES["op4_perplexity"](spark, SF).where("kept").select("doc_id").collect()
     assert repeating and not repeating & {row.doc_id for row in rows}
     assert len(set(texts) & {row.doc_id for row in rows}) <= 0.02 * len(texts)
+
+
+def test_short_texts_are_judged_with_a_wider_threshold(spark):
+    good = [(i, llm_cases.sentence(i, 30 + i % 7, 60), "en", "a", 1) for i in range(200)]
+    short = [(1000 + i, llm_cases.sentence(i, 4, 60), "en", "a", 1) for i in range(20)] + [(2000, "Qx#zzk | Vjjq", "en", "a", 1)]
+    labels = llm_cases.labels_frame(spark, [(row[0], 1, 0) for row in good])
+    rows = {row.doc_id: row for row in perplexity.perplexities(llm_cases.frame(spark, good + short), labels).collect()}
+    assert not rows[2000].kept and sum(rows[1000 + i].kept for i in range(20)) >= 18
+    assert rows[1000].threshold > rows[0].threshold
