@@ -1,14 +1,14 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule compares one ratio of a document with a cutoff. The cutoff is chosen on labelled documents: of a fixed
-grid, the strictest one for which an exact binomial test still shows that the rule rejects at most a given share
-of good documents of the stratum (language). The grid is tested from the loosest to the strictest cutoff and the
-test stops at the first that fails (fixed-sequence testing needs no correction inside a grid); the error level
-is divided by the number of strata and rules (Bonferroni), and the allowed share of false rejections is divided
-by the number of rules, so that with probability 1 - `delta` the rules together reject at most `risk` of the good
-documents of every stratum.
-
-A stratum with too few labelled good documents certifies no cutoff, and its documents are kept.
+Each rule compares one ratio of a document with a cutoff. The cutoffs are chosen on labelled documents: of a fixed
+sequence of rule sets, from loose to strict, the last one up to which an exact binomial test shows every time that
+the rules of the set together reject at most a given share of good documents of the stratum (language).
+Fixed-sequence testing needs no correction inside the sequence; the error level is divided by the number of strata
+(Bonferroni), so that with probability 1 - `delta` the rules together reject at most `risk` of the good documents of
+every stratum.
+
+A stratum with too few labelled good documents (under 217 for four strata, a `risk` of 0.02 and a `delta` of 0.05)
+certifies no cutoff, and only the base rule judges its documents.
 """
 
 import math
@@ -122,29 +122,40 @@ def strictest(grid, rejected, n, risk, delta):
     return chosen
 
 
+def rule_sets(grids):
+    """The fixed sequence of rule sets: rule to cutoff, one more cutoff at each step, all grids at an even pace."""
+    steps = sorted((((i + 1) / len(grid), place, rule, cutoff) for place, (rule, grid) in enumerate(grids.items()) for i, cutoff in enumerate(grid)))
+    found, current = [], {}
+    for _, _, rule, cutoff in steps:
+        current = current | {rule: cutoff}
+        found.append(current)
+    return found
+
+
+def _added(sets):
+    """(rule, cutoff) that each rule set adds to the one before it."""
+    return [next(iter(now.items() - before.items())) for before, now in zip([{}, *sets], sets)]
+
+
 def certified_cutoffs(stats, labels, risk=0.02, delta=0.05, grids=None):
     """Rows (lang, one nullable cutoff per rule) from the documents labelled good.
 
     The evidence is one aggregate: per stratum the number of good documents that pass the base rule and how many
-    of them lie above each grid value. A doc_id with several labels counts as good only if all of them say so.
+    of them each rule set rejects. A doc_id with several labels counts as good only if all of them say so.
     """
     grids = grids or GRIDS
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = stats.join(good, "doc_id").where(~base_failed())
-    above = [
-        F.count(F.when(expression > cutoff, 1)).alias(f"{rule}_{i}")
-        for rule, expression in ratios().items()
-        for i, cutoff in enumerate(grids[rule])
-    ]
-    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *above).collect()  # one row per language
-    level = delta / max(1, len(counts) * len(grids))
+    sets, values = rule_sets(grids), ratios()
+    # A document is rejected from the first step on that has one of its ratios above the cutoff.
+    first = F.least(*[F.when(values[rule] > cutoff, F.lit(i)).otherwise(F.lit(len(sets))) for i, (rule, cutoff) in enumerate(_added(sets))])
+    rejected = [F.count(F.when(F.col("first") <= i, 1)).alias(f"set_{i}") for i in range(len(sets))]
+    counts = held.withColumn("first", first).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *rejected).collect()  # one row per language
     rows = []
     for row in counts:
-        picked = [
-            strictest(grid, [row[f"{rule}_{i}"] for i in range(len(grid))], row["n"], risk / len(grids), level)
-            for rule, grid in grids.items()
-        ]
-        rows.append((row["lang"], *picked))
+        step = strictest(range(len(sets)), [row[f"set_{i}"] for i in range(len(sets))], row["n"], risk, delta / len(counts))
+        picked = {} if step is None else sets[step]
+        rows.append((row["lang"], *[picked.get(rule) for rule in grids]))
     schema = T.StructType([T.StructField("stratum", T.StringType())] + [T.StructField(f"cut_{r}", T.DoubleType()) for r in grids])
     return stats.sparkSession.createDataFrame(rows, schema)
 

@@ -64,3 +64,21 @@ def test_query_counts_and_false_rejections(spark):
         assert not (row.base_failed and row.kept)
     rejected = [row for row in rows if row.doc_id in good and not row.base_failed and not row.kept]
     assert len(rejected) <= 0.02 * len(good)
+
+
+def test_a_few_hundred_good_documents_certify_the_rules_together(spark):
+    # 300 good documents without any symbol in each of four languages; junk with two symbols a word.
+    rows = [(i, llm_cases.sentence(i), ("en", "de", "fr", "es")[i % 4], "a", 1) for i in range(1200)]
+    junk = [(5000 + i, llm_cases.sentence(i).replace(" ", "## "), ("en", "de", "fr", "es")[i % 4], "a", 1) for i in range(8)]
+    few = [(6000 + i, llm_cases.sentence(i), "it", "a", 1) for i in range(100)] + [(7000, junk[0][1], "it", "a", 1)]
+    labels = llm_cases.labels_frame(spark, [(row[0], 1, 0) for row in rows + few[:-1]])
+    found = {row.doc_id: row for row in rules.judged(llm_cases.frame(spark, rows + junk + few), labels).collect()}
+    assert all(found[row[0]].failed_rules == ["symbols_per_word"] for row in junk)
+    assert all(found[row[0]].kept for row in rows) and found[7000].kept  # too few labels certify nothing
+
+
+def test_rule_sets_grow_stricter_one_cutoff_at_a_time():
+    sets = rules.rule_sets(rules.GRIDS)
+    assert len(sets) == sum(map(len, rules.GRIDS.values())) and sets[-1] == {rule: grid[-1] for rule, grid in rules.GRIDS.items()}
+    for before, now in zip([{}, *sets], sets):
+        assert len(now.items() - before.items()) == 1 and all(now[rule] <= cutoff for rule, cutoff in before.items())
