@@ -2,7 +2,9 @@
 
 The symbols of a text are its words. A k-mer of words is selected when the smallest hash among its inner s-mers
 stands at its first or last place: a decision that depends on the k-mer alone, so equal passages give equal
-anchors wherever they stand, and an edit changes only the anchors of the k-mers it touches. The fingerprint lists
+anchors wherever they stand, and an edit changes only the anchors of the k-mers it touches. Texts whose words select
+no k-mer (few words, or a script without spaces) are fingerprinted by their characters in the same way, and by all
+of them where these select none either. The fingerprint lists
 the anchors in text order; likeness is the share of common anchors among all distinct anchors of two texts.
 """
 
@@ -12,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 K, S = 5, 2
+CHAR_K, CHAR_S = 8, 5  # as many s-mers in a k-mer as for words
 SPACE = "[\\x20\\x09-\\x0D]+"
 PIECE_BYTES = 8 << 20
 MOST_PIECES = 1 << 16
@@ -21,23 +24,13 @@ def _shifted(array, places, size):
     return [F.slice(array, F.lit(i + 1), size).alias(f"m{i}") for i in range(places)]
 
 
-def with_anchors(df, text, out, k=K, s=S):
-    """`df` with the array of anchors of column `text`.
-
-    A text of fewer than k words has one anchor, the hash of all its words; a text without words has none. The
-    steps are columns of their own, so that each array is computed once.
-    """
-    names = {step: f"__{step}_{out}" for step in ("words", "hashes", "inner")}
-    words, hashes, inner = (F.col(name) for name in names.values())
-    places = k - s + 1
-    trimmed = F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r"))
-    split = F.when(trimmed != "", F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn(names["words"], split)
-    df = df.withColumn(names["hashes"], F.transform(words, lambda word: F.xxhash64(word)))
+def _with_selected(df, hashes, out, k, s):
+    """`df` with the anchors of the closed syncmers of an array of symbol hashes; none for fewer than k symbols."""
+    inner, places = f"__inner_{out}", k - s + 1
     count = F.greatest(F.size(hashes) - (s - 1), F.lit(0))
-    smer = F.arrays_zip(*_shifted(hashes, s, count))
-    df = df.withColumn(names["inner"], F.transform(smer, lambda x: F.xxhash64(*[x[f"m{i}"] for i in range(s)])))
-    windows = F.arrays_zip(*_shifted(inner, places, F.greatest(F.size(inner) - (places - 1), F.lit(0))))
+    smer = F.arrays_zip(*_shifted(F.col(hashes), s, count))
+    df = df.withColumn(inner, F.transform(smer, lambda x: F.xxhash64(*[x[f"m{i}"] for i in range(s)])))
+    windows = F.arrays_zip(*_shifted(F.col(inner), places, F.greatest(F.size(inner) - (places - 1), F.lit(0))))
     parts = [f"m{i}" for i in range(places)]
 
     def closed(x):
@@ -45,8 +38,28 @@ def with_anchors(df, text, out, k=K, s=S):
         return (smallest == x[parts[0]]) | (smallest == x[parts[-1]])
 
     anchors = F.transform(F.filter(windows, closed), lambda x: F.hash(*[x[part] for part in parts]))
+    return df.withColumn(out, anchors).drop(inner)
+
+
+def with_anchors(df, text, out, k=K, s=S):
+    """`df` with the array of anchors of column `text`.
+
+    A text whose words select no k-mer has the anchors of its characters, words separated by one space; where these
+    select none either, one anchor, the hash of all its words. Only a text without words has none. The steps are
+    columns of their own, so that each array is computed once.
+    """
+    words, hashes, chars, by_word, by_char = (f"__{step}_{out}" for step in ("words", "hashes", "chars", "by_word", "by_char"))
+    trimmed = F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r"))
+    split = F.when(trimmed != "", F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn(words, split)
+    df = df.withColumn(hashes, F.transform(words, lambda word: F.xxhash64(word)))
+    df = _with_selected(df, hashes, by_word, k, s)
+    apart = F.when(F.size(by_word) == 0, F.split(F.array_join(words, " "), "")).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn(chars, F.transform(apart, lambda char: F.xxhash64(char)))
+    df = _with_selected(df, chars, by_char, CHAR_K, CHAR_S)
     whole = F.when(F.size(hashes) > 0, F.array(F.hash(hashes))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.when(F.size(hashes) >= k, anchors).otherwise(whole)).drop(*names.values())
+    found = F.when(F.size(by_word) > 0, F.col(by_word)).when(F.size(by_char) > 0, F.col(by_char)).otherwise(whole)
+    return df.withColumn(out, found).drop(words, hashes, chars, by_word, by_char)
 
 
 def fingerprint(anchors):
@@ -55,7 +68,7 @@ def fingerprint(anchors):
 
 
 def likeness(a, b):
-    """Common anchors over all distinct anchors; 1 for two empty fingerprints."""
+    """Common anchors over all distinct anchors; 1 for two texts without words."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 

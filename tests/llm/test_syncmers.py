@@ -65,3 +65,16 @@ def test_query_equals_the_definition_and_is_native(spark):
     assert mean > 0.5 and sum(r.near_next for r in rows) / len(rows) < 0.05
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan
+
+
+def test_texts_with_words_have_anchors_and_short_ones_survive_edits(spark):
+    texts = [(i, llm_cases.sentence(i, 1 + i % 8, 10_000)) for i in range(160)]
+    rows = syncmers.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(row.fingerprint and row.near_next < 0.5 for row in rows)
+    # A long text in a script without spaces, and a short one, with an edited end.
+    long_text = "".join(chr(0x4E00 + i * i % 997) for i in range(400))
+    pairs = [(1, long_text, long_text[:360]), (2, "internationalisation of programmes", "internationalisation of programs"), (3, "a b", "a c")]
+    df = spark.createDataFrame(pairs, "doc_id long, a string, b string")
+    df = syncmers.with_anchors(syncmers.with_anchors(df, "a", "x"), "b", "y")
+    near = [row.near for row in df.orderBy("doc_id").select(syncmers.likeness("x", "y").alias("near")).collect()]
+    assert near[0] > 0.8 and near[1] > 0.4 and near[2] == 0
