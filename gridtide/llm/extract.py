@@ -5,7 +5,7 @@ from labelled pages: pages whose markup names the content itself (`article` or `
 with its class, id and role; a word type is the tag type around it. The weight is the log-odds of standing inside
 the content, clipped to the positive side for words and to the negative side for tags. One linear scan finds the
 contiguous region with the largest sum; blocks of that region, without elements that are never content, are
-the text.
+the text. Tags and words of such elements score nothing, so that one in the midst of the content does not split it.
 """
 
 import html
@@ -75,7 +75,7 @@ def tokens(page):
     """Yield (kind, type, value, in_content, dropped): tags with their type, texts with the type around them.
 
     kind is "tag", "block" (a tag that separates blocks) or "text". `in_content` is True inside `article` or
-    `main`, `dropped` inside an element that is never content. Unclosed and misnested elements are closed as
+    `main`, `dropped` inside an element that is never content and for its own tags. Unclosed and misnested elements are closed as
     browsers do for paragraphs, items and cells; a tag cut off by the end of the page counts as a tag.
     """
     stack = []  # (name, type, in_content, dropped)
@@ -95,10 +95,13 @@ def tokens(page):
         block = name not in INLINE
         if match["close"]:
             if any(entry[0] == name for entry in stack):
-                while stack.pop()[0] != name:
+                while (ended := stack.pop())[0] != name:
                     pass
+                own_dropped = ended[3]
+            else:
+                own_dropped = False
             kind, inside, dropped = top()
-            yield ("tag" if name == "br" or not block else "block"), "/" + name, "", inside, dropped
+            yield ("tag" if name == "br" or not block else "block"), "/" + name, "", inside, dropped or own_dropped
             continue
         closed = CLOSED_BY.get(name) or (CLOSED_BY["p"] if name in ENDS_PARAGRAPH else ())
         if closed:
@@ -113,10 +116,9 @@ def tokens(page):
         if name in VOID or match["rest"].endswith("/"):
             yield ("tag" if name == "br" or not block else "block"), own, " " if name == "br" else "", inside, dropped
             continue
-        yield ("block" if block else "tag"), own, "", inside, dropped
-        inside_now = inside or name in CONTENT
         dropped = dropped or _never(name, marks, inside)
-        inside = inside_now
+        yield ("block" if block else "tag"), own, "", inside, dropped
+        inside = inside or name in CONTENT
         if block or marks or name == "a":
             kind = own
         stack.append((name, kind, inside, dropped))
@@ -132,8 +134,8 @@ def type_counts(page):
         if kind == "text":
             if words := len(html.unescape(value).split()):
                 counts[True, own, inside and not dropped] += words
-        else:
-            counts[False, own, inside and not dropped] += 1
+        elif not dropped:
+            counts[False, own, inside] += 1
     return counts if labelled else None
 
 
@@ -167,10 +169,10 @@ def extract(page, weights):
     parts, scores = [], []
     for kind, own, value, _, dropped in tokens(page):
         text = html.unescape(value) if kind == "text" else value
-        if kind != "text":
-            score = weights.get((False, own), NEW_TAG)
-        elif dropped:
+        if dropped:
             score = 0.0
+        elif kind != "text":
+            score = weights.get((False, own), NEW_TAG)
         else:
             score = weights.get((True, own), NEW_WORD) * len(text.split())
         parts.append((kind, text, dropped))

@@ -63,3 +63,16 @@ def test_query_finds_the_article_of_every_page(spark):
     assert len(rows) == len(pages)
     for row in rows:
         assert row.text == article(pages[row.page_id]) and row.n_chars == len(row.text)
+
+
+def test_a_long_nav_inside_an_article_does_not_split_it():
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(40))
+    page = (
+        f"<html><body><div><ul>{links}</ul></div><article><h1>A headline</h1><p>Before the block.</p>"
+        f"<nav><ul>{links}</ul></nav><div class=share>{'<a href=x>Share</a>' * 20}</div><p>After the block.</p></article>"
+        "<div class=teasers>More pages</div></body></html>"
+    )
+    counts = Counter()
+    for _ in range(100):
+        counts.update(extract.type_counts(page))
+    assert extract.extract(page, extract.learn_weights(counts)) == "A headline\nBefore the block.\nAfter the block."
