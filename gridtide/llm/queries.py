@@ -1,8 +1,9 @@
 """Registered queries of the text operators: each applies its operator to its whole table."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from gridtide.llm import archive, extract, langid, mixing, neardup, packing, perplexity, pii, rules, syncmers
+from gridtide.llm import archive, extract, langid, lines, mixing, neardup, packing, perplexity, pii, rules, syncmers
 
 QUERIES = {}
 ORACLES = {}
@@ -91,3 +92,16 @@ def op3_source_mixing(spark, folder):
 @query()
 def op5_syncmer_fingerprints(spark, folder):
     return syncmers.fingerprints(table(spark, folder, "documents"))
+
+
+@query(
+    "WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), l AS (SELECT r, "
+    "doc_id, i, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM t)), k AS (SELECT *, translate(trim(line, chr(32) || "
+    "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l), h AS (SELECT "
+    "key, max(doc_id) AS holder FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3), d AS (SELECT k.*, "
+    "coalesce(k.doc_id <> h.holder, false) AS gone FROM k LEFT JOIN h USING (key)) SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, "
+    "count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY r"
+)
+def op11_line_dedup(spark, folder):
+    kept = lines.deduplicated_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
