@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtide.llm import archive, extract, langid, lines, mixing, neardup, packing, perplexity, pii, rules, syncmers
+from gridtide.llm import archive, extract, langid, lines, mixing, neardup, packing, perplexity, pii, rules, syncmers, whitening
 
 QUERIES = {}
 ORACLES = {}
@@ -105,3 +105,8 @@ def op5_syncmer_fingerprints(spark, folder):
 def op11_line_dedup(spark, folder):
     kept = lines.deduplicated_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op12_embedding_whitening(spark, folder):
+    return whitening.whitened(table(spark, folder, "embeddings"))
