@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtide.llm import archive, extract, langid, lines, mixing, neardup, packing, perplexity, pii, rules, syncmers, whitening
+from gridtide.llm import archive, extract, langid, lines, mixing, neardup, packing, perplexity, pii, rules, syncmers, tries, whitening
 
 QUERIES = {}
 ORACLES = {}
@@ -110,3 +110,24 @@ def op11_line_dedup(spark, folder):
 @query()
 def op12_embedding_whitening(spark, folder):
     return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query(
+    "WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS "
+    "FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT "
+    "NULL), c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, "
+    "length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), "
+    "range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 4 AS h FROM o GROUP BY conv_id), r AS (SELECT c.conv_id, o.pos, "
+    "o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h UNION ALL SELECT c.conv_id, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = "
+    "c.base AND o.pos <= c.h), q AS (SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS turns "
+    "FROM c LEFT JOIN r USING (conv_id) GROUP BY 1), p AS (SELECT conv_id, d, turns[1:d] AS node, d = len(turns) AS ends FROM (SELECT *, "
+    "unnest(range(0, len(turns) + 1)) AS d FROM q)), n AS (SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, "
+    "sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY node), k AS (SELECT "
+    "node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1), m AS (SELECT n.*, coalesce(n_children, 0) AS n_children "
+    "FROM n LEFT JOIN k USING (node)), s AS (SELECT node[1:d] AS node, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(CASE WHEN depth > 0 THEN "
+    "(n_convs - 1) * len(regexp_extract_all(node[depth].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END)::BIGINT AS saved_tokens FROM (SELECT *, "
+    "unnest(range(0, depth + 1)) AS d FROM m) GROUP BY 1) SELECT m.conv_id, m.depth, parent.conv_id AS parent_conv_id, m.n_convs, m.n_children, "
+    "s.n_leaves, s.saved_tokens, m.ends_sha256 FROM m JOIN s USING (node) LEFT JOIN n parent ON m.depth > 0 AND parent.node = m.node[1:m.depth - 1]"
+)
+def op13_prefix_trie(spark, folder):
+    return tries.prefix_trie(table(spark, folder, "conversations"))
