@@ -5,16 +5,17 @@ Pieces of one length are interchangeable, so what has to be packed is the histog
 rows as a sequence has tokens, however large the corpus is. The solver works on that histogram, and a distributed
 ranking of the pieces of each length hands out the places of the solution.
 
-Solver: take the largest remaining length, enumerate the undominated fillings of the room beside it, and use the
-chosen filling as often as the counts allow. Best-fit decreasing gives the incumbent; fillings are tried from the
-least waste, and a branch ends once the waste so far plus the unavoidable rest cannot beat the incumbent. The sum
-bound proves most solutions optimal; otherwise the incumbent stands after `nodes` branches.
+Solver: take the largest remaining length, enumerate the undominated fillings of the room beside it from the least
+waste on, and use the chosen filling as often as the counts allow. Fillings of any number of lengths are found one by
+one, guided by the sums that the remaining lengths can make. Best-fit decreasing gives the incumbent; a branch ends
+once its waste leaves nothing better. A lower bound proves most solutions optimal; otherwise the best packing after
+`nodes` choices stands.
 """
 
-import hashlib
+import math
+import re
 import unicodedata
 import zlib
-from array import array
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,10 +34,10 @@ CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 NODES = 4_000
-#: Pieces of one length that are ranked in one group, on average.
-RANKED_TOGETHER = 100_000
+#: Parts in which the pieces of one length are ranked.
+SHARDS = 1 << 12
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
@@ -62,30 +64,86 @@ def _byte_letters():
 BYTE_LETTERS = _byte_letters()
 
 
-def _packed(ids):
-    """Ids as bytes, four each: a cache of them takes a fraction of lists of numbers."""
-    return array("I", ids).tobytes()
+#: Chunks of up to this many bytes are hashed together; the few longer ones one by one.
+LONGEST = 64
+#: Bytes of text that are split and hashed in one step.
+STEP_BYTES = 1 << 21
+_BASE = 0x9E3779B97F4A7C15  # any odd number: its powers can be taken back
+_SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LETTERS = np.random.default_rng(11).integers(0, 1 << 63, size=256, dtype=np.uint64)
+
+
+def _powers(base, count):
+    """base^0, base^1, ... modulo 2^64."""
+    powers = np.ones(1, dtype=np.uint64)
+    while len(powers) < count:
+        powers = np.concatenate([powers, powers * np.uint64(pow(base, len(powers), 1 << 64))])
+    return powers[:count]
+
+
+@lru_cache(1)
+def _factors(count):
+    return _powers(_BASE, count), _powers(pow(_BASE, -1, 1 << 64), count)
+
+
+def _scattered(values):
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(32))
+
+
+def chunk_hashes(data):
+    """(starts, ends, 64-bit hashes) of the white-space separated chunks of a byte string.
+
+    A hash is a polynomial in random numbers that stand for the bytes, taken from running sums over the whole string.
+    """
+    codes = np.frombuffer(data, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACES[codes], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _factors(max(STEP_BYTES, 1 << (len(data) - 1).bit_length())) if data else _factors(STEP_BYTES)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(_LETTERS[codes] * up[: len(codes)], out=sums[1:])
+    sizes = ends - starts
+    hashes = _scattered((sums[ends] - sums[starts]) * down[starts] + sizes.astype(np.uint64))
+    for i in np.flatnonzero(sizes > LONGEST):
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return starts, ends, hashes
+
+
+def _parts(data, most=STEP_BYTES):
+    """A byte string in parts of about `most` bytes that end at white space."""
+    start = 0
+    while len(data) - start > most:
+        found = _GAP.search(data, start + most)
+        end = found.start() if found else len(data)
+        yield data[start:end]
+        start = end
+    yield data[start:]
+
+
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 class ChunkEncoder:
-    """Token ids of whole texts through caches of white-space separated chunks and of the words in them.
+    """Token ids of whole texts through a cache of white-space separated chunks.
 
     The vocabulary drops white space and never merges across it or across its word pattern, so the ids of a text
-    are the ids of its chunks, and those of a chunk are the ids of its words. Only words that the cache lacks go
-    through the tokenizer. Chunks with letters beyond the extended Latin blocks, or with the marks of special
-    tokens, go through the tokenizer whole. A full cache starts anew, which changes no result.
+    are the ids of its chunks, and those of a chunk are the ids of its words. Texts are split and hashed many at a
+    time; only chunks whose hash the cache lacks go through the tokenizer, word by word. Chunks with letters
+    beyond the extended Latin blocks, or with the marks of special tokens, go through it whole. A full cache starts
+    anew, which changes no result. Two different chunks share a 64-bit hash with a chance of 2^-64.
     """
 
     # Fixed value: the word pattern of the vocabulary's own splitter.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path, most=500_000):
-        self.tokenizer, self.most = _tokenizer(path), most
+    def __init__(self, path, most=1_500_000, most_words=200_000):
+        self.tokenizer, self.most, self.most_words = _tokenizer(path), most, most_words
         self.model = self.tokenizer.model
         self.clear()
 
     def clear(self):
-        self.index, self.words, self.used = {}, {}, 0
+        self.words, self.used, self.count = {}, 0, 0
+        self.keys, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # sorted hashes and their entries
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.begins, self.sizes = np.zeros(1 << 17, dtype=np.int64), np.zeros(1 << 17, dtype=np.int64)
 
@@ -97,57 +155,94 @@ class ChunkEncoder:
             text = unicodedata.normalize("NFC", text)
         elif text.isalpha():
             return (text.lower(),)
-        return None if "<|" in text else tuple(self.WORDS.findall(text.lower()))
+        return None if "<|" in text else self.WORDS.findall(text.lower())
 
     def _word(self, word):
-        if not word.isascii():
-            word = word.encode().decode("latin-1")
-        return _packed(token.id for token in self.model.tokenize(word.translate(BYTE_LETTERS)))
+        found = self.words.get(word)
+        if found is None:
+            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            if len(self.words) >= self.most_words:
+                self.words.clear()
+            found = self.words[word] = [token.id for token in self.model.tokenize(letters)]
+        return found
 
-    def _ids(self, chunks):
-        """Packed ids, one byte string per chunk."""
-        known, found = self.words, []
+    def _learn(self, chunks):
+        """Enter the ids of new chunks; the number of the first entry."""
+        sizes, flat = [], []
         for chunk in chunks:
-            text = chunk.decode()
+            text, before = chunk.decode(), len(flat)
             words = self._split(text)
             if words is None:
-                found.append(_packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            for word in words:
-                if word not in known:
-                    known[word] = self._word(word)
-            found.append(known[words[0]] if len(words) == 1 else b"".join([known[word] for word in words]))
-        return found
-
-    def _learn(self, chunks, number):
-        ids = self._ids(chunks)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
-        while number + len(chunks) > len(self.begins):
+                flat += self.tokenizer.encode(text, add_special_tokens=False).ids
+            else:
+                for word in words:
+                    flat += self._word(word)
+            sizes.append(len(flat) - before)
+        first, used, n = self.count, self.used, len(flat)
+        while first + len(sizes) > len(self.begins):
             self.begins, self.sizes = np.tile(self.begins, 2), np.tile(self.sizes, 2)
-        while self.used + len(flat) > len(self.flat):
+        while used + n > len(self.flat):
             self.flat = np.tile(self.flat, 2)
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.sizes[number : number + len(ids)] = sizes
-        self.begins[number : number + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-
-    def encode(self, text):
-        """Ids of a text as an array."""
-        chunks = text.encode().split()
-        if len(self.index) > self.most:
+        self.flat[used : used + n] = flat
+        part = slice(first, first + len(sizes))
+        self.sizes[part] = sizes
+        self.begins[part] = used + np.cumsum(sizes) - sizes
+        self.used, self.count = used + n, first + len(sizes)
+        return first
+
+    def _numbers(self, data, starts, ends, hashes):
+        """The entry of every chunk, after entering those that are new."""
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == distinct[known]
+        found = np.zeros(len(distinct), dtype=np.int64)
+        found[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            number = self._learn([data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            found[new] = np.arange(number, number + len(new))
+            self.numbers = np.insert(self.numbers, at[new], found[new])
+            self.keys = np.insert(self.keys, at[new], distinct[new])
+        return found[inverse]
+
+    def _encoded(self, data):
+        """(start of every chunk, ids of all chunks, end of every chunk's ids)."""
+        if self.count > self.most:
             self.clear()
-        index, new = self.index, []
-        for chunk in chunks:
-            if chunk not in index:
-                index[chunk] = len(index)
-                new.append(chunk)
-        if new:
-            self._learn(new, len(index) - len(new))
-        numbers = np.fromiter(map(index.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        starts, ends, hashes = chunk_hashes(data)
+        numbers = self._numbers(data, starts, ends, hashes)
         begins, sizes = self.begins[numbers], self.sizes[numbers]
-        offsets = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(begins - offsets, sizes) + np.arange(int(sizes.sum()))]
+        upto = np.cumsum(sizes)
+        ids = self.flat[np.repeat(begins - upto + sizes, sizes) + np.arange(int(sizes.sum()))]
+        return starts, ids, upto
+
+    def _several(self, texts):
+        """Ids of texts that are split and hashed together."""
+        starts, ids, upto = self._encoded(b" ".join(texts))
+        ends = np.cumsum([len(text) + 1 for text in texts])  # of the texts in the joined string
+        words = np.searchsorted(starts, ends)
+        cuts = np.concatenate([[0], upto])[words]
+        return np.split(ids, cuts[:-1])
+
+    def encode_all(self, texts):
+        """Ids of each text (UTF-8 bytes) as an array, in order."""
+        held, size = [], 0
+        for text in texts:
+            if size + len(text) > STEP_BYTES and held:
+                yield from self._several(held)
+                held, size = [], 0
+            if len(text) > STEP_BYTES:
+                yield np.concatenate([self._encoded(part)[1] for part in _parts(text)])
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._several(held)
+
+    def encode(self, text):
+        """Ids of one text as an array."""
+        return next(self.encode_all([text.encode()]))
 
 
 def cut(ids, capacity):
@@ -159,21 +254,19 @@ def cut(ids, capacity):
     ]
 
 
-def pieces(docs, vocabulary, capacity=CAPACITY, end=END, shards=1):
+def pieces(docs, vocabulary, capacity=CAPACITY, end=END):
     """Pieces of all documents; a null or empty text is the end mark alone."""
 
     names = [part.split()[0] for part in PIECES.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def tokenised(batches):
         encoder = _encoder(vocabulary)
         for batch in batches:
+            texts = (text or b"" for text in batch.column("text").cast(pa.binary()).to_pylist())
             rows = []
-            for doc, value in zip(batch["doc_id"], batch["text"]):
-                doc, text = doc.as_py(), value.as_py()
-                ids = np.append(encoder.encode(text), end) if text else np.array([end])
-                shard = int.from_bytes(hashlib.blake2b(f"{doc}\x1f{text}".encode(), digest_size=4).digest()) % shards
-                rows += [(doc, *piece, shard) for piece in cut(ids, capacity)]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts)):
+                rows += [(doc, *piece) for piece in cut(np.append(ids, end), capacity)]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names)
 
@@ -204,70 +297,114 @@ def best_fit_decreasing(counts, capacity):
     return patterns
 
 
-def fillings(sizes, left, room, most=24):
-    """Undominated fillings of `room`, least waste first.
-
-    A filling is dominated when replacing one of its lengths by a larger one that still fits gives another: only
-    the fuller needs to be tried. One and two lengths are enumerated exactly, more by completing them greedily.
+def _attainable(sizes, left, room):
+    """Per position i, the sums up to `room` that the lengths from i on can make, as the bits of a number."""
+    mask, sums, found = (1 << (room + 1)) - 1, 1, [1]
+    for size in reversed(sizes):
+        copies, step = min(left[size], room // size), 1
+        while copies:
+            step = min(step, copies)
+            sums |= (sums << (step * size)) & mask
+            copies, step = copies - step, 2 * step
+        found.append(sums)
+    return found[::-1]
+
+
+def _with_sum(sizes, left, sums, wanted, start=0):
+    """All fillings with exactly the wanted sum, in the order of `sizes`; no branch is entered that cannot be completed."""
+    if not wanted:
+        yield ()
+        return
+    for i in range(start, len(sizes)):
+        if not sums[i] >> wanted & 1:
+            return
+        size = sizes[i]
+        for copies in range(min(left[size], wanted // size), 0, -1):
+            rest = wanted - copies * size
+            if sums[i + 1] >> rest & 1:
+                for more in _with_sum(sizes, left, sums, rest, i + 1):
+                    yield (size,) * copies + more
+
+
+def _dominated(filling, ascending, left, waste):
+    """True when a larger length fits in place of one of the filling, or another one beside it."""
+    for length in {*filling, 0}:
+        for size in ascending[bisect_right(ascending, length) : bisect_right(ascending, length + waste)]:
+            if left[size] > filling.count(size):
+                return True
+    return False
+
+
+def fillings(left, room, slack, order=None):
+    """The undominated fillings of `room` from a {length: count}, least waste first, up to a waste of `slack`.
+
+    A filling is dominated when one of its lengths can be replaced by a larger one that fits, or another one be added.
+    All others are found, one when it is asked for: the attainable sums say how little waste is possible and which
+    branches lead to it. Among equal waste `order` (a sort key of lengths, falling by default) decides. None stands for
+    a dominated filling that was passed over, so that a caller can give up.
     """
-    found = set()
-    single = bisect_right(sizes, room) - 1
-    for first in range(single, max(-1, single - most), -1):
-        a = sizes[first]
-        rest, chosen = room - a, [a]
-        while rest >= sizes[0]:
-            at = bisect_right(sizes, rest) - 1
-            while at >= 0 and chosen.count(sizes[at]) >= left[sizes[at]]:
-                at -= 1
-            if at < 0:
-                break
-            chosen.append(sizes[at])
-            rest -= sizes[at]
-        found.add(tuple(sorted(chosen, reverse=True)))
-        exact = room - a
-        if exact in left and left[exact] > (exact == a):
-            found.add(tuple(sorted((a, exact), reverse=True)))
-    ranked = sorted(found, key=lambda f: (room - sum(f), [-x for x in f]))
-    kept = []
-    for filling in ranked:
-        if not any(len(filling) == len(other) and all(x <= y for x, y in zip(filling, other)) for other in kept):
-            kept.append(filling)
-    return kept or [()]
-
-
-def _choices(left, capacity):
-    """Patterns around the largest remaining length, the most wasteful first."""
+    ascending = sorted(size for size in left if size <= room and left[size])
+    sizes = sorted(ascending, key=order or (lambda size: -size))
+    sums = _attainable(sizes, left, room)
+    for waste in range(min(slack, room) + 1):
+        if sums[0] >> (room - waste) & 1:
+            for filling in _with_sum(sizes, left, sums, room - waste):
+                yield None if _dominated(filling, ascending, left, waste) else filling
+
+
+def _around_largest(left, capacity, slack, balanced):
+    """(pattern, waste) of the bins around the largest remaining length."""
     largest = max(left)
     less = {size: n - (size == largest) for size, n in left.items() if n > (size == largest)}
-    room = capacity - largest
-    if not less or min(less) > room:
-        return [(largest,)]
-    return [(largest, *filling) for filling in reversed(fillings(sorted(less), less, room)[:3])]
+    room, order = capacity - largest, None
+    if balanced and less:  # lengths near the mean share of the room first
+        pieces = sum(left.values())
+        mean = sum(size * n for size, n in left.items()) / pieces
+        share = room / max(1, round(room / mean))
+        order = lambda size: (abs(size - share), size)
+    for filling in fillings(less, room, slack, order):
+        yield (filling is not None and (largest, *filling)), room - sum(filling or ())
+
+
+def lower_bound(counts, capacity):
+    """Sequences that any packing needs: by the sum of lengths, and by those of which no k + 1 fit together."""
+    total = sum(size * n for size, n in counts.items())
+    best = -(-total // capacity)
+    for k in range(1, 20):
+        # A length that is more than j of k + 1 parts of a sequence counts as j of k.
+        parts = sum(n * (size / capacity if size * (k + 1) % capacity == 0 else size * (k + 1) // capacity / k) for size, n in counts.items())
+        best = max(best, math.ceil(parts - 1e-6))
+    return best
 
 
-def pack_histogram(counts, capacity=CAPACITY, nodes=NODES):
-    """Patterns (lengths, times) that place every piece of a {length: count} histogram in few sequences."""
-    counts = {int(size): int(n) for size, n in counts.items() if n}
-    if not counts:
-        return []
+def _searched(counts, capacity, best, bound, nodes, balanced):
+    """The best patterns that depth-first branching finds within `nodes` choices, and the number of choices made.
+
+    One choice is a pattern, used as often as the counts allow. A branch ends when its waste leaves no packing that is
+    better than the best one known.
+    """
     total = sum(size * n for size, n in counts.items())
-    bound = -(-total // capacity)
-    best = best_fit_decreasing(counts, capacity)
     best_bins = sum(times for _, times in best)
-    # Depth first on one set of counts: a frame holds the fillings left to try and the choice to undo.
     left, path, bins, waste, visited = dict(counts), [], 0, 0, 0
-    frames = [_choices(left, capacity)]
+
+    def slack():
+        """Waste that a better packing may still have."""
+        return (best_bins - 1) * capacity - total - waste
+
+    frames = [_around_largest(left, capacity, capacity, balanced)]
     while frames and best_bins > bound and visited < nodes:
         if len(path) == len(frames):  # back in this frame: undo its last choice
             pattern, times, lost = path.pop()
             for size in pattern:
                 left[size] = left.get(size, 0) + times
             bins, waste = bins - times, waste - lost
-        if not frames[-1]:
+        pattern, room = next(frames[-1], (None, 0))
+        visited += 1
+        if pattern is False:
+            continue
+        if pattern is None or room > slack() and len(left) > len(set(pattern)):
             frames.pop()
             continue
-        pattern = frames[-1].pop()
-        visited += 1
         times = min(left[size] // pattern.count(size) for size in set(pattern))
         for size in pattern:
             left[size] -= times
@@ -275,15 +412,35 @@ def pack_histogram(counts, capacity=CAPACITY, nodes=NODES):
             if not left[size]:
                 del left[size]
         # The last sequence may stay partly empty without costing another, so its room is no waste.
-        lost = times * (capacity - sum(pattern)) if left else 0
+        lost = times * room if left else 0
         path.append((pattern, times, lost))
         bins, waste = bins + times, waste + lost
         if not left:
             if bins < best_bins:
                 best_bins, best = bins, [(pattern, times) for pattern, times, _ in path]
-        elif -(-(total + waste) // capacity) < best_bins:
-            frames.append(_choices(left, capacity))
-    return best
+        elif slack() >= 0:
+            frames.append(_around_largest(dict(left), capacity, capacity, balanced))
+    return best, visited
+
+
+def pack_histogram(counts, capacity=CAPACITY, nodes=NODES):
+    """Patterns (lengths, times) that place every piece of a {length: count} histogram in few sequences.
+
+    Best-fit decreasing is the first incumbent. Branching starts with two dives, one that completes bins with large
+    lengths and one with lengths near the mean of what is left, and goes on from the better one. It ends with a proof
+    (the bound is met or no branch is left) or after `nodes` choices, for the problem has no fast exact solution;
+    `lower_bound` tells how far from the best possible the result can be.
+    """
+    counts = {int(size): int(n) for size, n in counts.items() if n}
+    if not counts:
+        return []
+    bound = lower_bound(counts, capacity)
+    best, used = best_fit_decreasing(counts, capacity), {}
+    for balanced in (False, True):
+        dive, _ = _searched(counts, capacity, best, bound, len(counts) + 1, balanced)
+        used[balanced] = sum(times for _, times in dive)
+        best = dive
+    return _searched(counts, capacity, best, bound, nodes, used[True] < used[False])[0]
 
 
 class Places:
@@ -322,11 +479,12 @@ def pack(docs, vocabulary, capacity=CAPACITY, end=END, nodes=NODES):
     is one piece of the end mark. Repeated rows are packed as often as they occur. An empty table gives no rows.
 
     Pieces are computed once and stored. The driver sees the histogram of lengths, which has at most `capacity`
-    rows; ranks within a length come from groups of (length, shard) of about `RANKED_TOGETHER` pieces and from
-    offsets of those groups, so one frequent length is ranked by many tasks.
+    rows; ranks within a length come from groups of (length, shard) and from offsets of those groups, so one frequent
+    length is ranked by many tasks.
     """
-    shards = max(1, docs.count() // RANKED_TOGETHER)
-    stored = cut_lineage(pieces(docs, vocabulary, capacity, end, shards))
+    stored = cut_lineage(pieces(docs, vocabulary, capacity, end))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SHARDS)).cast("int").alias("shard")
+    stored = stored.select("*", shard)
     groups = stored.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
     histogram = {row["length"]: row["n"] for row in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = Places(pack_histogram(histogram, capacity, nodes))
