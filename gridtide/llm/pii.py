@@ -26,7 +26,6 @@ LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 LOCAL = DIGITS | LETTERS | frozenset("._%+-")
 LABEL = DIGITS | LETTERS | frozenset("-")
 PHONE_INNER = DIGITS | frozenset(" ().-")
-URL_END = frozenset(" \t\n\r\x0b\x0c\"'<>|\\^`{}")
 
 # Words that announce an account number or a key.
 CUES = ("iban", "ssn", "social security", "account", "acct", "token", "secret", "api_key", "apikey", "api key", "password")
@@ -34,6 +33,8 @@ SCHEMES = ("http://", "https://", "ftp://")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 KEY = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_URL = re.compile(r"""[^ \t\n\r\x0b\x0c"'<>|\\^`{}]*""")
+_AUTHORITY = re.compile(r"""[^ \t\n\r\x0b\x0c"'<>|\\^`{}/?#]*""")
 CUE_GAP = re.compile(r"""[\s:=#"'()-]{0,12}""")
 
 SPAN = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")
@@ -62,10 +63,26 @@ def luhn(digits):
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
-def iban(value):
-    """True when a number has the check sum of an international account number."""
-    compact = value.replace(" ", "").upper()
-    return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+def iban_end(value):
+    """Length of the longest beginning of a text that has the check sum of an international account number, or 0.
+
+    The number behind the first four characters is brought forward character by character, so one pass tries all ends.
+    """
+    head, rest, size, best = "", 0, 0, 0
+    for i, character in enumerate(value):
+        if character == " ":
+            continue
+        size += 1
+        if size > 34:
+            break
+        if size <= 4:
+            head += str(int(character, 36))
+            continue
+        number = int(character, 36)
+        rest = (rest * (100 if number > 9 else 10) + number) % 97
+        if size >= 15 and (rest * 10 ** len(head) + int(head)) % 97 == 1:
+            best = i + 1
+    return best
 
 
 def _run(text, at, allowed):
@@ -132,30 +149,32 @@ def _phone(text, at):
 
 
 def _address(text, at, begin):
-    """A URL whose authority carries a user and a password."""
-    end = begin
-    while end < len(text) and text[end] not in URL_END:
-        end += 1
-    authority = re.split(r"[/?#]", text[begin:end], maxsplit=1)[0]
-    user, sign, host = authority.rpartition("@")
+    """A URL whose authority carries a user and a password; the authority ends at the first slash, mark or space."""
+    stop = _AUTHORITY.match(text, begin).end()
+    user, sign, host = text[begin:stop].rpartition("@")
     if not sign or ":" not in user or not host:
         return None
-    return at, end, True
+    return at, _URL.match(text, stop).end(), True
 
 
-def _account(text, begin):
-    """The value behind a cue word, when one of the validators knows its form."""
+def _account(text, begin, barren):
+    """((start, end, valid) of the value behind a cue word or None, and the end of a run of key characters without a digit).
+
+    No value starts within such a run, so the cues in it (from `barren`, where the last one ended) are passed over.
+    """
     begin = CUE_GAP.match(text, begin).end()
+    if begin < barren:
+        return None, barren
     if match := SSN.match(text, begin):
-        return begin, match.end(), True
-    if match := IBAN.match(text, begin):
-        value = match.group()
-        for end in range(len(value), 14, -1):
-            if value[end - 1] != " " and iban(value[:end]):
-                return begin, begin + end, True
-    if (match := KEY.match(text, begin)) and not DIGITS.isdisjoint(match.group()) and not LETTERS.isdisjoint(match.group()):
-        return begin, match.end(), True
-    return None
+        return (begin, match.end(), True), barren
+    if (match := IBAN.match(text, begin)) and (size := iban_end(match.group())):
+        return (begin, begin + size, True), barren
+    if match := KEY.match(text, begin):
+        if DIGITS.isdisjoint(match.group()):
+            return None, match.end()
+        if not LETTERS.isdisjoint(match.group()):
+            return (begin, match.end(), True), barren
+    return None, barren
 
 
 def find_spans(text):
@@ -163,7 +182,7 @@ def find_spans(text):
     found = {kind: [] for kind in KINDS}
     if not text:
         return []
-    past = dict.fromkeys(KINDS, 0)  # per kind, where the last candidate ended
+    past, barren = dict.fromkeys(KINDS, 0), 0  # per kind, where the last candidate ended
 
     def take(kind, candidate):
         if candidate:
@@ -188,7 +207,8 @@ def find_spans(text):
         elif kind == "address":
             take(kind, _address(text, at, last + 1))
         else:
-            take(kind, _account(text, last + 1))
+            candidate, barren = _account(text, last + 1, barren)
+            take(kind, candidate)
     return [span for kind in KINDS for span in found[kind]]
 
 

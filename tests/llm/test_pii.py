@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import llm_cases
+import pytest
 
 from gridtide.llm import pii, queries
 
@@ -73,3 +75,29 @@ def test_query_equals_the_patterns(spark):
         assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == kind for k, _, _ in spans) for kind in PATTERNS]
         assert row.spans.startswith(joined)
+
+
+REPEATED = [
+    "http://", "http://a:b", "http://a:b@", "https://@", "token", "token=", "token:a-", "tokenA1b2c3d4e5f6a7b8c9d0", "iban", "iban AB12", "ibanAB12CDEF3456GHIJ7890 ",
+    "ssn", "ssn 123-45-678", "@", "a@", "a@b", "a@b.", "a.b@c.d ", "1", "1.", "1.1.1.", "256.1.1.1 ", "1-", "4111 ", "+", "+1", "+1(", "+1 2", "password:password ", "a" * 50, " ",
+]
+
+
+@pytest.mark.parametrize("part", REPEATED)
+def test_a_megabyte_of_one_anchor_takes_linear_time(part):
+    text = part * ((1 << 20) // len(part))
+    start = time.process_time()
+    spans = pii.find_spans(text)
+    assert time.process_time() - start < 5
+    short = part * (3000 // len(part))
+    assert [s for s in pii.find_spans(short) if s[0] in PATTERNS] == brute(short)
+    assert all(0 <= start < end <= len(text) for _, start, end in spans)
+
+
+def test_account_numbers_end_where_the_check_sum_holds():
+    number = "DE89370400440532013000"
+    assert pii.iban_end(number) == pii.iban_end(number + "12345678") == 22
+    assert pii.iban_end("DE89 3704 0044 0532 0130 00 and") == 27
+    assert pii.iban_end("DE88370400440532013000") == 0 and pii.iban_end("DE89") == 0
+    run = "secrettokensecrettokensecret token: a1b2c3d4e5f6a7b8c9d0"
+    assert [run[s:e] for k, s, e in pii.find_spans(run) if k == "account"] == ["a1b2c3d4e5f6a7b8c9d0"]
