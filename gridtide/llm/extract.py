@@ -41,11 +41,12 @@ INLINE = frozenset(
 CONTENT = frozenset(("article", "main"))
 NEVER = frozenset("head title nav footer aside form button select option menu dialog fieldset object canvas audio video".split())
 NEVER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar menu nav"
-    " navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices gdpr popup"
-    " modal overlay newsletter subscribe signup login comment comments comment-list discussion disqus replies share"
-    " sharing social related recommended complementary contentinfo search".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side-bar menu nav"
+    " navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr popup modal newsletter subscribe signup"
+    " login comment comments comment-list discussion disqus replies share sharing social related recommended".split()
 )
+#: Outside of named content these mean furniture of the page; inside they may name parts of the article itself.
+OUTSIDE_WORDS = frozenset("banner header masthead footer notice notices overlay complementary contentinfo search".split())
 CLOSED_BY = {
     "p": frozenset("p".split()), "li": frozenset("li p".split()), "dt": frozenset("dt dd p".split()),
     "dd": frozenset("dt dd p".split()), "tr": frozenset("tr td th p".split()), "td": frozenset("td th p".split()),
@@ -68,7 +69,9 @@ def _marks(rest):
 def _never(name, marks, inside):
     if name in NEVER or (name == "header" and not inside):
         return True
-    return name not in CONTENT and name != "body" and any(m in NEVER_WORDS or m.split("-")[0] in ("ad", "ads", "cookie") for m in marks)
+    if name in CONTENT or name == "body":
+        return False
+    return any(m in NEVER_WORDS or (m in OUTSIDE_WORDS and not inside) or m.split("-")[0] in ("ad", "ads", "cookie") for m in marks)
 
 
 def tokens(page):
@@ -78,11 +81,17 @@ def tokens(page):
     `main`, `dropped` inside an element that is never content and for its own tags. Unclosed and misnested elements are closed as
     browsers do for paragraphs, items and cells; a tag cut off by the end of the page counts as a tag.
     """
-    stack = []  # (name, type, in_content, dropped)
+    stack = []  # (name, type, in_content, dropped, place of the nearest entry that is not inline)
+    opened = Counter()  # how often each name is on the stack
     kind, inside, dropped, at = NO_TYPE, False, False, 0
 
     def top():
-        return stack[-1][1:] if stack else (NO_TYPE, False, False)
+        return stack[-1][1:4] if stack else (NO_TYPE, False, False)
+
+    def cut(place):
+        for entry in stack[place:]:
+            opened[entry[0]] -= 1
+        del stack[place:]
 
     for match in TOKEN.finditer(page):
         if match.start() > at:
@@ -94,22 +103,19 @@ def tokens(page):
         name = name.lower()
         block = name not in INLINE
         if match["close"]:
-            if any(entry[0] == name for entry in stack):
-                while (ended := stack.pop())[0] != name:
-                    pass
-                own_dropped = ended[3]
-            else:
-                own_dropped = False
+            own_dropped = False
+            if opened[name]:
+                while stack[-1][0] != name:
+                    cut(-1)
+                own_dropped = stack[-1][3]
+                cut(-1)
             kind, inside, dropped = top()
             yield ("tag" if name == "br" or not block else "block"), "/" + name, "", inside, dropped or own_dropped
             continue
         closed = CLOSED_BY.get(name) or (CLOSED_BY["p"] if name in ENDS_PARAGRAPH else ())
         if closed:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closed:
-                    del stack[i:]
-                elif stack[i][0] not in INLINE:
-                    break
+            while stack and (place := stack[-1][4]) >= 0 and stack[place][0] in closed:
+                cut(place)
             kind, inside, dropped = top()
         marks = _marks(match["rest"])
         own = ".".join([name, *marks])
@@ -121,7 +127,8 @@ def tokens(page):
         inside = inside or name in CONTENT
         if block or marks or name == "a":
             kind = own
-        stack.append((name, kind, inside, dropped))
+        stack.append((name, kind, inside, dropped, len(stack) if block else stack[-1][4] if stack else -1))
+        opened[name] += 1
     if at < len(page):
         yield "text", kind, page[at:], inside, dropped
 
@@ -213,7 +220,11 @@ def fit_weights(pages, labelled_pages=LABELLED_PAGES):
 
 
 def main_text(pages, weights):
-    """Per page: page_id, url, text and n_chars. Null html gives an empty text; repeated rows stay repeated."""
+    """Per page: page_id, url, text and n_chars, of the whole page in time proportional to its length.
+
+    Null or empty html gives an empty text; repeated rows stay repeated; extra columns are ignored; an empty table
+    gives no rows.
+    """
 
     @F.pandas_udf(T.StringType())
     def content(pages_html: pd.Series) -> pd.Series:

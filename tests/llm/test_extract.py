@@ -1,8 +1,10 @@
 import html
 import re
+import time
 from collections import Counter
 
 import llm_cases
+import pytest
 
 from gridtide.llm import extract, queries
 
@@ -43,6 +45,27 @@ def test_elements_that_are_no_content():
     assert text == "Title & more\nFirst bold text goes on\nSecond one\nThird"
 
 
+def test_headers_and_notices_of_an_article_stay():
+    page = (
+        '<body><div class="header">Site</div><div class="notice">We moved</div><article><div class="header"><h1>Title of it</h1></div><p>One two three four.</p>'
+        '<p class="notice">Last words here.</p><div class="comments">Nice</div></article><div class="footer">Foot</div></body>'
+    )
+    weights = extract.learn_weights(extract.type_counts(page))
+    assert extract.extract(page, weights) == "Title of it\nOne two three four.\nLast words here."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 90_000 + "</p>" * 90_000, "<b>" * 150_000 + "<hr>" * 120_000, "<p><div>" * 60_000 + "<b>" * 60_000 + "<hr>" * 60_000, "<p><b>" * 150_000,
+     "<li><p>" * 150_000, "<table><tr><td>" * 60_000, "</div>" * 170_000, "<a href='" * 110_000, '<script "' * 110_000, "<script>" * 130_000, "<!--" * 260_000, "<p class=" * 110_000,
+     "&amp" * 260_000, "<" * 1_000_000, "<div class='ad'>" * 65_000 + "x", "word " * 200_000],
+)
+def test_a_megabyte_of_one_tag_takes_linear_time(page):
+    start = time.process_time()
+    extract.extract(page, {})
+    assert time.process_time() - start < 5
+
+
 def test_odd_markup_never_fails():
     for page in ("", "plain words", "<", "<p", "</p></p>", "<p>a<p>b", "<script>x", "<a href='x>y", "<!-- open", "a < b > c", "<P CLASS=\"x\">Q</P>", "&#0;&bogus;&amp", "<div " * 50):
         assert isinstance(extract.extract(page, {}), str)
