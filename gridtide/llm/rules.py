@@ -7,7 +7,7 @@ Fixed-sequence testing needs no correction inside the sequence; the error level
 (Bonferroni), so that with probability 1 - `delta` the rules together reject at most `risk` of the good documents of
 every stratum.
 
-A stratum with too few labelled good documents (under 217 for four strata, a `risk` of 0.02 and a `delta` of 0.05)
+A trial is a distinct text: repeated rows and copies prove nothing new. A stratum with too few labelled good documents (under 217 for four strata, a `risk` of 0.02 and a `delta` of 0.05)
 certifies no cutoff, and only the base rule judges its documents.
 """
 
@@ -76,8 +76,8 @@ def _stats(texts: pd.Series) -> pd.DataFrame:
 
 
 def measured(docs):
-    """Per document: doc_id, lang and the counts every rule is made of. Null text has no words."""
-    return docs.select("doc_id", "lang", _stats("text").alias("stats")).select("doc_id", "lang", "stats.*")
+    """Per document: doc_id, lang, a hash of the text and the counts every rule is made of. Null text has no words."""
+    return docs.select("doc_id", "lang", F.xxhash64("text").alias("same"), _stats("text").alias("stats")).select("doc_id", "lang", "same", "stats.*")
 
 
 def base_failed():
@@ -141,7 +141,8 @@ def certified_cutoffs(stats, labels, risk=0.02, delta=0.05, grids=None):
     """Rows (lang, one nullable cutoff per rule) from the documents labelled good.
 
     The evidence is one aggregate: per stratum the number of good documents that pass the base rule and how many
-    of them each rule set rejects. A doc_id with several labels counts as good only if all of them say so.
+    of them each rule set rejects. A doc_id with several labels counts as good only if all of them say so. Trials have
+    to be independent, so repeated rows are one trial, and so are all documents with one text.
     """
     grids = grids or GRIDS
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
@@ -150,7 +151,9 @@ def certified_cutoffs(stats, labels, risk=0.02, delta=0.05, grids=None):
     # A document is rejected from the first step on that has one of its ratios above the cutoff.
     first = F.least(*[F.when(values[rule] > cutoff, F.lit(i)).otherwise(F.lit(len(sets))) for i, (rule, cutoff) in enumerate(_added(sets))])
     rejected = [F.count(F.when(F.col("first") <= i, 1)).alias(f"set_{i}") for i in range(len(sets))]
-    counts = held.withColumn("first", first).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *rejected).collect()  # one row per language
+    documents = held.groupBy("lang", "doc_id").agg(F.min(first).alias("first"), F.min("same").alias("same"))
+    trials = documents.groupBy("lang", "same").agg(F.min("first").alias("first"))
+    counts = trials.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *rejected).collect()  # one row per language
     rows = []
     for row in counts:
         step = strictest(range(len(sets)), [row[f"set_{i}"] for i in range(len(sets))], row["n"], risk, delta / len(counts))

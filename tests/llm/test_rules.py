@@ -82,3 +82,15 @@ def test_rule_sets_grow_stricter_one_cutoff_at_a_time():
     assert len(sets) == sum(map(len, rules.GRIDS.values())) and sets[-1] == {rule: grid[-1] for rule, grid in rules.GRIDS.items()}
     for before, now in zip([{}, *sets], sets):
         assert len(now.items() - before.items()) == 1 and all(now[rule] <= cutoff for rule, cutoff in before.items())
+
+
+def test_copies_are_no_new_evidence(spark):
+    """60 good documents, each given five times and copied under four further ids, prove as much as 60."""
+    rows = [(i, llm_cases.sentence(i), "en", "a", 1) for i in range(60)]
+    copies = [(1000 * k + i, text, lang, source, n) for k in range(1, 5) for i, text, lang, source, n in rows]
+    labels = llm_cases.labels_frame(spark, [(row[0], 1, 0) for row in rows + copies])
+    cutoffs = lambda docs: rules.certified_cutoffs(rules.measured(llm_cases.frame(spark, docs)), labels, risk=0.04, delta=0.1).collect()
+    once = cutoffs(rows)
+    assert once[0].cut_symbols_per_word is not None
+    assert cutoffs(rows * 5) == cutoffs(rows + copies) == once
+    assert rules.certified_cutoffs(rules.measured(llm_cases.frame(spark, (rows[:30] + copies[:30]) * 5)), labels, risk=0.04, delta=0.1).collect()[0].cut_symbols_per_word is None
