@@ -39,6 +39,8 @@ CUE_GAP = re.compile(r"""[\s:=#"'()-]{0,12}""")
 
 SPAN = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")
 DIGEST = T.StructType([T.StructField(f"n_{kind}", T.LongType()) for kind in BASE_KINDS]).add("base_sha256", "string").add("spans", "string")
+for _name in ("n_address", "n_account", "n_spans"):
+    DIGEST = DIGEST.add(_name, "long")
 
 
 @lru_cache
@@ -247,12 +249,13 @@ def _digest(texts: pd.Series) -> pd.DataFrame:
         spans = find_spans(text)
         base = [span for span in spans if span[0] in BASE_KINDS]
         counts = [sum(span[0] == kind for span in base) for kind in BASE_KINDS]
-        rows.append((*counts, hashlib.sha256(span_text(base).encode()).hexdigest(), span_text(spans)))
-    return pd.DataFrame(rows, columns=DIGEST.names).astype(dict.fromkeys(DIGEST.names[:4], "int64"))
+        added = [sum(span[0] == kind for span in spans) for kind in KINDS[len(BASE_KINDS) :]]
+        rows.append((*counts, hashlib.sha256(span_text(base).encode()).hexdigest(), span_text(spans), *added, len(spans)))
+    return pd.DataFrame(rows, columns=DIGEST.names).astype({name: "int64" for name in DIGEST.names if name.startswith("n_")})
 
 
 def span_digest(docs):
-    """Per document: doc_id, the counts of the base kinds, a digest of the base spans and all spans as text.
+    """Per document: doc_id, the counts of the base kinds, a digest of the base spans, all spans as text and their counts.
 
     Null text counts as empty (no span, the digest of the empty string). Repeated rows give repeated rows,
     other columns are ignored, an empty table gives no row.
