@@ -13,6 +13,8 @@ meet bound what they can have in common. A passage that very many documents shar
 and pairs nobody by itself. Both steps confirm pairs on the full sets, and nothing is capped.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -284,13 +286,18 @@ def exact_candidates(texts, percent):
     rows = cut_lineage(prefixes(texts, shingle_order(texts), percent))
     several = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
     rows = cut_lineage(rows.join(several, "shingle"))
-    small = rows.where("leads").drop("leads")
-    large = rows.select("shingle", *[F.col(name).alias(f"{name}_b") for name in ("id", "label", "n", "place")])
+    # Sets of similar size are in the band of the smaller one or in the next.
+    band = F.floor(F.log(F.col("n")) / math.log((100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    rows = rows.withColumn("band", band.cast("int"))
+    small = rows.where("leads").drop("leads").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    large = rows.select("shingle", "band", *[F.col(name).alias(f"{name}_b") for name in ("id", "label", "n", "place")])
+    # Components meet first, and then only their documents: those of one component never meet each other.
+    meet = small.select("shingle", "band", "label").distinct().join(large.select("shingle", "band", "label_b").distinct(), ["shingle", "band"])
+    meet = meet.where("label <> label_b")
     # With the first common shingle at these places, no more than this can be common.
     most = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
-    pairs = small.join(large, "shingle").where(
-        (F.col("label") != F.col("label_b"))
-        & ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") < F.col("id_b"))))
+    pairs = small.join(meet, ["shingle", "band", "label"]).join(large, ["shingle", "band", "label_b"]).where(
+        ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") < F.col("id_b"))))
         & (100 * F.col("n") >= percent * F.col("n_b"))
         & (most * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
     )
@@ -334,5 +341,7 @@ def one_of_each(docs, percent=PERCENT):
     Rows that repeat a kept doc_id come once; rows with a null doc_id all stay.
     """
     kept = near_duplicates(docs, percent).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    kinds = [field.name for field in docs.schema if field.dataType.typeName() != "map"]
+    rows = docs.join(kept, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"), F.xxhash64(*kinds).alias("order"))
+    first = rows.groupBy("doc_id").agg(F.min_by("row", "order").alias("row"))  # of rows that differ under one doc_id the same one on every run
+    return first.select("row.*").union(docs.where(F.col("doc_id").isNull()))

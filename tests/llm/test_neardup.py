@@ -114,3 +114,33 @@ def test_forest_labels_are_roots(spark):
 def test_query_equals_brute_force(spark):
     rows = llm_cases.read(SF, "SELECT doc_id, text FROM documents")
     check(queries.QUERIES["op10_near_duplicates"](spark, SF).collect(), rows)
+
+
+def test_exact_candidates_make_no_pairs_inside_a_component(spark):
+    """Time follows the number of near copies of one component, beside longer texts that share their shingles."""
+    import time
+
+    base = llm_cases.sentence(1, 30)
+
+    def seconds(copies):
+        rows = [(i, 0, f"{base} tail{i}") for i in range(copies)] + [(10**6 + i, 10**6 + i, f"{base} {llm_cases.sentence(1000 + i, 60)}") for i in range(30)]
+        texts = spark.createDataFrame(rows, "doc_id long, label long, text string").repartition(8).cache()
+        texts.count()
+        start = time.time()
+        assert neardup.exact_candidates(texts, 75).count() == 0
+        return time.time() - start
+
+    seconds(500)
+    few = seconds(4000)
+    assert seconds(16_000) <= 5 * max(few, 2.0)
+
+
+def test_exact_candidates_find_every_pair_across_components(spark):
+    import itertools
+
+    rows = [(i, i % 3, llm_cases.sentence(7, 40 + 3 * (i % 4)) + (f" tail{i} end" if i % 2 else "")) for i in range(24)]
+    sets = {i: set(neardup.shingle_set(neardup.words_of(text)).tolist()) for i, _, text in rows}
+    near = {(max(a, b), min(a, b)) for (a, la, _), (b, lb, _) in itertools.combinations(rows, 2) if la != lb and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    texts = spark.createDataFrame(rows, "doc_id long, label long, text string")
+    found = {tuple(row) for row in neardup.exact_candidates(texts, 75).collect()}
+    assert near and near <= found and all(a % 3 != b % 3 for a, b in found)
