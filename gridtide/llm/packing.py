@@ -18,6 +18,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 NODES = 4_000
+#: Frames of the search that keep their enumeration in memory, a few megabytes each; earlier ones start theirs again.
+OPEN_FRAMES = 16
 #: Parts in which the pieces of one length are ranked.
 SHARDS = 1 << 12
 
@@ -377,6 +380,20 @@ def lower_bound(counts, capacity):
     return best
 
 
+class _Choices:
+    """The bins around the largest length of one frame, one after the other; their enumeration can be dropped and taken up again."""
+
+    def __init__(self):
+        self.taken, self.rest = 0, None
+
+    def following(self, left, capacity, balanced):
+        """The next (pattern, waste), (None, 0) after the last; `left` is the same at every call."""
+        if self.rest is None:
+            self.rest = islice(_around_largest(dict(left), capacity, capacity, balanced), self.taken, None)
+        self.taken += 1
+        return next(self.rest, (None, 0))
+
+
 def _searched(counts, capacity, best, bound, nodes, balanced):
     """The best patterns that depth-first branching finds within `nodes` choices, and the number of choices made.
 
@@ -391,14 +408,14 @@ def _searched(counts, capacity, best, bound, nodes, balanced):
         """Waste that a better packing may still have."""
         return (best_bins - 1) * capacity - total - waste
 
-    frames = [_around_largest(left, capacity, capacity, balanced)]
+    frames = [_Choices()]
     while frames and best_bins > bound and visited < nodes:
         if len(path) == len(frames):  # back in this frame: undo its last choice
             pattern, times, lost = path.pop()
             for size in pattern:
                 left[size] = left.get(size, 0) + times
             bins, waste = bins - times, waste - lost
-        pattern, room = next(frames[-1], (None, 0))
+        pattern, room = frames[-1].following(left, capacity, balanced)
         visited += 1
         if pattern is False:
             continue
@@ -419,7 +436,9 @@ def _searched(counts, capacity, best, bound, nodes, balanced):
             if bins < best_bins:
                 best_bins, best = bins, [(pattern, times) for pattern, times, _ in path]
         elif slack() >= 0:
-            frames.append(_around_largest(dict(left), capacity, capacity, balanced))
+            frames.append(_Choices())
+            if len(frames) > OPEN_FRAMES:
+                frames[-1 - OPEN_FRAMES].rest = None
     return best, visited
 
 
