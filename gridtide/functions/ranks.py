@@ -1,72 +1,70 @@
 """Order statistics and running counts that never sort a whole table in one task."""
 
-from math import ceil, floor
-
-from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.sizes import cut_lineage
 
+#: Steps of the grid of quantiles that each round of a sketch yields.
+STEPS = 1000
+
 
-def _bracket(low_share, high_share, accuracy):
-    """Sketch of two quantiles, widened by more than its own error of 1/accuracy of the rows."""
-    margin = 4.0 / accuracy
-    shares = (max(low_share - margin, 0.0), min(high_share + margin, 1.0))
-    return F.percentile_approx("v", F.array(*[F.lit(share) for share in shares]), accuracy)
+def _grid(value, accuracy):
+    """Sketched quantiles of `value` at 0, 1/STEPS, ..., 1; nulls are left out."""
+    shares = F.lit(",".join(str(i / STEPS) for i in range(STEPS + 1)))  # one literal keeps the plan small
+    return F.percentile_approx(value, F.split(shares, ",").cast("array<double>"), F.lit(accuracy))
 
 
-def _at_rank(values, rank, low, high, accuracy, keep):
-    """The value at a 0-based rank, which lies in [low, high].
+def _around(grid, first, second, n):
+    """(low, high): values of a grid over n rows that enclose the 0-based ranks `first` to `second`.
 
-    Each round counts the values below, on and between the rims. A rank on a rim is answered by the rim, however
-    many rows hold that value; a rank between them is answered by counting once at most `keep` values are left,
-    else the rims close in on it by a mergeable sketch of the values between.
+    The sketch is off by at most a tenth of a step; two steps to both sides leave room for that and for rounding.
     """
-    while True:
-        v, between = F.col("v"), (F.col("v") > low) & (F.col("v") < high)
-        counts = values.agg(
-            F.count_if(v < low).alias("below"), F.count_if(v == low).alias("low"),
-            F.count_if(between).alias("between"), F.count_if(v <= high).alias("upto"),
-        ).first()
-        if not counts["below"] <= rank < counts["upto"]:
-            raise ValueError("percentile bracket misses the wanted rank")
-        start = counts["below"] + counts["low"]
-        if rank < start:
-            return low
-        if rank >= start + counts["between"]:
-            return high
-        if counts["between"] <= keep:
-            upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most `keep` rows
-            counted = values.where(between).groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
-            ranked = counted.withColumn("upto", F.sum("copies").over(upto)).where(F.col("upto") > rank - start)
-            return ranked.agg(F.min("v").alias("v")).first()["v"]
-        shares = (rank - start) / counts["between"], (rank + 1 - start) / counts["between"]
-        low, high = values.where(between).agg(_bracket(*shares, accuracy).alias("a")).first()["a"]
-
-
-def exact_percentile(df, column, fraction, accuracy=10_000, keep=10_000):
-    """One row (value): percentile with linear interpolation between the two nearest ranks.
-
-    One way for every size, and right away: a few aggregates over the column, kept on the executors' disks
-    meanwhile, close in on the wanted rank; only one-row results reach the driver.
+
+    def at(rank, by):
+        step = F.floor(rank / n * STEPS) + by
+        return F.element_at(grid, (F.least(F.greatest(step, F.lit(0)), F.lit(STEPS)) + 1).cast("int"))
+
+    return at(first, -2), at(second, 3)
+
+
+def exact_percentile(df, column, fraction, accuracy=10 * STEPS):
+    """One row (value): percentile with linear interpolation between the two nearest ranks; null without values.
+
+    A plan of three aggregates over the column, each behind the result of the one before as a scalar subquery, and no
+    job until the result is read. Two mergeable sketches enclose the wanted ranks, first among all values, then
+    among the enclosed ones; the values left, about one in 40,000, are counted one by one below running sums. Values
+    that very many rows share are one count. Should the ranks lie outside, the query fails: nothing is approximated.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()).persist(StorageLevel.DISK_ONLY)
-    try:
-        size = values.agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).first()
-        value = None
-        if size["n"]:
-            position = fraction * (size["n"] - 1)
-            first, second = floor(position), ceil(position)
-            value = _at_rank(values, first, size["least"], size["most"], accuracy, keep)
-            if second > first:
-                after = values.agg(
-                    F.count_if(F.col("v") <= value).alias("upto"), F.min(F.when(F.col("v") > value, F.col("v"))).alias("next")
-                ).first()
-                value += ((value if after["upto"] > second else after["next"]) - value) * (position - first)
-    finally:
-        values.unpersist()
-    return df.sparkSession.createDataFrame([(value,)], "value double")
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    v, s = F.col("v"), lambda name: F.col(f"s.{name}")
+    position = F.lit(float(fraction)) * (F.col("n") - 1)
+    ranked = values.agg(F.count("v").alias("n"), _grid(v, accuracy).alias("grid"))
+    ranked = ranked.withColumns({"position": position, "first": F.floor(position), "second": F.ceil(position)})
+    low, high = _around(F.col("grid"), F.col("first"), F.col("second"), F.col("n"))
+    outer = ranked.select(F.struct("n", "position", "first", "second", low.alias("low"), high.alias("high")).alias("s")).scalar()
+
+    # Every round has the result of the one before as a column `s`, so the plan holds it once.
+    enclosed = v >= s("low")
+    inside = values.withColumn("s", outer).where(v <= s("high")).agg(
+        F.first("s").alias("s"), F.count_if(~enclosed).alias("below"), F.count_if(enclosed).alias("inside"), _grid(F.when(enclosed, v), accuracy).alias("grid")
+    )
+    low, high = _around(F.col("grid"), s("first") - F.col("below"), s("second") - F.col("below"), F.col("inside"))
+    inner = inside.select(F.struct("s.n", "s.position", "s.first", "s.second", low.alias("low"), high.alias("high")).alias("s")).scalar()
+
+    # All values below the enclosed ones are one group, that of the null key, which comes first.
+    kept = values.withColumn("s", inner).where(v <= s("high"))
+    counted = kept.groupBy(F.when(enclosed, v).alias("key")).agg(F.count(F.lit(1)).alias("copies"))
+    upto = Window.orderBy(F.col("key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)  # few values are left
+    summed = counted.withColumn("upto", F.sum("copies").over(upto)).withColumn("s", inner)
+    found = summed.agg(
+        F.first("s").alias("s"), F.count_if(F.col("key").isNull() & (F.col("upto") > s("first"))).alias("missed"), F.max("upto").alias("upto"),
+        *[F.min(F.when(F.col("upto") > s(rank), F.col("key"))).alias(f"at_{rank}") for rank in ("first", "second")],
+    )
+    missed = (F.col("missed") > 0) | (F.col("upto") <= s("second"))
+    between = F.col("at_first") + (F.col("at_second") - F.col("at_first")) * (s("position") - s("first"))
+    error = F.raise_error(F.lit("percentile bracket misses the wanted rank")).cast("double")
+    return found.select(F.when(missed, error).otherwise(between).alias("value"))
 
 
 def exact_median(df, column):

@@ -169,15 +169,36 @@ def test_percentile_interpolates_like_numpy(spark, values, fraction):
 def test_percentile_of_many_rows_uses_the_bracket(spark):
     df = spark.range(100_001).select((F.pow(F.col("id"), 2)).alias("v"))
     for fraction in (0.05, 0.5, 0.98):
-        value = exact_percentile(df, "v", fraction, accuracy=1000, keep=500).first().value
+        value = exact_percentile(df, "v", fraction, accuracy=10_000).first().value
         assert value == pytest.approx((fraction * 100_000) ** 2)
     hot = spark.range(50_000).select(F.when(F.col("id") < 20_000, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
-    assert exact_percentile(hot, "v", 0.3, accuracy=500, keep=100).first().value == 7.0
-    assert exact_percentile(hot, "v", 0.1, accuracy=500, keep=100).first().value == 7.0
-    assert exact_percentile(hot, "v", 0.9, accuracy=500, keep=100).first().value == pytest.approx(44999.1)
+    assert exact_percentile(hot, "v", 0.3).first().value == 7.0
+    assert exact_percentile(hot, "v", 0.1).first().value == 7.0
+    assert exact_percentile(hot, "v", 0.9).first().value == pytest.approx(44999.1)
     assert exact_median(spark.createDataFrame([], "v double"), "v").first().value is None
 
 
+def test_percentile_is_a_plan_without_jobs(spark):
+    df = spark.range(100_000).select(F.xxhash64("id").cast("double").alias("v"))
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    found = exact_percentile(df, "v", 0.37)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setJobGroup("other", "other")
+    import numpy as np
+
+    assert found.first().value == pytest.approx(np.percentile([row.v for row in df.collect()], 37))
+
+
+def test_a_bracket_that_misses_raises_inside_the_plan(spark, monkeypatch):
+    from gridtide.functions import ranks
+
+    monkeypatch.setattr(ranks, "_around", lambda grid, first, second, n: (F.element_at(grid, 600), F.element_at(grid, 700)))
+    with pytest.raises(Exception, match="bracket misses"):
+        exact_percentile(spark.range(10_000).select(F.col("id").cast("double").alias("v")), "v", 0.1).collect()
+    with pytest.raises(Exception, match="bracket misses"):
+        exact_percentile(spark.range(10_000).select(F.col("id").cast("double").alias("v")), "v", 0.9).collect()
+
+
 def test_trailing_features_head_and_zero_denominators(spark):
     values = [0.0, 0.0, 4.0] + [2.0] * 27
     table = series(spark, values).withColumn("internet_activity", F.col("total_activity") / 2)
