@@ -183,3 +183,14 @@ def alerted_share(alerts, hourly):
         total.alias("total_grid_hours"),
         F.coalesce(ratio_or_null("alerted_grid_hours", total), F.lit(0.0)).alias("alerted_proportion"),
     )
+
+
+def alerted_share_of(scored):
+    """`alerted_share` of scored rows, one per cell hour, in the pass that flags them."""
+    flags = [F.col(name) for name in ("high_activity_flag", "drop_flag", "spike_flag")]
+    raised = sum(flag.cast("long") for flag in flags)
+    return scored.agg(
+        F.coalesce(F.sum(raised), F.lit(0)).cast("long").alias("total_alert_records"),
+        F.count_if(raised > 0).alias("alerted_grid_hours"),
+        F.count(F.lit(1)).alias("total_grid_hours"),
+    ).withColumn("alerted_proportion", F.coalesce(ratio_or_null("alerted_grid_hours", "total_grid_hours"), F.lit(0.0)))

@@ -148,23 +148,32 @@ def handled_nulls(measures=MEASURES):
     return F.sum(sum(F.col(name).isNull().cast("long") for name in measures))
 
 
-def clean_usage(df, negatives="clamp"):
-    """Cleaning of the daily run: fill NULLs, clamp or reject negatives, reject NULL keys, add date parts.
-
-    `report` is one row (rows_in, rows_rejected, nulls_handled, rows_out) from a single scan.
-    """
-    flagged = flag_invalid(df, negatives)
-    report = flagged.agg(
+def report_counts():
+    """Aggregates of the cleaning report over rows with `is_rejected`."""
+    return [
         F.count(F.lit(1)).alias("rows_in"),
         F.count_if("is_rejected").alias("rows_rejected"),
         F.coalesce(handled_nulls(), F.lit(0)).alias("nulls_handled"),
         F.count_if(~F.col("is_rejected")).alias("rows_out"),
-    )
-    filled = clamp_negatives(nulls_to_zero(flagged)) if negatives == "clamp" else nulls_to_zero(flagged)
+    ]
+
+
+def clean_usage(df, negatives="clamp", observation=None):
+    """Cleaning of the daily run: fill NULLs, clamp or reject negatives, reject NULL keys, add date parts.
+
+    `report` is one row (rows_in, rows_rejected, nulls_handled, rows_out) from a single scan. With an `observation` the
+    same counts are taken while the `clean` rows are written, without that scan.
+    """
+    flagged = flag_invalid(df, negatives)
+
+    def filled(rows):
+        return clamp_negatives(nulls_to_zero(rows)) if negatives == "clamp" else nulls_to_zero(rows)
+
+    passing = flagged.observe(observation, *report_counts()) if observation else flagged
     return Cleaned(
-        with_calendar(filled.where(~F.col("is_rejected")).drop("is_rejected")),
-        filled.where("is_rejected").drop("is_rejected"),
-        report,
+        with_calendar(filled(passing).where(~F.col("is_rejected")).drop("is_rejected")),
+        filled(flagged).where("is_rejected").drop("is_rejected"),
+        flagged.agg(*report_counts()),
     )
 
 

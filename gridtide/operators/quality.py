@@ -282,31 +282,23 @@ def verdicts(counted):
     )
 
 
-def quality_gate(report, clean, hourly, enriched):
-    """One row per rule of the daily run: layer, rule, violations and whether it passed.
-
-    Each of the four inputs is reduced to one row by a subquery of its own, so it is read once; the
-    rules are then expressions over those rows. Schema rules are decided without a scan.
-    """
-    require_columns(clean, CLEAN_COLUMNS)
-    require_columns(hourly, HOURLY_COLUMNS)
+def gate_counts():
+    """What the gate counts per layer: {layer: aggregates}, to be taken by a scan or while the layer is written."""
     rows = F.count(F.lit(1)).alias("rows")
     null_keys = F.count_if(F.col("grid_id").isNull() | F.col("timestamp").isNull()).alias("null_keys")
 
     def negatives(names):
         return [F.count_if(F.col(name) < 0).alias(f"negative_{name}") for name in names]
 
-    def one_row(df, aggregates):
-        counted = df.agg(*aggregates)
-        return counted.select(F.struct(*counted.columns).alias("s")).scalar(), counted.columns
-
-    parts = {
-        "flow": (report.select(F.struct(*report.columns).alias("s")).scalar(), report.columns),
-        "clean": one_row(clean, [null_keys, *negatives(MEASURES)]),
-        "hourly": one_row(hourly, [rows, null_keys, *negatives((*HOURLY_MEASURES, *TOTALS))]),
-        "enriched": one_row(enriched, [rows, F.count_if(F.col("geometry").isNull()).alias("missing_geometry")]),
+    return {
+        "clean": [rows, null_keys, *negatives(MEASURES)],
+        "hourly": [rows, null_keys, *negatives((*HOURLY_MEASURES, *TOTALS))],
+        "enriched": [rows, F.count_if(F.col("geometry").isNull()).alias("missing_geometry")],
     }
-    base = clean.sparkSession.range(1).select(*[value.alias(layer) for layer, (value, _) in parts.items()])
+
+
+def _gate_rules(base, names):
+    """Rule rows from one row that holds the counts of every layer as a struct; `names` lists them per layer."""
 
     def count(layer, name):
         return F.col(f"{layer}.{name}")
@@ -322,7 +314,7 @@ def quality_gate(report, clean, hourly, enriched):
         ("enriched", "changed_row_count"): F.abs(count("enriched", "rows") - rows_hourly),
     }
     for layer in ("clean", "hourly", "enriched"):
-        derived.update({(layer, name): count(layer, name) for name in parts[layer][1] if name != "rows"})
+        derived.update({(layer, name): count(layer, name) for name in names[layer] if name != "rows"})
     rules = F.array(
         *[
             F.struct(
@@ -337,6 +329,27 @@ def quality_gate(report, clean, hourly, enriched):
     return base.select(F.inline(rules))
 
 
+def quality_gate(report, clean, hourly, enriched):
+    """One row per rule of the daily run: layer, rule, violations and whether it passed.
+
+    Each of the four inputs is reduced to one row by a subquery of its own, so it is read once; the
+    rules are then expressions over those rows. Schema rules are decided without a scan.
+    """
+    require_columns(clean, CLEAN_COLUMNS)
+    require_columns(hourly, HOURLY_COLUMNS)
+    tables, wanted = {"clean": clean, "hourly": hourly, "enriched": enriched}, gate_counts()
+    rows = {"flow": report} | {layer: df.agg(*wanted[layer]) for layer, df in tables.items()}
+    values = {layer: row.select(F.struct(*row.columns).alias("s")).scalar() for layer, row in rows.items()}
+    base = clean.sparkSession.range(1).select(*[value.alias(layer) for layer, value in values.items()])
+    return _gate_rules(base, {layer: row.columns for layer, row in rows.items()})
+
+
+def gate_of_counts(spark, counts):
+    """The rules of `quality_gate` from counts that the writes have taken: {"flow" or layer: {name: number}}."""
+    structs = [F.struct(*[F.lit(int(n or 0)).cast("long").alias(name) for name, n in row.items()]).alias(layer) for layer, row in counts.items()]
+    return _gate_rules(spark.range(1).select(*structs), {layer: list(row) for layer, row in counts.items()})
+
+
 def require_passed(rules):
     """Raise with every failed rule; the rule table has a fixed, small number of rows."""
     failed = rules.where(~F.col("passed")).collect()

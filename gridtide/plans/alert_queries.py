@@ -138,4 +138,4 @@ def cells_by_alerts(t):
     "AS alerted_proportion"
 )
 def alerted_share(t):
-    return rounded(alerts.alerted_share(zone_alerts(t), zone_hourly(t)), 6)
+    return rounded(alerts.alerted_share_of(alerts.score_rules(zone_hourly(t), scale=SCALE)), 6)

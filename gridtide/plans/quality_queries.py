@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from gridtide.functions.sizes import scratch_path
 from gridtide.operators import clean, enrich, hourly, quality
+from gridtide.plans import daily
 from gridtide.plans.binding import (
     CALENDAR_SQL,
     CELLS_SQL,
@@ -18,6 +20,7 @@ from gridtide.plans.binding import (
     with_hourly,
 )
 from gridtide.plans.catalog import query
+from gridtide.sources import sinks
 from gridtide.schemas import HOURLY_MEASURES, MEASURES, RAW_MEASURES, TOTALS
 
 _CLEAN = f"WITH {usage_sql()}, {CLEAN_SQL}"
@@ -259,10 +262,10 @@ def _rules_sql():
 
 @query(_rules_sql())
 def quality_gate(t):
-    """All rules of the daily run over dirty input; several of them fail."""
-    cleaned = clean.clean_usage(t.dirty_usage())
-    table = hourly.hourly_by_calendar(cleaned.clean, SCALE)
-    return quality.quality_gate(cleaned.report, cleaned.clean, table, enrich.with_geometry(table, t.geometry()))
+    """All rules of the daily run over dirty input, from the counts of its writes; several of them fail."""
+    path = scratch_path(t.spark)
+    store = lambda name, df, by, aggregates: sinks.counted_table(df, f"{path}/{name}", aggregates, by)
+    return daily.gated_layers(t.dirty_usage(), t.geometry(), store, SCALE).rules
 
 
 @query(

@@ -2,6 +2,8 @@
 
 import json
 
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gridtide import texts
@@ -30,6 +32,26 @@ def stored_table(df, path, by=None):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def taken(observation):
+    """Metrics of an observation whose action has ended; none where the planner saw that there are no rows and dropped it."""
+    try:
+        return dict(observation.get)
+    except Py4JJavaError:
+        return {}
+
+
+def counted_table(df, path, aggregates, by=None):
+    """`stored_table` of rebalanced rows, and the values of aggregates over them as a dict, taken by the write itself.
+
+    The rows are observed behind the shuffle, in the tasks that write them, so a task that is run again counts once.
+    """
+    seen = Observation()
+    rows = (rebalanced(df, by) if by else df).observe(seen, *aggregates)
+    write_table(rows, path, by)
+    counts = dict.fromkeys(df.agg(*aggregates).columns, 0) | taken(seen)
+    return df.sparkSession.read.schema(df.schema).parquet(path), counts
+
+
 def overwrite_partitions(df, path, by="date", gather=True):
     """Replace only the partitions present in `df`; the others stay as they are.
 
@@ -166,16 +188,24 @@ def storage_footprint(spark, datasets):
     return sizes
 
 
+STATUS = "stage string, run_id string, status string, reason string, counts map<string,bigint>, processed_at timestamp"
+
+
 def append_status(spark, path, stage, status, reason=None, run_id=None, **counts):
     """Append one run-status row: stage, run, status, reason, counts and time."""
-    schema = "stage string, run_id string, status string, reason string, counts map<string,bigint>"
-    row = spark.createDataFrame([(stage, run_id, status, reason, {k: int(v) for k, v in counts.items()})], schema)
+    row = spark.createDataFrame([(stage, run_id, status, reason, {k: int(v) for k, v in counts.items()})], STATUS.rpartition(",")[0])
     row.withColumn("processed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
 
 
+def append_ledger(spark, path, run_id, batches):
+    """Claim intake batches for a run, in one file: from then on exactly this run publishes their rows."""
+    rows = spark.createDataFrame([(run_id, int(batch)) for batch in batches], "run_id string, batch_id long")
+    rows.coalesce(1).write.mode("append").parquet(path)
+
+
 def latest_status(spark, path, stage):
     """Newest status row of a stage, None when it never ran."""
-    rows = spark.read.parquet(path).where(F.col("stage") == stage)
+    rows = spark.read.schema(STATUS).parquet(path).where(F.col("stage") == stage)
     return rows.orderBy(F.desc("processed_at")).limit(1).first()
 
 

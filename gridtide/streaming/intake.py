@@ -91,14 +91,22 @@ def placed(lines):
     return lines.withColumn("place", F.monotonically_increasing_id())
 
 
-def _stored(spark, path, schema):
-    """A table that may not exist yet, or hold no row yet."""
+def stored_or_empty(spark, path, schema):
+    """A table that may not exist yet; any other error of reading it is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
+def accepted_batches(spark, out):
+    """Ids of all batches that hold a valid file, in order; one per micro-batch of accepted files so far."""
+    valid = stored_or_empty(spark, f"{out}/log", LOG).where(F.col("status") == "VALID")
+    return valid.select("batch_id").distinct()
+
+
 def zero_byte_files(spark, landing, log):
     """Verdicts of landed files of zero bytes, which no file scan ever delivers.
 
@@ -113,7 +121,7 @@ def zero_byte_files(spark, landing, log):
         if entry.isFile() and entry.getLen() == 0:
             names.append((entry.getPath().getName(),))
     named = spark.createDataFrame(names, "source string").where(is_daily_file("source"))
-    known = _stored(spark, log, LOG).select("source")
+    known = stored_or_empty(spark, log, LOG).select("source")
     return named.join(known, "source", "left_anti").select("source", *_unreadable())
 
 
@@ -136,7 +144,7 @@ def process_batch(lines, batch_id, out):
     try:
         stamp = {"batch_id": F.lit(batch_id).cast("long"), "processed_at": F.current_timestamp()}
         overwrite_partitions(file_verdicts(lines).withColumns(stamp), log, "batch_id", gather=False)
-        verdicts = _stored(spark, log, LOG).where(F.col("batch_id") == batch_id)
+        verdicts = stored_or_empty(spark, log, LOG).where(F.col("batch_id") == batch_id)
         known = broadcast_within(verdicts.select("source", "status"))
         tagged = lines.withColumn("batch_id", F.lit(batch_id).cast("long")).join(known, "source")
         valid = with_cells(tagged.where((F.col("status") == "VALID") & (F.trim("value") != "")))
@@ -170,7 +178,7 @@ def run_intake(spark, landing, out, max_files=1000):
         )
         query.awaitTermination()
         valid = F.col("status") == "VALID"
-        row = _stored(spark, log, LOG).where(F.col("batch_id").isin(batches)).agg(
+        row = stored_or_empty(spark, log, LOG).where(F.col("batch_id").isin(batches)).agg(
             F.count_if(valid).alias("valid_files"),
             F.count_if(~valid).alias("rejected_files"),
             F.coalesce(F.sum(F.when(valid, F.col("row_count"))), F.lit(0)).alias("rows_ingested"),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gridtide.operators import clean
 from gridtide.plans.batch import run_batch
-from gridtide.plans.daily import export_dashboard, require_inputs, published_run, run_daily, run_from_landing, run_processing
+from gridtide.plans import daily
+from gridtide.streaming.intake import run_intake
+from gridtide.plans.daily import abandon_run, export_dashboard, require_inputs, published_run, run_daily, run_from_landing, run_processing
 from gridtide.plans.detection import run_detection
 from gridtide.schemas import HOURLY_COLUMNS
 from gridtide.sources import geojson, sinks, usage
@@ -187,6 +189,85 @@ def test_landed_files_reach_the_warehouse(spark, tmp_path, usage_files, grid_fil
     assert {tuple(r) for r in stages} == {(s, r, "SUCCESS") for s in ("processing", "warehouse") for r in ("run1", "run3")}
 
 
+def test_rows_accepted_before_a_stop_are_published_once(spark, tmp_path, usage_files, grid_file, monkeypatch):
+    landing, out = tmp_path / "raw", str(tmp_path / "out")
+    run_intake(spark, str(landing), f"{out}/intake")  # the first call stops right after the intake
+    warehouse = run_from_landing(spark, str(landing), grid_file, out, "run1")
+    assert warehouse == f"{out}/run1/warehouse" and spark.read.parquet(f"{warehouse}/day_summary").count() == 2
+    assert run_from_landing(spark, str(landing), grid_file, out, "run2") is None
+
+    day = (landing / "sms-call-internet-mi-2013-11-01.csv").read_text()
+    (landing / "sms-call-internet-mi-2013-11-03.csv").write_text(day.replace("2013-11-01", "2013-11-03"))
+
+    def stopped(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:  # this one stops after it has stored its layers, before the warehouse
+        patch.setattr(daily, "run_warehouse", stopped)
+        with pytest.raises(KeyboardInterrupt):
+            run_from_landing(spark, str(landing), grid_file, out, "run3")
+    (landing / "sms-call-internet-mi-2013-11-04.csv").write_text(day.replace("2013-11-01", "2013-11-04"))
+    assert run_from_landing(spark, str(landing), grid_file, out, "run4") == f"{out}/run4/warehouse"
+    days = {run: [str(r.summary_date) for r in spark.read.parquet(f"{out}/{run}/warehouse/day_summary").orderBy("summary_date").collect()] for run in ("run1", "run3", "run4")}
+    assert days == {"run1": ["2013-11-01", "2013-11-02"], "run3": ["2013-11-03"], "run4": ["2013-11-04"]}
+    assert run_from_landing(spark, str(landing), grid_file, out, "run5") is None
+    with pytest.raises(ValueError, match="has claimed"):
+        (landing / "sms-call-internet-mi-2013-11-05.csv").write_text(day.replace("2013-11-01", "2013-11-05"))
+        run_from_landing(spark, str(landing), grid_file, out, "run4")
+
+
+def test_a_failed_run_is_tried_again_until_it_is_given_up(spark, tmp_path, usage_files, grid_file, monkeypatch):
+    landing, out = tmp_path / "raw", str(tmp_path / "out")
+
+    def failing(rules):
+        raise ValueError("quality check failed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(daily, "require_passed", failing)
+        for run in ("run1", "run2"):
+            with pytest.raises(ValueError, match="quality check failed"):
+                run_from_landing(spark, str(landing), grid_file, out, run)
+    assert set(daily.open_runs(spark, out)) == {"run1"}
+    abandon_run(spark, out, "run1", "bad delivery")
+    assert run_from_landing(spark, str(landing), grid_file, out, "run3") is None
+
+
+def scans_of(spark, path):
+    """Number of executed plans that read files below a path."""
+    executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [executions.apply(i).physicalPlanDescription() for i in range(executions.size())]
+    return sum(any("Location" in line and path in line for line in plan.splitlines()) for plan in plans)
+
+
+def test_counts_of_a_run_come_from_its_writes(spark, tmp_path, usage_files, grid_file):
+    from gridtide.operators.quality import quality_gate
+
+    out = str(tmp_path / "out")
+    reference, _ = daily.stored_reference(spark, grid_file, out, "r")
+    raw = str(tmp_path / "stored_usage")
+    sinks.write_table(usage.read_typed_usage(spark, usage_files), raw)
+    base = run_processing(spark, spark.read.parquet(raw), reference, out, "r")
+    assert scans_of(spark, raw) == 1
+    assert [scans_of(spark, f"{base}/{layer}") for layer in ("clean", "hourly", "analytics", "report")] == [1, 1, 0, 0]
+    counts = sinks.latest_status(spark, f"{out}/status", "processing")["counts"]
+    stored = {name: spark.read.parquet(f"{base}/{name}") for name in ("report", "clean", "hourly", "analytics")}
+    assert counts["rows_published"] == stored["analytics"].count() and counts["rows_in"] == stored["report"].first()["rows_in"]
+    rules = quality_gate(stored["report"], stored["clean"], stored["hourly"], stored["analytics"])
+    assert rules.where("NOT passed").isEmpty()
+
+
+def test_a_report_that_was_counted_twice_is_counted_again(spark, tmp_path, usage_files, grid_file):
+    reference, _ = daily.stored_reference(spark, grid_file, str(tmp_path), "r")
+    rows = usage.read_typed_usage(spark, usage_files)
+
+    def store(name, df, by, aggregates):
+        table, counts = sinks.counted_table(df, str(tmp_path / name), aggregates, by)
+        return table, counts | {"rows": counts["rows"] - 5} if name == "clean" else counts
+
+    layers = daily.gated_layers(rows, reference, store)
+    assert layers.counts["flow"] == {"rows_in": 192, "rows_rejected": 0, "nulls_handled": layers.counts["flow"]["nulls_handled"], "rows_out": 192}
+
+
 def test_batch_refuses_reordered_headers_and_survives_without_rows(spark, tmp_path, usage_files):
     folder = tmp_path / "odd"
     folder.mkdir()
