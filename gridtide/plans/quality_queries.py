@@ -264,7 +264,7 @@ def _rules_sql():
 def quality_gate(t):
     """All rules of the daily run over dirty input, from the counts of its writes; several of them fail."""
     path = scratch_path(t.spark)
-    store = lambda name, df, by, aggregates: sinks.counted_table(df, f"{path}/{name}", aggregates, by)
+    store = lambda name, df, by, aggregates: sinks.counted_table(df, f"{path}/{name}", aggregates)
     return daily.gated_layers(t.dirty_usage(), t.geometry(), store, SCALE).rules
 
 
