@@ -4,7 +4,8 @@ Every source has a target in words. A document's expected number of copies is it
 source's size, tilted by an optional document weight; the whole part is taken for certain, and the fraction is the
 inclusion chance of one more copy. Documents of a source are ordered by the odds of a random number over the odds
 of their inclusion chance, and the sample is the front of that order that fills what the certain copies leave of
-the target. The random number is a hash of document and seed, so reruns agree.
+the target. Behind the document that would exceed it the order goes on with those that still fit, and the last place
+goes to the document whose size comes nearest to what is left. The random number is a hash of document and seed, so reruns agree.
 
 No source is ever sorted as a whole: its order is cut into pieces by value, word sums per piece locate the piece in
 which the target is reached, that piece is cut again, and only rows of the last small piece are ordered. The cut is
@@ -107,11 +108,51 @@ def _crossed(rows, piece):
     return hit.select(F.col("source").alias("s"), F.col(piece).alias("hit"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))
 
 
+_KEY = ("order", "doc_id", "text_hash")
+
+
+def _front(opened, rest, pieces):
+    """(s, cut): the last key of every source up to which the running sum of words is within `rest` (s, rest)."""
+    opened = opened.join(rest, _same("source", "s")).where("rest > 0").drop("s")
+
+    def inside(part, hit, piece):
+        return part.drop("rest").join(hit, _same("source", "s") & (F.col(piece) == F.col("hit"))).withColumnRenamed("left", "rest").drop("s", "hit")
+
+    within = cut_lineage(inside(opened, _crossed(opened, "outer"), "outer"))
+    last = cut_lineage(inside(within, _crossed(within, "inner"), "inner"))  # about size / pieces^2 rows of each source
+    by_key = Window.partitionBy("source").orderBy(*_KEY).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = last.withColumn("upto", F.sum("size").over(by_key))
+    start = (F.col("outer") + F.col("inner") / F.lit(pieces)) / F.lit(pieces)
+    nothing = F.lit(None).cast("long")
+    before = F.struct(start.alias("order"), nothing.alias("doc_id"), nothing.alias("text_hash"))  # all before this piece
+    key = F.when(F.col("upto") <= F.col("rest"), F.struct(*_KEY))
+    cuts = ranked.groupBy("source").agg(F.coalesce(F.max(key), F.min(before)).alias("cut"))
+    everything = F.struct(F.lit(2.0).alias("order"), nothing.alias("doc_id"), nothing.alias("text_hash"))
+    return rest.join(cuts, _same("s", "source"), "left").select("s", F.when(F.col("rest") > 0, F.coalesce("cut", everything)).alias("cut"))
+
+
+def _taken_from(opened, plan):
+    """Opened rows with the plan of their source and whether a front takes them."""
+    joined = opened.join(plan, _same("source", "s")).drop("s")
+    key = F.struct(*_KEY)
+    front = F.coalesce(key <= F.col("cut"), F.lit(False)) | F.coalesce((F.col("each") <= F.col("fitting")) & (key <= F.col("filled")), F.lit(False))
+    return joined.withColumn("front", front)
+
+
+def _left(opened, plan):
+    """(s, left): the words that the fronts of every source leave of `rest`."""
+    taken = F.coalesce(F.sum(F.when(F.col("front"), F.col("size"))), F.lit(0))
+    return _taken_from(opened, plan).groupBy(F.col("source").alias("s")).agg((F.first("rest") - taken).alias("left"))
+
+
 def sampling_plan(rows, weights=WEIGHTS, most=MOST_COPIES, pieces=PIECES):
-    """(plan_source, source_size, target, ratio, cut) from stored `keyed` rows.
+    """(plan_source, source_size, target, ratio, cut, fitting, filled, edge) from stored `keyed` rows.
 
-    A document takes floor(ratio * tilt) copies, at most `most`, and one more if its key (order, doc_id, text_hash)
-    is at most `cut`; a null `cut` selects none. `pieces` is a power of two, so piece numbers are exact.
+    A document takes floor(ratio * tilt) copies, at most `most`, and one more if its key (order, doc_id, text_hash) is
+    in the front of the order. The first front ends (`cut`) before the document that exceeds the target. From there
+    it goes on with the documents of at most `fitting` words, what was left, up to `filled`. What is left then goes to
+    one document, `edge`, whose size comes nearest. Nulls select none. `pieces` is a power of two, so piece numbers are
+    exact.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("tilt")).alias("tilted"))
     sizes = cut_lineage(sizes)
@@ -124,38 +165,41 @@ def sampling_plan(rows, weights=WEIGHTS, most=MOST_COPIES, pieces=PIECES):
     certain = opened.groupBy("source").agg(F.sum(F.col("size") * F.floor(_copies(most))).alias("certain"), F.first("target").alias("target"))
     rest = certain.select(F.col("source").alias("s"), F.greatest(F.col("target") - F.col("certain"), F.lit(0.0)).alias("rest"))
     rest = cut_lineage(rest)
-    opened = opened.withColumn("order", _order(most)).where(F.col("order").isNotNull())
+    # Rows that repeat a document stand at one place of the order and are taken together.
+    opened = opened.withColumn("order", _order(most)).where(F.col("order").isNotNull()).groupBy("source", *_KEY)
+    opened = opened.agg(F.sum("size").alias("size"), F.first("size").alias("each"))
     scaled = F.col("order") * pieces
-    opened = opened.join(rest, _same("source", "s")).select(
-        "source", "size", "order", "doc_id", "text_hash", "rest", F.floor(scaled).cast("int").alias("outer"),
-        F.floor((scaled - F.floor(scaled)) * pieces).cast("int").alias("inner"),
-    )
-
-    def inside(part, hit, piece):
-        return part.drop("rest").join(hit, _same("source", "s") & (F.col(piece) == F.col("hit"))).withColumnRenamed("left", "rest").drop("s", "hit")
-
-    within = cut_lineage(inside(opened, _crossed(opened, "outer"), "outer"))
-    last = cut_lineage(inside(within, _crossed(within, "inner"), "inner"))  # about size / pieces^2 rows of each source
-    by_key = Window.partitionBy("source").orderBy("order", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = last.withColumn("upto", F.sum("size").over(by_key))
-    chosen = F.col("upto") - F.col("size") / 2 <= F.col("rest")  # the document at the edge joins when that is nearer
-    key = F.struct("order", "doc_id", "text_hash")
-    start = (F.col("outer") + F.col("inner") / F.lit(pieces)) / F.lit(pieces)
-    nothing = F.lit(None).cast("long")
-    before = F.struct(start.alias("order"), nothing.alias("doc_id"), nothing.alias("text_hash"))  # all before this piece
-    cuts = ranked.groupBy("source").agg(F.coalesce(F.max(F.when(chosen, key)), F.min(before)).alias("cut"))
-    everything = F.struct(F.lit(2.0).alias("order"), nothing.alias("doc_id"), nothing.alias("text_hash"))
-    plan = ratios.join(rest.withColumnRenamed("s", "r"), _same("s", "r"), "left").join(cuts, _same("s", "source"), "left")
-    cut = F.when(F.col("rest") > 0, F.coalesce("cut", everything))
-    return cut_lineage(plan.select(F.col("s").alias("plan_source"), "source_size", "target", "ratio", cut.alias("cut")))
+    opened = cut_lineage(
+        opened.withColumns({"outer": F.floor(scaled).cast("int"), "inner": F.floor((scaled - F.floor(scaled)) * pieces).cast("int")})
+    )
+
+    none, number = F.lit(None), F.lit(None).cast("double")
+    plan = rest.join(_front(opened, rest, pieces).withColumnRenamed("s", "t"), _same("s", "t")).drop("t")
+    plan = cut_lineage(plan.select("s", "rest", "cut", number.alias("fitting"), none.cast(plan.schema["cut"].dataType).alias("filled")))
+    left = cut_lineage(_left(opened, plan))
+    behind = _taken_from(opened, plan).where(~F.col("front")).select("source", *_KEY, "size", "each", "outer", "inner")
+    behind = behind.join(left, _same("source", "s")).where(F.col("each") <= F.col("left")).drop("s", "left")
+    filled = _front(behind, left.withColumnRenamed("left", "rest"), pieces).select(F.col("s").alias("t"), F.col("cut").alias("filled"))
+    plan = plan.drop("fitting", "filled").join(filled, _same("s", "t"), "left").drop("t")
+    plan = plan.join(left.withColumnRenamed("s", "t"), _same("s", "t"), "left").select("s", "rest", "cut", F.col("left").alias("fitting"), "filled")
+    plan = cut_lineage(plan)
+
+    left = cut_lineage(_left(opened, plan))
+    behind = _taken_from(opened, plan).where(~F.col("front")).join(left, _same("source", "s"))
+    off = F.abs(F.col("size") - F.col("left"))
+    edge = behind.where(off < F.col("left")).groupBy(F.col("source").alias("t")).agg(F.min_by(F.struct(*_KEY), F.struct(off.alias("off"), *_KEY)).alias("edge"))
+    plan = ratios.join(plan.withColumnRenamed("s", "r"), _same("s", "r"), "left").join(edge, _same("s", "t"), "left")
+    return cut_lineage(plan.select(F.col("s").alias("plan_source"), "source_size", "target", "ratio", "cut", "fitting", "filled", "edge"))
 
 
 def with_copies(rows, plan, most=MOST_COPIES):
     """`keyed` rows with source_size, target and copies, the number of times the mix takes the document."""
     joined = rows.join(plan, _same("source", "plan_source"))
-    extra = F.struct(_order(most).alias("order"), F.col("doc_id").cast("long").alias("doc_id"), "text_hash") <= F.col("cut")
-    more = F.coalesce(extra & _order(most).isNotNull(), F.lit(False)).cast("int")
-    return joined.withColumn("copies", (F.floor(_copies(most)) + more).cast("int")).drop("plan_source", "ratio", "cut")
+    key = F.struct(_order(most).alias("order"), F.col("doc_id").cast("long").alias("doc_id"), "text_hash")
+    fills = (F.col("size") <= F.col("fitting")) & (key <= F.col("filled"))
+    extra = F.coalesce(key <= F.col("cut"), F.lit(False)) | F.coalesce(fills, F.lit(False)) | (F.col("edge").isNotNull() & key.eqNullSafe(F.col("edge")))
+    more = (extra & _order(most).isNotNull()).cast("int")
+    return joined.withColumn("copies", (F.floor(_copies(most)) + more).cast("int")).drop("plan_source", "ratio", "cut", "fitting", "filled", "edge")
 
 
 def mix(docs, weights=WEIGHTS, most=MOST_COPIES, weight=None, seed=SEED):

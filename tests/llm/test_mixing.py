@@ -57,6 +57,18 @@ def test_small_pieces_give_the_same_sample_as_one_order(spark):
     assert plans[0] == plans[1] == plans[2]
 
 
+def test_the_last_place_goes_to_the_document_that_fits(spark):
+    """A front that ends before a long document is filled up by the document of the missing size."""
+    sizes = [100] * 8 + [5000] * 3 + list(range(1, 90, 4))
+    rows = [(i, llm_cases.sentence(i, n), "en", "a", 1) for i, n in enumerate(sizes)] + [(900 + i, llm_cases.sentence(900 + i, 2000), "en", "b", 1) for i in range(5)]
+    for seed in range(6):
+        taken, target = defaultdict(int), {}
+        for row in mixing.mix(llm_cases.frame(spark, rows), seed=seed).collect():
+            taken[row.source] += row.taken
+            target[row.source] = row.target
+        assert abs(taken["a"] - target["a"]) <= 2500 and abs(taken["b"] - target["b"]) <= 1000
+
+
 def test_weights_tilt_inclusion(spark):
     rows = [(i, llm_cases.sentence(i, 20), "en", "ab"[i % 2], 1) for i in range(400)]
     docs = llm_cases.frame(spark, rows, extra=False).selectExpr("*", "CASE WHEN doc_id % 4 < 2 THEN 3.0 ELSE 1.0 END AS w")
@@ -73,5 +85,9 @@ def test_query_is_near_its_targets_and_repeats(spark):
     assert {row.doc_id: row.size for row in rows} == {d: len(t.encode().split()) for d, t in texts.items()}
     check(rows, lambda largest: largest / 2 + 1e-6)
     assert sorted(rows) == sorted(build(spark, SF).collect())
+    taken, target = defaultdict(int), {row.source: row.target for row in rows}
+    for row in rows:
+        taken[row.source] += row.taken
+    assert all(abs(taken[source] - wanted) <= 0.01 * wanted for source, wanted in target.items()), {s: (taken[s], t) for s, t in target.items()}
     plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
