@@ -1,7 +1,5 @@
 """Cell geometry and neighbourhoods."""
 
-from math import inf
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,8 @@ from gridtide.schemas import LATTICE_WIDTH
 
 STEP_MULTIPLIER = 1.5
 NEIGHBORS = 8
+#: Levels of the quadtree, each half as wide as the one before, and how many of them count as coarse.
+LEVELS, COARSE = 24, 7
 
 
 def lattice_edges(cells, width=LATTICE_WIDTH, height=None):
@@ -80,89 +80,75 @@ def with_edge_neighbor_mean(df, edges, value, out, time="timestamp"):
     return df.join(means, ["grid_id", time], "left")
 
 
-def _in_bins(df, side, spread):
-    """Add the bin of every point; with `spread` one copy per bin of the 3 x 3 block around it."""
-    bx, by = F.floor(F.col("x") / side), F.floor(F.col("y") / side)
-    if not spread:
-        return df.withColumns({"bx": bx, "by": by})
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return (
-        df.withColumn("dx", F.explode(around))
-        .withColumn("dy", F.explode(around))
-        .withColumns({"bx": bx + F.col("dx"), "by": by + F.col("dy")})
-        .drop("dx", "dy")
-    )
+def _cells(df, levels):
+    """One row per point and level with the quadtree cell (cx, cy) of side extent / 2^level; `u`, `v` are places in the box."""
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    spread = df.withColumn("level", levels)
+    return spread.withColumns({"cx": F.floor(F.col("u") * scale), "cy": F.floor(F.col("v") * scale)})
 
 
-def _start_side(sites, limit, radius):
-    """Largest bin side at which no bin holds more than `limit` points, and the extent of the points.
+def _levels(sites, k):
+    """(grid_id, level): the finest level at which a site's cell holds more than k sites, 0 where none does.
 
-    Halving starts from the search radius, or from the mean spacing where there is none.
+    All levels are counted by one aggregate. The few cells of the coarse levels are looked up from a broadcast, so
+    that no task meets all sites; the others are shuffled by cell.
     """
-    box = sites.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.max("x") - F.min("x")).alias("w"),
-        (F.max("y") - F.min("y")).alias("h"),
-    ).first()
-    extent = max(box.w or 0.0, box.h or 0.0)
-    if box.n == 0 or extent == 0.0:
-        return 1.0, 1.0
-    side = radius or max((box.w * box.h / box.n) ** 0.5, extent / box.n) * 1.25
-    while side > extent * 1e-12:
-        crowd = _in_bins(sites, side, False).groupBy("bx", "by").count().agg(F.max("count")).first()[0]
-        if crowd <= limit:
-            break
-        side /= 2
-    return side, extent
+    cells = _cells(sites, F.explode(F.sequence(F.lit(1), F.lit(LEVELS)))).select("grid_id", "level", "cx", "cy")
+    full = cells.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).drop("n")
+    coarse = F.col("level") <= COARSE  # at most 4^COARSE * 4 / 3 cells, whatever the number of points
+    held = cells.where(coarse).join(F.broadcast(full.where(coarse)), ["level", "cx", "cy"])
+    held = held.unionByName(cells.where(~coarse).join(full.where(~coarse), ["level", "cx", "cy"]))
+    return held.groupBy("grid_id").agg(F.max("level").alias("level"))
 
 
 def nearest_cells(points, k, radius=None):
     """(grid_id, neighbor_id, distance): up to k nearest other points by (distance, id), within `radius`.
 
-    Points are (grid_id, x, y). The search starts with bins so fine that none is crowded and doubles
-    them; a point leaves as soon as k others lie within one bin side, so the points still searching at
-    a coarse level are sparse and no level pairs up a crowd. Of points that share a position only the
-    first k+1 ids can ever be a neighbour, which keeps copies from pairing up as well.
+    Points are (grid_id, x, y); `radius` may be a number or a column of a one-row subquery. One lazy plan: a quadtree is
+    counted at all levels at once, and a point searches the 5 x 5 cells around it at the finest level at which its own
+    cell holds k others, for those lie within the cell's diagonal. Its cell one level below holds no more than k
+    points, so a crowd is met by few points from outside and pairs up only among neighbours. With a radius no point
+    searches cells larger than half of it needs. Of points that share a position only the first k+1 ids can ever be a
+    neighbour, which keeps copies from pairing up as well.
     """
     points = points.select("grid_id", F.col("x").cast("double"), F.col("y").cast("double"))
-    copy = Window.partitionBy("x", "y").orderBy("grid_id")
-    sites = cut_lineage(points.withColumn("copy", F.row_number().over(copy)).where(F.col("copy") <= k + 1))
-    full = sites.where(F.col("copy") == k + 1).select("x", "y")
-    heads = sites.join(full, ["x", "y"], "left_semi").select(
-        "x", "y", F.col("grid_id").alias("neighbor_id"), F.col("copy").alias("place")
-    )
-    crowded = points.join(full, ["x", "y"], "left_semi").join(heads, ["x", "y"])
+    box = points.agg(
+        F.struct(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side")).alias("b")
+    ).scalar()
+    extent = F.when(F.col("box.side") > 0, F.col("box.side")).otherwise(1.0)
+    place = {"u": (F.col("x") - F.col("box.x0")) / extent, "v": (F.col("y") - F.col("box.y0")) / extent}
+    spot = Window.partitionBy("x", "y")
+    numbered = points.withColumns({"copy": F.row_number().over(spot.orderBy("grid_id")), "box": box}).withColumns(place)
+    # A position with more than k points answers its own points; it is recognised by its copy number k + 1.
+    several = F.max("copy").over(spot.orderBy("grid_id").rowsBetween(Window.currentRow, k)) > k
+    numbered = numbered.withColumn("crowded", F.max(several & (F.col("copy") == 1)).over(spot.orderBy("grid_id").rowsBetween(Window.unboundedPreceding, 0)))
+    sites = numbered.where(F.col("copy") <= k + 1)
+    heads = sites.where("crowded").select("x", "y", F.col("grid_id").alias("neighbor_id"), F.col("copy").alias("place"))
+    crowded = numbered.where("crowded").select("grid_id", "x", "y").join(heads, ["x", "y"])
     crowded = crowded.where(F.col("grid_id") != F.col("neighbor_id"))
     first_k = Window.partitionBy("grid_id").orderBy("place")
     found = crowded.withColumn("rank", F.row_number().over(first_k)).where(F.col("rank") <= k)
     found = found.select("grid_id", "neighbor_id", F.lit(0.0).alias("distance"))
 
-    searching = points.join(full, ["x", "y"], "left_anti")
-    side, extent = _start_side(sites, max(64, 4 * (k + 1)), radius)
-    limit = inf if radius is None else float(radius)
-    others = sites.select(F.col("grid_id").alias("neighbor_id"), F.col("x").alias("nx"), F.col("y").alias("ny"),
-                          F.col("x"), F.col("y"))
+    searching = sites.where(~F.col("crowded")).join(_levels(sites, k), "grid_id", "left")
+    level = F.coalesce(F.col("level"), F.lit(0))
+    if radius is not None:
+        radius = F.lit(radius)
+        needed = F.floor(F.log2(F.col("box.side") / (radius * 0.5000001)))
+        level = F.greatest(level, F.least(needed, F.lit(LEVELS)))
+    around = F.array([F.lit(step) for step in range(-2, 3)])
+    probes = _cells(searching, level.cast("int")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    probes = probes.select("grid_id", "x", "y", "level", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    others = _cells(sites, F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    others = others.select(F.col("grid_id").alias("neighbor_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), "level", "cx", "cy")
+    pairs = probes.join(others, ["level", "cx", "cy"]).where(F.col("grid_id") != F.col("neighbor_id"))
+    distance = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
+    pairs = pairs.select("grid_id", "neighbor_id", distance.alias("distance"))
+    if radius is not None:
+        pairs = pairs.where(F.col("distance") <= radius)
     nearest = Window.partitionBy("grid_id").orderBy("distance", "neighbor_id")
-    while True:
-        side = min(side, limit)
-        last = side >= limit or side > 2 * extent
-        reach = side if radius is None else min(side, limit)
-        binned = _in_bins(others, side, False).drop("x", "y")
-        pairs = _in_bins(searching, side, True).join(binned, ["bx", "by"])
-        pairs = pairs.where(F.col("grid_id") != F.col("neighbor_id")).withColumn(
-            "distance", F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
-        )
-        kept = pairs.where(F.col("distance") <= reach).withColumn("rank", F.row_number().over(nearest))
-        kept = kept.where(F.col("rank") <= k).select("grid_id", "neighbor_id", "distance", "rank")
-        if last:
-            return found.unionByName(kept.drop("rank"))
-        kept = cut_lineage(kept)
-        done = kept.where(F.col("rank") == k).select("grid_id")
-        found = found.unionByName(kept.join(done, "grid_id", "left_semi").drop("rank"))
-        searching = cut_lineage(searching.join(done, "grid_id", "left_anti"))
-        if searching.isEmpty():
-            return found
-        side *= 2
+    ranked = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return found.unionByName(ranked.drop("rank"))
 
 
 def as_points(centroids):
@@ -178,12 +164,14 @@ def nearest_distances(points):
 
 def grid_step(points):
     """One row (value): the median nearest-neighbour distance."""
-    return exact_median(nearest_distances(points), "distance")
+    return exact_median(cut_lineage(nearest_distances(points)), "distance")
 
 
 def distance_edges(points, k=NEIGHBORS, multiplier=STEP_MULTIPLIER):
-    """Neighbour pairs within `multiplier` grid steps, at most k per cell by (distance, id)."""
-    step = grid_step(points).first()
-    if step is None or step["value"] is None:
-        return nearest_cells(points.limit(0), k)
-    return nearest_cells(points, k, radius=step["value"] * multiplier)
+    """Neighbour pairs within `multiplier` grid steps, at most k per cell by (distance, id).
+
+    The k nearest are searched and stored once; the grid step is the median of each cell's smallest distance among them.
+    """
+    near = cut_lineage(nearest_cells(points, k))
+    step = exact_median(near.groupBy("grid_id").agg(F.min("distance").alias("distance")), "distance").scalar()
+    return near.where(F.col("distance") <= step * multiplier)

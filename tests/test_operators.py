@@ -412,3 +412,19 @@ def test_schema_guards(spark):
 
 def test_partition_count(spark):
     assert quality.partition_count(spark.range(100).repartition(5)).first().partitions == 5
+
+
+def test_distance_edges_take_a_fixed_number_of_jobs(spark):
+    """The quadtree is counted at once, so a wide range of spacings costs no further jobs."""
+    import random
+
+    jobs = []
+    for seed, spread in ((1, [1.0]), (2, [1e-5, 1e-3, 0.1, 10.0, 1e3])):
+        draw = random.Random(seed)
+        rows = [(i, draw.random() * spread[i % len(spread)], draw.random() * spread[i % len(spread)]) for i in range(300)]
+        df = spark.createDataFrame(rows, "grid_id long, x double, y double")
+        spark.sparkContext.setJobGroup(f"edges{seed}", "edges")
+        spatial.distance_edges(df)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"edges{seed}")))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert max(jobs) <= 20 and abs(jobs[0] - jobs[1]) <= 3
