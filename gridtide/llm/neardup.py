@@ -291,16 +291,17 @@ def exact_candidates(texts, percent):
     rows = rows.withColumn("band", band.cast("int"))
     small = rows.where("leads").drop("leads").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     large = rows.select("shingle", "band", *[F.col(name).alias(f"{name}_b") for name in ("id", "label", "n", "place")])
-    # Components meet first, and then only their documents: those of one component never meet each other.
-    meet = small.select("shingle", "band", "label").distinct().join(large.select("shingle", "band", "label_b").distinct(), ["shingle", "band"])
-    meet = meet.where("label <> label_b")
-    # With the first common shingle at these places, no more than this can be common.
+    # What can be common depends on sizes and places alone: profiles of components meet first, and the documents of
+    # those that can be similar after them. Documents of one component never meet each other.
+    mine, theirs = ["label", "n", "place"], ["label_b", "n_b", "place_b"]
     most = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
-    pairs = small.join(meet, ["shingle", "band", "label"]).join(large, ["shingle", "band", "label_b"]).where(
-        ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") < F.col("id_b"))))
+    meet = small.select("shingle", "band", *mine).distinct().join(large.select("shingle", "band", *theirs).distinct(), ["shingle", "band"]).where(
+        (F.col("label") != F.col("label_b"))
+        & (F.col("n") <= F.col("n_b"))
         & (100 * F.col("n") >= percent * F.col("n_b"))
         & (most * (100 + percent) >= percent * (F.col("n") + F.col("n_b")))
     )
+    pairs = small.join(meet, ["shingle", "band", *mine]).join(large, ["shingle", "band", *theirs])
     return pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct()
 
 
