@@ -70,7 +70,7 @@ BYTE_LETTERS = _byte_letters()
 #: Chunks of up to this many bytes are hashed together; the few longer ones one by one.
 LONGEST = 64
 #: Bytes of text that are split and hashed in one step.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15  # any odd number: its powers can be taken back
 _SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _LETTERS = np.random.default_rng(11).integers(0, 1 << 63, size=256, dtype=np.uint64)
@@ -139,7 +139,7 @@ class ChunkEncoder:
     # Fixed value: the word pattern of the vocabulary's own splitter.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path, most=1_500_000, most_words=200_000):
+    def __init__(self, path, most=500_000, most_words=60_000):
         self.tokenizer, self.most, self.most_words = _tokenizer(path), most, most_words
         self.model = self.tokenizer.model
         self.clear()
