@@ -90,9 +90,15 @@ FEATURE_INPUTS = ("grid_id", "timestamp", "hour", "call_in", "call_out", "intern
 
 
 def drop_features(hourly, width=LATTICE_WIDTH):
-    """Feature table of the drop detector, with target_drop; rows before a full history keep NULLs."""
-    narrow = hourly.select(*FEATURE_INPUTS)
-    spatial = with_lattice_neighbor_mean(narrow, "total_activity", "neighbor_avg_activity", width)
+    """Feature table of the drop detector, with target_drop; rows before a full history keep NULLs.
+
+    A table from `stored_series` carries the neighbour mean; over it nothing is shuffled.
+    """
+    if "neighbor_avg_activity" in hourly.columns:
+        spatial = hourly.select(*FEATURE_INPUTS, "neighbor_avg_activity")
+    else:
+        narrow = hourly.select(*FEATURE_INPUTS)
+        spatial = with_lattice_neighbor_mean(narrow, "total_activity", "neighbor_avg_activity", width)
     return lattice_features(clock_features(with_drop_label(trailing_features(spatial))), width).select(
         "grid_id", "timestamp", *DROP_FEATURES, "target_drop"
     )

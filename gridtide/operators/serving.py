@@ -231,16 +231,26 @@ def cell_features(features, grid_id, as_of=None, now=None, low=MIN_GRID, high=MA
     return with_freshness(missing_features(row), clock)
 
 
-def pipeline_health(fact, times, features, alerts):
-    """One row: latest time per layer, status and lag verdict."""
-    last_key = fact.agg(F.max("time_key")).scalar()
-    raw = times.where(F.col("time_key") == last_key).agg(F.max("timestamp").alias("latest_raw_activity"))
-    seen = raw.withColumns(
-        {
-            "latest_features_computed": features.agg(F.max("timestamp")).scalar(),
-            "latest_rule_alerts": alerts.agg(F.max("timestamp")).scalar(),
-        }
-    )
+#: Layers that leave a high-water mark, and the column of the health row that it goes to.
+MARKED_LAYERS = {
+    "activity": "latest_raw_activity",
+    "features": "latest_features_computed",
+    "alerts": "latest_rule_alerts",
+}
+
+
+def layer_mark(layer, df):
+    """One row with the latest time of a layer, for layers whose writes have left no mark."""
+    return df.agg(F.max("timestamp").alias("latest")).select(F.lit(layer).alias("layer"), "latest")
+
+
+def pipeline_health(marks):
+    """One row: latest time per layer, status and lag verdict, from high-water marks (layer, latest).
+
+    Runs store one mark per layer as they write it, so no layer is read, however large it is.
+    """
+    latest = {column: F.max(F.when(F.col("layer") == layer, F.col("latest"))) for layer, column in MARKED_LAYERS.items()}
+    seen = marks.agg(*[value.alias(column) for column, value in latest.items()])
     ready = F.col("latest_features_computed").isNotNull()
     synced = F.coalesce(F.col("latest_features_computed") >= F.col("latest_raw_activity"), F.lit(False))
     return seen.withColumns(

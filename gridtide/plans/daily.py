@@ -23,7 +23,7 @@ from gridtide.operators.warehouse import (
 )
 from gridtide.sources.geojson import centroids, grid_reference, read_features
 from gridtide.schemas import CLEAN_COLUMNS, HOURLY_COLUMNS, RAW_COLUMNS, require_columns
-from gridtide.sources.sinks import STATUS, append_ledger, append_status, counted_table, require_status, stored_table, taken, write_single_csv, write_table
+from gridtide.sources.sinks import STATUS, append_ledger, append_mark, append_status, counted_table, mark_counts, require_status, stored_table, taken, write_single_csv, write_table
 from gridtide.sources.usage import TIME_PATTERN, read_table
 from gridtide.streaming.intake import accepted_batches, run_intake, stored_or_empty
 
@@ -53,12 +53,15 @@ def gated_layers(usage, reference, store, scale=None):
     if not flow or flow["rows_out"] != counted["rows"]:
         flow = cleaned.report.first().asDict()
     counts = {"flow": flow, "clean": counted}
-    hourly, counts["hourly"] = store("hourly", hourly_by_calendar(clean, scale), "date", wanted["hourly"])
+    newest = mark_counts()[:1]
+    hourly, counts["hourly"] = store("hourly", hourly_by_calendar(clean, scale), "date", [*wanted["hourly"], *newest])
+    latest = counts["hourly"].pop("latest_micros")
     require_columns(clean, CLEAN_COLUMNS)
     require_columns(hourly, HOURLY_COLUMNS)
     # The enriched rows are joined once; the run is published by its status row, after the gate.
     enriched, counts["enriched"] = store("analytics", with_geometry(hourly, reference), "date", wanted["enriched"])
-    return Layers(clean, hourly, enriched, gate_of_counts(usage.sparkSession, counts), counts)
+    rules = gate_of_counts(usage.sparkSession, counts)
+    return Layers(clean, hourly, enriched, rules, counts | {"mark": {"latest_micros": latest, "rows": counts["hourly"]["rows"]}})
 
 
 def run_processing(spark, usage, reference, out, run_id):
@@ -79,6 +82,7 @@ def run_processing(spark, usage, reference, out, run_id):
     except Exception as error:
         append_status(spark, f"{out}/status", PROCESSING, "FAILURE", str(error), run_id=run_id, **counts)
         raise
+    append_mark(spark, f"{out}/marks", run_id, "activity", layers.counts["mark"])
     append_status(spark, f"{out}/status", PROCESSING, "SUCCESS", None, run_id=run_id, **counts)
     return base
 

@@ -229,8 +229,9 @@ def cell_features_latest(t):
     "true AS is_synchronized, 'Features and alerts are synchronized with raw activity.' AS freshness_assessment"
 )
 def pipeline_health(t):
-    table = t.hourly("zone")
-    return serving.pipeline_health(t.fact("zone"), t.times("zone"), table, zone_alerts(t))
+    layers = {"activity": t.hourly("zone"), "features": zone_features(t), "alerts": zone_alerts(t)}
+    activity, features, alerts = (serving.layer_mark(name, table) for name, table in layers.items())
+    return serving.pipeline_health(activity.unionByName(features).unionByName(alerts))
 
 
 @query(

@@ -5,18 +5,21 @@ from pyspark.sql import functions as F
 from gridtide.operators import features as feats
 from gridtide.operators import metrics, models
 from gridtide.schemas import DROP_FEATURES, FORECAST_FEATURES, LATTICE_WIDTH
-from gridtide.sources.sinks import write_table
+from gridtide.sources.sinks import append_mark, counted_table, mark_counts, write_table
 
 TARGET_PRECISION = 0.65
 
 
-def train_drop_detector(spark, hourly, out, kind="boosted", width=LATTICE_WIDTH, **options):
+def train_drop_detector(spark, hourly, out, kind="boosted", width=LATTICE_WIDTH, marks=None, run_id=None, **options):
     """Build features, train on the earlier 80 % of hours, tune the threshold, report and store.
 
-    Features are stored once and read back, so training never recomputes the windows.
+    Features are stored once and read back, so training never recomputes the windows. With a path of `marks` the
+    latest feature row is noted there, as the write has seen it.
     """
-    write_table(feats.drop_features(hourly, width), f"{out}/grid_features")
-    rows = feats.drop_training_rows(spark.read.parquet(f"{out}/grid_features"))
+    stored, counts = counted_table(feats.drop_features(hourly, width), f"{out}/grid_features", mark_counts())
+    if marks:
+        append_mark(spark, marks, run_id, "features", counts)
+    rows = feats.drop_training_rows(stored)
     train, test = feats.chronological_split(rows)
     model = models.train_drop_classifier(train, kind, **options)
     write_table(models.drop_scores(model, test), f"{out}/test_scores")

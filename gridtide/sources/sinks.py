@@ -70,6 +70,18 @@ def write_by_cell(df, path, files=8):
     ranged.write.mode("overwrite").parquet(path)
 
 
+def stored_series(df, table, path, buckets):
+    """Overwrite a table of hourly rows bucketed by cell and sorted by cell and time, and read it back.
+
+    Windows and groupings by cell, alone or with further keys, and joins by cell then read each bucket in its own task
+    without a shuffle. A cell has one row per hour, so buckets stay even. Rows are brought together once, here, into one
+    file per bucket.
+    """
+    placed = df.repartition(buckets, "grid_id").write.mode("overwrite").option("path", path)
+    placed.bucketBy(buckets, "grid_id").sortBy("grid_id", "timestamp").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_single_csv(df, path, max_rows):
     """One CSV file with header; raises when the frame has more rows than its caller expects."""
     if df.limit(max_rows + 1).count() > max_rows:
@@ -81,9 +93,11 @@ def write_jdbc(df, url, table, properties=None):
     df.write.mode("overwrite").jdbc(url, table, properties=properties or {})
 
 
-def write_alerts(alerts, path, fmt="csv"):
-    """Export alerts in time order as CSV with header or as JSON records."""
+def write_alerts(alerts, path, fmt="csv", observation=None):
+    """Export alerts in time order as CSV with header or as JSON records; an observation takes their mark behind the sort."""
     ordered = alerts.orderBy("timestamp", "grid_id", "alert_type")
+    if observation is not None:
+        ordered = ordered.observe(observation, *mark_counts())
     if fmt == "csv":
         ordered.write.mode("overwrite").option("header", True).csv(path)
     elif fmt == "json":
@@ -121,14 +135,14 @@ def alert_summary(alerts, hourly, floor, multipliers, percentile):
     )
 
 
-def write_bundle(spark, alerts, hourly, floor, path, multipliers, percentile, generated_at, fmt="json"):
+def write_bundle(spark, alerts, hourly, floor, path, multipliers, percentile, generated_at, fmt="json", observation=None):
     """Write alerts, summary, limitations text and a manifest below one folder.
 
     The summary is computed from the alerts as written, so the detector runs once.
     """
     names = {"alerts": f"network_alerts.{fmt}", "summary": "alert_summary.json",
              "limitations": "baseline_limitations.md", "manifest": "manifest.json"}
-    write_alerts(alerts, f"{path}/{names['alerts']}", fmt)
+    write_alerts(alerts, f"{path}/{names['alerts']}", fmt, observation)
     stored = spark.read.schema(alerts.schema)
     stored = stored.option("header", True).csv if fmt == "csv" else stored.json
     summary = alert_summary(stored(f"{path}/{names['alerts']}"), hourly, floor, multipliers, percentile)
@@ -203,6 +217,21 @@ def append_ledger(spark, path, run_id, batches):
     rows.coalesce(1).write.mode("append").parquet(path)
 
 
+MARKS = "run_id string, layer string, latest timestamp, rows long"
+
+
+def mark_counts():
+    """What a write observes for the high-water mark of its layer."""
+    return [F.max(F.unix_micros("timestamp")).alias("latest_micros"), F.count(F.lit(1)).alias("rows")]
+
+
+def append_mark(spark, path, run_id, layer, counts):
+    """Append the high-water mark of a layer, from the counts that its write has observed; no rows leave no mark."""
+    if counts.get("rows"):
+        row = spark.createDataFrame([(run_id, layer, int(counts["latest_micros"]), int(counts["rows"]))], "run_id string, layer string, m long, rows long")
+        row.select("run_id", "layer", F.timestamp_micros("m").alias("latest"), "rows").coalesce(1).write.mode("append").parquet(path)
+
+
 def latest_status(spark, path, stage):
     """Newest status row of a stage, None when it never ran."""
     rows = spark.read.schema(STATUS).parquet(path).where(F.col("stage") == stage)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridtide.operators import alerts, enrich, features, hourly
+from gridtide.operators import alerts, enrich, features, hourly, serving, spatial
 from gridtide.plans import catalog
 from gridtide.plans.binding import Tables
 from gridtide.sources import sinks, usage
@@ -50,6 +50,44 @@ def test_neighbor_mean_and_features_need_two_shuffles(spark, stored):
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
 
 
+def test_series_stored_by_cell_need_no_shuffle(spark, stored, tmp_path):
+    table = spatial.with_lattice_neighbor_mean(spark.read.parquet(stored), "total_activity", "neighbor_avg_activity", 10)
+    kept = sinks.stored_series(table, "hourly_by_cell", str(tmp_path / "series"), 4)
+    try:
+        by_cell, direct = features.drop_features(kept, 10), features.drop_features(spark.read.parquet(stored), 10)
+        assert "Exchange" not in plan_of(by_cell)
+        assert "Exchange" not in plan_of(hourly.with_daily_activity(kept.drop("daily_activity")))
+        totals = kept.groupBy("grid_id").agg(F.sum("total_activity").alias("cell_total")).hint("merge")
+        assert "Exchange" not in plan_of(features.trailing_features(kept).join(totals, "grid_id"))
+        assert by_cell.count() == direct.count() and by_cell.exceptAll(direct).isEmpty()
+    finally:
+        spark.sql("DROP TABLE hourly_by_cell")
+
+
+def test_health_from_marks_reads_no_layer(spark, tmp_path):
+    path = str(tmp_path / "marks")
+    noon = 1_704_110_400_000_000
+    for run, layer, micros, rows in (("a", "activity", noon, 5), ("a", "features", noon - 1, 5), ("b", "alerts", 0, 0)):
+        sinks.append_mark(spark, path, run, layer, {"latest_micros": micros, "rows": rows})
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    health = serving.pipeline_health(spark.read.schema(sinks.MARKS).parquet(path))
+    assert len(tracker.getJobIdsForGroup()) == before
+    row = health.first()
+    assert (row.pipeline_status, row.is_synchronized, row.latest_rule_alerts) == ("HEALTHY", False, None)
+    sinks.append_mark(spark, path, "b", "features", {"latest_micros": noon, "rows": 1})
+    again = serving.pipeline_health(spark.read.schema(sinks.MARKS).parquet(path)).first()
+    assert again.is_synchronized and str(again.latest_raw_activity) == "2024-01-01 12:00:00"
+
+
+def test_health_of_unmarked_layers_builds_without_jobs(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    catalog.load()[0]["pipeline_health"](spark, FOLDER)
+    # Opening a Parquet file reads its footer in a small job, once for each of the three layers; nothing else runs.
+    assert len(tracker.getJobIdsForGroup()) <= before + 3
+
+
 def test_dimension_join_is_broadcast_only_when_small(spark, stored):
     table, reference = spark.read.parquet(stored), Tables(spark, FOLDER).geometry()
     assert "BroadcastHashJoin" in plan_of(enrich.with_geometry(table, reference))

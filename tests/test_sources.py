@@ -149,7 +149,10 @@ def test_daily_run_publishes_tables_and_status(spark, tmp_path, usage_files, gri
     warehouse = run_daily(spark, rows, grid_file, out, "run1")
     assert published_run(spark, out) == "run1"
     assert sinks.latest_status(spark, f"{out}/status", "processing")["counts"]["rows_published"] == 96
+    mark = spark.read.parquet(f"{out}/marks").first()
     analytics = spark.read.parquet(f"{out}/run1/analytics")
+    assert (mark.run_id, mark.layer, mark.rows) == ("run1", "activity", 96)
+    assert mark.latest == analytics.agg(F.max("timestamp")).first()[0]
     assert set(analytics.columns) == {*HOURLY_COLUMNS, "geometry"} and analytics.count() == 96
     facts = spark.read.parquet(f"{warehouse}/fact_network_activity")
     assert facts.count() == 96 and "geometry" not in facts.columns
@@ -299,7 +302,8 @@ def test_detection_bundle(spark, tmp_path, usage_files):
     sinks.write_table(hourly, stored)
     hourly = spark.read.parquet(stored)
     for fmt in ("json", "csv"):
-        files = run_detection(spark, hourly, str(tmp_path / f"bundle_{fmt}"), "2024-01-01T00:00:00", fmt)
+        marks = str(tmp_path / f"marks_{fmt}")
+        files = run_detection(spark, hourly, str(tmp_path / f"bundle_{fmt}"), "2024-01-01T00:00:00", fmt, marks=marks, run_id="r")
         manifest = json.loads(spark.read.text(files["manifest"]).first().value)
         assert manifest["schema_version"] == "1.0" and manifest["total_grid_hours"] == 96
         assert manifest["files"]["alerts"] == f"network_alerts.{fmt}"
@@ -308,6 +312,8 @@ def test_detection_bundle(spark, tmp_path, usage_files):
         assert sum(summary.alerts_by_type.asDict().values()) == summary.total_alert_records
         assert spark.read.text(files["limitations"]).count() > 3
     alerts = usage.read_alerts(spark, str(tmp_path / "bundle_json" / "network_alerts.json"))
+    mark = spark.read.parquet(str(tmp_path / "marks_json")).first()
+    assert (mark.layer, mark.rows, mark.latest) == ("alerts", alerts.count(), alerts.agg(F.max("timestamp")).first()[0])
     assert alerts.count() == manifest["total_alerts"] and dict(alerts.dtypes)["timestamp"] == "timestamp"
     with pytest.raises(ValueError, match="unsupported format"):
         sinks.write_alerts(alerts, str(tmp_path / "x"), "xml")
