@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridtide.operators import features as feats
 from gridtide.operators import metrics, models
 from gridtide.schemas import DROP_FEATURES, FORECAST_FEATURES, LATTICE_WIDTH
-from gridtide.sources.sinks import append_mark, counted_table, mark_counts, write_table
+from gridtide.sources.sinks import append_mark, mark_counts, stored_table, write_table
 
 TARGET_PRECISION = 0.65
 
@@ -14,11 +14,11 @@ def train_drop_detector(spark, hourly, out, kind="boosted", width=LATTICE_WIDTH,
     """Build features, train on the earlier 80 % of hours, tune the threshold, report and store.
 
     Features are stored once and read back, so training never recomputes the windows. With a path of `marks` the
-    latest feature row is noted there, as the write has seen it.
+    latest feature row is noted there, from one column of the stored table.
     """
-    stored, counts = counted_table(feats.drop_features(hourly, width), f"{out}/grid_features", mark_counts())
+    stored = stored_table(feats.drop_features(hourly, width), f"{out}/grid_features")
     if marks:
-        append_mark(spark, marks, run_id, "features", counts)
+        append_mark(spark, marks, run_id, "features", stored.agg(*mark_counts()).first().asDict())
     rows = feats.drop_training_rows(stored)
     train, test = feats.chronological_split(rows)
     model = models.train_drop_classifier(train, kind, **options)
