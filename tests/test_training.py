@@ -31,7 +31,10 @@ def hourly(spark, tmp_path_factory):
 
 @pytest.mark.parametrize(("kind", "options"), [("boosted", {"maxIter": 5, "maxDepth": 3}), ("forest", {"numTrees": 10, "maxDepth": 4})])
 def test_detector_finds_the_planted_drop(spark, hourly, tmp_path, kind, options):
-    model, threshold = train_drop_detector(spark, hourly, str(tmp_path), kind, width=4, **options)
+    marks = f"{tmp_path}/marks"
+    model, threshold = train_drop_detector(spark, hourly, str(tmp_path), kind, width=4, marks=marks, run_id="r", **options)
+    mark = spark.read.parquet(marks).first()
+    assert (mark.layer, mark.latest, mark.rows) == ("features", hourly.agg(F.max("timestamp")).first()[0], hourly.count())
     assert spark.read.parquet(f"{tmp_path}/roc_auc").first().roc_auc > 0.9
     report = {r["class"]: r for r in spark.read.parquet(f"{tmp_path}/report").collect()}
     assert report["1"].precision >= 0.65
