@@ -18,6 +18,8 @@ from gridtide.schemas import DROP_FEATURES, FORECAST_FEATURES
 
 SEED = 42
 CLUSTERS = 8
+#: Gains of a split below this are rounding: residuals that are all equal have no variance.
+NO_GAIN = 1e-9
 
 
 def _assembler(columns):
@@ -40,10 +42,17 @@ def cluster_cells(hourly, train_dates=None, k=CLUSTERS, seed=SEED, starts=10):
     return best.transform(shapes).select("grid_id", "cell_cluster")
 
 
+def _class_sizes(df, label):
+    counts = imbalance(df, label).first()
+    return counts["negatives"] or 0, counts["positives"] or 0
+
+
 def with_class_weight(df, label, balanced=True):
     """Add row_weight: n / (2 n_class) when balanced, else the class ratio on positives and 1 elsewhere."""
-    counts = imbalance(df, label).first()
-    negatives, positives = counts["negatives"] or 0, counts["positives"] or 0
+    return _with_weight(df, label, balanced, *_class_sizes(df, label))
+
+
+def _with_weight(df, label, balanced, negatives, positives):
     if not negatives or not positives:
         raise ValueError("both classes must be present")
     total = negatives + positives
@@ -53,7 +62,11 @@ def with_class_weight(df, label, balanced=True):
 
 
 def train_drop_classifier(train, kind="boosted", features=DROP_FEATURES, label="target_drop", seed=SEED, **options):
-    """Fit the drop detector: a balanced random forest or boosted trees with weighted positives."""
+    """Fit the drop detector: a balanced random forest or boosted trees with weighted positives.
+
+    Rows of one class only, as of busy cells without any drop, have nothing to balance: they weigh 1 each, and the
+    model is sure of their class for every row and splits on no feature.
+    """
     if kind == "forest":
         settings = {"numTrees": 100, "maxDepth": 10, **options}
         learner = RandomForestClassifier(seed=seed, **settings)
@@ -64,7 +77,12 @@ def train_drop_classifier(train, kind="boosted", features=DROP_FEATURES, label="
         raise ValueError("kind must be 'forest' or 'boosted'")
     learner = learner.setFeaturesCol("features").setLabelCol(label).setWeightCol("row_weight")
     train = cut_lineage(train.select(*features, label))  # class weights and every tree read the stored features
-    weighted = with_class_weight(train, label, balanced=kind == "forest")
+    negatives, positives = _class_sizes(train, label)
+    if bool(negatives) != bool(positives):
+        weighted = train.withColumn("row_weight", F.lit(1.0))
+        learner.setMinInfoGain(NO_GAIN)
+    else:
+        weighted = _with_weight(train, label, kind == "forest", negatives, positives)
     return Pipeline(stages=[_assembler(features), learner]).fit(weighted)
 
 

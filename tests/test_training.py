@@ -55,6 +55,24 @@ def test_single_class_cannot_be_weighted(spark):
         models.train_drop_classifier(spark.createDataFrame([(0,), (1,)], "target_drop int"), "other")
 
 
+def one_class(spark, label):
+    """Forty rows of every feature that share their label."""
+    values = [(F.pmod(F.xxhash64("id", F.lit(name)), F.lit(100)) / 100.0).alias(name) for name in DROP_FEATURES]
+    return spark.range(40).select(*values, F.lit(label).alias("target_drop"))
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_importance_without_a_second_class(spark, label):
+    model = models.train_drop_classifier(one_class(spark, label), maxIter=3, maxDepth=2)
+    found = models.feature_importance(spark, model, DROP_FEATURES).collect()
+    assert {(r.feature, r.importance) for r in found} == {(name, 0.0) for name in DROP_FEATURES}
+
+
+def test_no_rows_cannot_be_trained_on(spark):
+    with pytest.raises(ValueError, match="both classes"):
+        models.train_drop_classifier(one_class(spark, 0).limit(0))
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 3 + [(1,)], "y int")
     assert {r.y: r.row_weight for r in models.with_class_weight(df, "y").collect()} == {0: 4 / 6, 1: 2.0}
