@@ -68,6 +68,13 @@ def test_importance_without_a_second_class(spark, label):
     assert {(r.feature, r.importance) for r in found} == {(name, 0.0) for name in DROP_FEATURES}
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_scores_without_a_second_class(spark, label):
+    rows = one_class(spark, label)
+    model = models.train_drop_classifier(rows, maxIter=3, maxDepth=2)
+    assert all((r.drop_probability > 0.5) == bool(label) for r in models.drop_scores(model, rows).collect())
+
+
 def test_no_rows_cannot_be_trained_on(spark):
     with pytest.raises(ValueError, match="both classes"):
         models.train_drop_classifier(one_class(spark, 0).limit(0))
