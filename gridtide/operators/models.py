@@ -83,7 +83,10 @@ def train_drop_classifier(train, kind="boosted", features=DROP_FEATURES, label="
         learner.setMinInfoGain(NO_GAIN)
     else:
         weighted = _with_weight(train, label, kind == "forest", negatives, positives)
-    return Pipeline(stages=[_assembler(features), learner]).fit(weighted)
+    weighted = weighted.withMetadata(label, {"ml_attr": {"type": "binary", "name": label}})  # two classes even where one is missing
+    # A copy carries no training summary. That of a forest holds the session, which cannot be sent to tasks any more
+    # once something in it was observed, so the scores could not be written.
+    return Pipeline(stages=[_assembler(features), learner]).fit(weighted).copy()
 
 
 def drop_scores(model, features):
