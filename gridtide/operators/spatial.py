@@ -87,6 +87,11 @@ def _cells(df, levels):
     return spread.withColumns({"cx": F.floor(F.col("u") * scale), "cy": F.floor(F.col("v") * scale)})
 
 
+def _shuffled(df):
+    """Never broadcast in the next join: the planner takes rows multiplied by levels for as small as the file they come from."""
+    return df.hint("merge")
+
+
 def _levels(sites, k):
     """(grid_id, level): the finest level at which a site's cell holds more than k sites, 0 where none does.
 
@@ -97,7 +102,7 @@ def _levels(sites, k):
     full = cells.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).drop("n")
     coarse = F.col("level") <= COARSE  # at most 4^COARSE * 4 / 3 cells, whatever the number of points
     held = cells.where(coarse).join(F.broadcast(full.where(coarse)), ["level", "cx", "cy"])
-    held = held.unionByName(cells.where(~coarse).join(full.where(~coarse), ["level", "cx", "cy"]))
+    held = held.unionByName(cells.where(~coarse).join(_shuffled(full.where(~coarse)), ["level", "cx", "cy"]))
     return held.groupBy("grid_id").agg(F.max("level").alias("level"))
 
 
@@ -124,13 +129,13 @@ def nearest_cells(points, k, radius=None):
     numbered = numbered.withColumn("crowded", F.max(several & (F.col("copy") == 1)).over(spot.orderBy("grid_id").rowsBetween(Window.unboundedPreceding, 0)))
     sites = numbered.where(F.col("copy") <= k + 1)
     heads = sites.where("crowded").select("x", "y", F.col("grid_id").alias("neighbor_id"), F.col("copy").alias("place"))
-    crowded = numbered.where("crowded").select("grid_id", "x", "y").join(heads, ["x", "y"])
+    crowded = numbered.where("crowded").select("grid_id", "x", "y").join(_shuffled(heads), ["x", "y"])
     crowded = crowded.where(F.col("grid_id") != F.col("neighbor_id"))
     first_k = Window.partitionBy("grid_id").orderBy("place")
     found = crowded.withColumn("rank", F.row_number().over(first_k)).where(F.col("rank") <= k)
     found = found.select("grid_id", "neighbor_id", F.lit(0.0).alias("distance"))
 
-    searching = sites.where(~F.col("crowded")).join(_levels(sites, k), "grid_id", "left")
+    searching = sites.where(~F.col("crowded")).join(_shuffled(_levels(sites, k)), "grid_id", "left")
     level = F.coalesce(F.col("level"), F.lit(0))
     if radius is not None:
         radius = F.lit(radius)
@@ -141,7 +146,7 @@ def nearest_cells(points, k, radius=None):
     probes = probes.select("grid_id", "x", "y", "level", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
     others = _cells(sites, F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
     others = others.select(F.col("grid_id").alias("neighbor_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), "level", "cx", "cy")
-    pairs = probes.join(others, ["level", "cx", "cy"]).where(F.col("grid_id") != F.col("neighbor_id"))
+    pairs = probes.join(_shuffled(others), ["level", "cx", "cy"]).where(F.col("grid_id") != F.col("neighbor_id"))
     distance = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
     pairs = pairs.select("grid_id", "neighbor_id", distance.alias("distance"))
     if radius is not None:

@@ -101,3 +101,9 @@ def test_no_query_leaves_the_jvm_or_multiplies_rows(spark):
         for node in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct"):
             assert node not in plan, f"{name}: {node}"
         assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_neighbour_search_broadcasts_only_the_coarse_cells(spark):
+    points = Tables(spark, FOLDER).points()
+    for plan in (plan_of(spatial.nearest_cells(points, 8)), plan_of(spatial.nearest_cells(points, 8, 1.0))):
+        assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 4
