@@ -107,3 +107,9 @@ def test_neighbour_search_broadcasts_only_the_coarse_cells(spark):
     points = Tables(spark, FOLDER).points()
     for plan in (plan_of(spatial.nearest_cells(points, 8)), plan_of(spatial.nearest_cells(points, 8, 1.0))):
         assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 4
+
+
+def test_grid_step_sends_no_multiplied_points_to_the_driver(spark, tmp_path):
+    Tables(spark, FOLDER).points().write.parquet(f"{tmp_path}/points")
+    plan = plan_of(spatial.nearest_distances(spark.read.parquet(f"{tmp_path}/points")))
+    assert plan.count("BroadcastExchange") == 1
