@@ -76,6 +76,17 @@ def test_scores_without_a_second_class(spark, label):
     assert all((r.drop_probability > 0.5) == bool(label) for r in models.drop_scores(model, rows).collect())
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_boosted_predictions_without_a_second_class(spark, tmp_path, label):
+    """Training, threshold and stored predictions, as the query of boosted scores runs them."""
+    rows = one_class(spark, label).withColumns({"grid_id": F.monotonically_increasing_id(), "timestamp": F.timestamp_seconds(F.lit(0))})
+    model = models.train_drop_classifier(rows, maxIter=3, maxDepth=2)
+    threshold = metrics.best_threshold(models.drop_scores(model, rows), "drop_probability", "target_drop").first()[0]
+    assert threshold > 0.5 if label else threshold == 0.5
+    models.predict_drops(model, rows, threshold).write.parquet(f"{tmp_path}/scores")
+    assert [r.anomaly_predicted for r in spark.read.parquet(f"{tmp_path}/scores").collect()] == [bool(label)] * 40
+
+
 @pytest.mark.parametrize("label", [0, 1])
 def test_forest_without_a_second_class(spark, label):
     rows = one_class(spark, label)
