@@ -113,3 +113,17 @@ def test_grid_step_sends_no_multiplied_points_to_the_driver(spark, tmp_path):
     Tables(spark, FOLDER).points().write.parquet(f"{tmp_path}/points")
     plan = plan_of(spatial.nearest_distances(spark.read.parquet(f"{tmp_path}/points")))
     assert plan.count("BroadcastExchange") == 1
+
+
+def test_nearest_distances_send_only_the_coarse_cells_at_any_threshold(spark, tmp_path):
+    """The joins that adaptive execution ends with, whatever the planner takes the sides for."""
+    customers = spark.range(600).select(F.col("id").alias("c_custkey"), (F.pmod(F.xxhash64("id"), F.lit(9999)) / 1.0).alias("c_acctbal"))
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = catalog.load()[0]["nearest_distances"](spark, str(tmp_path))
+        assert len(found.collect()) == 600
+        plan = found._jdf.queryExecution().executedPlan().executedPlan().toString()
+        assert plan.count("BroadcastExchange") <= 1, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
